@@ -18,6 +18,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.quality import quality_verdicts
 
