@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(parts: int, of: int):
+    """The rows that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == of, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm import toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~_fold(4, 2)))
+    return toxicity.score(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.mixing import mix_sources
 
@@ -24,6 +37,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~_fold(3, 1)))
+    return langid.identify(docs, model).select("doc_id", _fold(3, 1).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.quality import quality_verdicts
 
