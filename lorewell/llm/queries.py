@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: folder of the public vocabulary files, on the driver
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +30,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.mixing import mix_sources
 
@@ -59,4 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lorewell.llm import decontam
+
+    return {"op1_decontam": decontam.ORACLE_SQL}
