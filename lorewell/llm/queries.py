@@ -54,6 +54,15 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm import warc
+    from lorewell.llm.scratch import Scratch
+
+    archives = Scratch(spark, "warc").path("archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), archives)
+    return warc.read_archives(spark, archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm import langid
 
@@ -78,4 +87,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from lorewell.llm import decontam
 
-    return {"op1_decontam": decontam.ORACLE_SQL}
+    return {"op1_decontam": decontam.ORACLE_SQL, "op8_warc": WARC_SQL}
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS top FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to, true AS verified
+FROM m
+"""
