@@ -54,6 +54,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.lm_score import pseudo_likelihood
+
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm import warc
     from lorewell.llm.scratch import Scratch
