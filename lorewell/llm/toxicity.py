@@ -198,3 +198,18 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 256 KB
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        here, words = ToxicityModel(weights, bias), WordScores(weights.tolist())
+        for batch in batches:
+            clean = [here.score(t, words) < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
