@@ -181,8 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(per_class) for v in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id").where("text is not null")
-    pairs = sorted((r["id"], r["y"], r["text"]) for r in texts.toLocalIterator())
-    return train([t for _, _, t in pairs], [y for _, y, _ in pairs], shares[1] / (shares[0] + shares[1]))
+    prior = shares[1] / (shares[0] + shares[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = sorted(zip(*pa.Table.from_batches(list(batches), given).to_pydict().values(), strict=True))
+        model = train([t for _, t, _ in pairs], [y for _, _, y in pairs], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float64).tobytes()]), pa.array([model.bias])], ["weights", "bias"])
+
+    sample = texts.select(F.col("id").cast("string").alias("id"), "text", F.col("y").cast("long").alias("y"))
+    given = pa.schema([("id", pa.string()), ("text", pa.string()), ("y", pa.int64())])
+    # one task trains on the sample, whose size is bounded, and only the weights come back
+    found = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    return ToxicityModel(np.frombuffer(bytes(found["weights"]), np.float64), found["bias"])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
