@@ -161,17 +161,36 @@ def train(texts: list[str], labels: list[int], prior: float, size: int = 4, step
         gb += db * db
         w -= speed * dw / np.sqrt(gw)
         b -= 0.3 * speed * db / np.sqrt(gb)
-    odds = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))  # classes were drawn evenly
-    weights = (e @ (w[:, 1] - w[:, 0])).astype(np.float64)
+    # a text's margin is the best of its windows': a line through the log-odds of whole texts turns it into a probability
+    best = np.full(len(bags), -np.inf)
+    for part in np.array_split(np.arange(len(windows)), max(1, len(windows) // batch)):
+        np.maximum.at(best, owner[part], forward(part)[6] @ (w[:, 1] - w[:, 0]))
+    slope, shift = calibrated(best + float(b[1] - b[0]), np.array(labels), prior)
+    weights = slope * (e @ (w[:, 1] - w[:, 0])).astype(np.float64)
     seen = np.zeros(BUCKETS, bool)
     seen[flat] = True
-    return ToxicityModel(np.where(seen, weights, 0.0), float(b[1] - b[0]) + odds)
+    return ToxicityModel(np.where(seen, weights, 0.0), slope * float(b[1] - b[0]) + shift)
+
+
+def calibrated(margins: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 30) -> tuple[float, float]:
+    """Slope and shift of a logistic regression on margins, for a share ``prior`` of label 1; damped Newton steps."""
+    ones = max(1, int(labels.sum()))
+    zeros = max(1, len(labels) - ones)
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))  # never quite certain
+    weight = np.where(labels == 1, prior / ones, (1 - prior) / zeros)
+    x, fitted = np.stack([margins, np.ones(len(margins))], axis=1), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ fitted, -500, 500)))
+        pull = x.T @ (weight * (target - p)) + 1e-4 * (np.array([1.0, 0.0]) - fitted)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        fitted = fitted + np.clip(np.linalg.solve(bend, pull), -2, 2)
+    return max(float(fitted[0]), 1e-3), float(fitted[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> ToxicityModel:
     """Trains on at most ``per_class`` labelled rows of each class, those of the least hash of their id.
 
-    ``labels`` holds the rows that may be learned from; the class shares are counted over all of it.
+    The rows meet in one task: at most 2 * ``per_class`` texts, however large the tables are. ``labels`` holds the rows that may be learned from; the class shares are counted over all of it.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
