@@ -50,7 +50,8 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
         rest >>= 1
         if rest:
             h = h[:-span] * base + h[span:]
-            base, span = base * base, 2 * span
+            with np.errstate(over="ignore"):  # numbers of 64 bits wrap around
+                base, span = base * base, 2 * span
     return mixed(out[: len(data) - size + 1])
 
 

@@ -190,7 +190,8 @@ def calibrated(margins: np.ndarray, labels: np.ndarray, prior: float, rounds: in
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> ToxicityModel:
     """Trains on at most ``per_class`` labelled rows of each class, those of the least hash of their id.
 
-    The rows meet in one task: at most 2 * ``per_class`` texts, however large the tables are. ``labels`` holds the rows that may be learned from; the class shares are counted over all of it.
+    The rows meet in one task: at most 2 * ``per_class`` texts, however large the tables are. ``labels``
+    holds the rows that may be learned from; the class shares are counted over all of it.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
@@ -211,6 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     given = pa.schema([("id", pa.string()), ("text", pa.string()), ("y", pa.int64())])
     # one task trains on the sample, whose size is bounded, and only the weights come back
     found = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    if found is None:  # no text has a label
+        return ToxicityModel(np.zeros(BUCKETS), -500.0)
     return ToxicityModel(np.frombuffer(bytes(found["weights"]), np.float64), found["bias"])
 
 
