@@ -1,0 +1,145 @@
+"""Hand-computed results of the library's own operators."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lorewell import schemas
+from lorewell.functions import text as T
+from lorewell.operators import catalog, fusion, graph, lexical, quality, split, vector
+from lorewell.plans.retrieve import retrieve
+from lorewell.streaming import messages, outbox
+
+
+def one(spark, expr, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(expr.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(("model", "name", "factory"), [("gpt-4@openai", "gpt-4", "openai"), ("llama2-7b", "llama2-7b", "Local"), ("a@b@c", "a@b", "c"), ("m@", "m", "Local"), ("", "", "")])
+def test_model_ids(spark, model, name, factory):
+    assert (one(spark, T.model_name(F.col("m")), m=model), one(spark, T.model_factory(F.col("m")), m=model)) == (name, factory)
+
+
+def test_scalars(spark):
+    assert one(spark, T.masked(F.col("k")), k="12345678") == "****" and one(spark, T.masked(F.col("k")), k="123456789") == "1234****6789"
+    assert one(spark, T.host(F.col("u")), u="https://api.x.cn/v1") == "api.x.cn"
+    assert one(spark, T.trim(F.col("t")), t="\t　 a b 　\n") == "a b"
+    assert one(spark, T.overlap(F.col("p"), F.col("c")), p=" head abcabc", c="abcabc tail") == 6
+    assert one(spark, T.tokens(F.col("t")), t="Go 语言模型, v2") == ["go", "语言模型", "v2", "语言", "言模", "模型"]
+    assert [one(spark, T.backoff_seconds(F.col("n")), n=n) for n in (0, 1, 2)] == [30, 60, 120]
+
+
+@pytest.mark.parametrize(("n", "score"), [(500, 20), (300, 20), (800, 20), (200, 12), (900, 16), (50, 6), (1500, 10)])
+def test_length_scores(spark, n, score):
+    assert one(spark, quality.length_score(F.col("c")), c="字" * n) == score
+
+
+def test_chunk_scores_and_issues(spark):
+    rows = [("d", 0, " head abcabc"), ("d", 1, "abcabc tail"), ("e", 0, "它说,")]
+    got = {(r["doc_id"], r["chunk_index"]): r for r in quality.scored(spark.createDataFrame(rows, "doc_id string, chunk_index int, content string")).collect()}
+    assert got["d", 1]["content_score"] == pytest.approx(10 / 11 * 10 + (1 - 6 / 11) * 10)
+    assert got["d", 1]["issues"] == ["chunk_too_short", "high_overlap", "low_qa_coverage"]
+    assert got["e", 0]["issues"] == ["chunk_too_short", "truncated_end", "dangling_reference", "low_qa_coverage"]
+    qa = spark.createDataFrame([("Go 语言", [("Go 语是", "a"), ("Go 语有", "b"), ("Go 语呢", "c")])], f"c string, q {quality.QA}")
+    assert qa.select(quality.qa_score(F.col("c"), F.col("q")).alias("x")).first()["x"] == pytest.approx(10 + 5 / 3)
+
+
+def test_headers_and_sections(spark):
+    text = "开头的一些话。\n\n第一章 架构\n内容在这里。\n1. 模块\n更多内容。\n1.1 不是标题，因为没有点。\n小结\n\n完。"
+    got = split.sections(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).orderBy("doc_id", "section_index").collect()
+    assert [(r["header_context"], r["header_level"], r["header_type"]) for r in got] == [
+        ("前言/摘要", 0, "implicit"), ("第一章 架构", 1, "chinese"), ("模块", 1, "numbered"), ("小结", 2, "heuristic"), ("无标题", 0, "implicit"), ("无标题", 0, "implicit"),
+    ]
+
+
+def test_size_bounded_pieces():
+    text = "one two three. four five six.\n\nseven eight nine ten eleven twelve thirteen"
+    parts = split.pieces_of(text, split.SEPARATORS, 20, 0)
+    assert all(len(p) <= 20 for p in parts) and "".join("".join(parts).split()).replace(".", "") == "".join(text.split()).replace(".", "")
+    assert split.pieces_of("abcdefgh", [], 4, 1) == ["abcd", "defg", "gh"] and split.pieces_of("", split.SEPARATORS, 5, 0) == []
+
+
+def test_topic_chunks():
+    sentences = ["第一章 序言 这是序言的内容。", "这是序言的第二句。", "第一章 正文", "这是第一章正文内容。", "正文内容继续。", "第二章 结论 结论部分很简短。"]
+    cuts = [(False, ""), (True, "第一章 正文"), (False, ""), (False, ""), (True, "第二章 结论")]
+    whole = split.topic_chunks(sentences, cuts, 1000, 0)
+    assert len(whole) == 3 and "【第一章 正文】" in whole[1] and "【第二章 结论】" in whole[2]
+    small = split.topic_chunks(sentences, cuts, 15, 0)
+    assert len(small) == 6 and small[4] == "【第一章 正文】\n正文内容继续。"
+    assert split.topic_chunks(sentences, cuts, 15, 4)[4] == "【第一章 正文】\n文内容。 正文内容继续。"
+
+
+def test_markdown_sections_skip_fences(spark):
+    text = "# A\nx\n```\n# no\n```\n## B\ny\n# C\nz"
+    got = split.markdown_sections(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("section_index").collect()
+    assert [(r["h1"], r["h2"]) for r in got if r["content"]] == [("A", None), ("A", "B"), ("C", None)]
+
+
+def test_bm25_and_ties(spark):
+    chunks = spark.createDataFrame([(1, "red fox"), (2, "red fox"), (3, "blue whale blue"), (4, None)], "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "red"), (2, "none")], "query_id long, query string")
+    got = lexical.top_k(lexical.bm25(chunks, queries), 5).orderBy("rank").collect()
+    assert [(r["id"], r["rank"]) for r in got] == [(1, 1), (2, 2)] and got[0]["score"] == got[1]["score"]
+
+
+def test_knn_and_fusion(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0])], "id long, embedding array<double>")
+    got = vector.knn(vectors, spark.createDataFrame([(9, [3.0, 0.0])], "query_id long, query_vector array<double>"), 10).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(1, 1.0), (2, 0.5), (3, 0.0)]
+    a = spark.createDataFrame([(1, 10, 3.0), (1, 11, 1.0)], "query_id long, id long, score double")
+    b = spark.createDataFrame([(1, 11, 5.0)], "query_id long, id long, score double")
+    assert {r["id"]: r["score"] for r in fusion.summed(a, b).collect()} == {10: 3.0, 11: 6.0}
+    assert {r["id"]: r["score"] for r in fusion.reciprocal_ranks(a, b).collect()} == pytest.approx({10: 1 / 61, 11: 1 / 62 + 1 / 61})
+
+
+def test_retrieval_modes(spark):
+    chunks = spark.createDataFrame([("a", 1, "red fox runs", [1.0, 0.0]), ("b", 1, "blue whale", [0.0, 1.0])], "id string, doc_id long, content string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "red fox", [1.0, 0.0])], "query_id long, query string, query_vector array<double>")
+    for mode in ("fulltext", "vector", "hybrid"):
+        assert [(r["id"], r["score"]) for r in retrieve(chunks, queries, mode).collect()] == [("a", 1.0)]
+    with pytest.raises(ValueError):
+        retrieve(chunks, queries, k=0)
+
+
+def test_graph_records_and_merges(spark):
+    answers = [
+        (1, "c1", '("entity"<|>"A"<|>"person"<|>"ab")##("relationship"<|>"A"<|>"B"<|>"owns"<|>"x"<|>8)##("entity"<|>"A")'),
+        (2, "c2", '("entity"<|>"A"<|>"geo"<|>"abcd")##("relationship"<|>"A"<|>"B"<|>"owns"<|>"y"<|>6)##("relationship"<|>"B"<|>"A"<|>"r"<|>"z"<|>x)'),
+        (3, "c1", '("entity"<|>"A"<|>"-"<|>"abc")##("relationship"<|>"A"<|>"B"<|>"owns"<|>"x"<|>4)'),
+    ]
+    parsed = graph.records(spark.createDataFrame(answers, "chunk_index long, chunk_id string, answer string"))
+    (entity,) = graph.merged_entities(graph.entities(parsed)).collect()
+    assert (entity["name"], entity["type"], entity["description"], entity["source_id"]) == ("A", "person", "abcd", ["c1", "c2"])
+    got = {(r["src_id"], r["dst_id"]): (r["weight"], r["description"], r["source_id"]) for r in graph.merged_relations(graph.relations(parsed)).collect()}
+    assert got == {("A", "B"): (5.5, "x\ny", ["c1", "c2"]), ("B", "A"): (0.0, "z", ["c2"])}
+
+
+def test_visibility_needs_a_tenant(spark):
+    bases = spark.createDataFrame([(1, 1, 7, "me", 1), (2, 1, 8, "team", 1), (3, 1, 8, "me", 1), (4, 2, 8, "team", 1), (5, 1, 7, "me", 0)], "kb_id int, tenant_id int, created_by int, permission string, status int")
+    members = spark.createDataFrame([(7, 1, 1), (9, 1, 0)], "user_id int, tenant_id int, status int")
+    see = lambda user: sorted(r["kb_id"] for r in catalog.visible(bases, members, user).collect())
+    assert see(7) == [1, 2] and see(8) == [] and see(9) == []
+
+
+def test_insert_ignore_counts_repeats(spark):
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    added, refused = catalog.insert_ignore(rows, spark.createDataFrame([(1, "b"), (2, "c"), (2, "c")], "k int, v string"), ["k"])
+    assert [r["k"] for r in added.collect()] == [2] and sorted(r["k"] for r in refused.collect()) == [1, 2]
+
+
+def test_task_states_stream(spark, tmp_path):
+    spark.createDataFrame([(1, 10, "fail"), (1, 20, "fail"), (2, 5, "fail"), (2, 6, "success"), (2, 7, "fail")], "id long, at long, outcome string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, at long, outcome string").parquet(f"{tmp_path}/in")
+    out = []
+    messages.run_batches(outbox.task_states(stream), lambda df, n: out.extend(df.collect()), f"{tmp_path}/marks", mode="update").awaitTermination()
+    assert {r["id"]: (r["status"], r["retry_times"], r["next_retry"]) for r in out} == {1: ("fail", 2, 80), 2: ("success", 1, 35)}
+
+
+def test_malformed_messages_are_dropped(spark):
+    df = spark.createDataFrame([('{"document_id": "1"}',), ("{broken",), ('{"document_id": ""}',), (None,)], "value string")
+    assert [r["document_id"] for r in messages.parsed(df, schemas.INDEX_MESSAGE, "document_id").collect()] == ["1"]
+
+
+def test_entry_names_match():
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
