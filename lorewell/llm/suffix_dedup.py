@@ -6,8 +6,8 @@ document or any other. Matches never cross documents; strings are judged on the
 1. Every string of ``length`` bytes names one of its grams, the one of least hash; equal strings name
    equal grams at equal offsets. Strings next to each other that name the same place form a
    context. A gram named at one place only has no repeated string: its context is left out.
-2. The other contexts' bytes are gathered; equal contexts are counted before anything else, and
-   those that occur twice or more are repeated as a whole.
+2. The other contexts are counted by their 128-bit hash; those that occur twice or more are repeated
+   as a whole. Bytes are fetched once per context, and only where a gram has different contexts.
 3. Different contexts of one gram meet in a task, whose suffixes (cut at ``length`` bytes) pass through an
    index family: each batch gets a suffix array, is merge-scanned against the arrays of all levels,
    and levels of equal size merge, so sizes grow geometrically. Tasks are dealt a bounded number of suffixes.
@@ -159,12 +159,12 @@ def _sample(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "seed long, doc long, loc long")
 
 
-def _gather(likely: DataFrame, length: int) -> DataFrame:
-    """Bytes of the marked contexts."""
+def _places(likely: DataFrame, length: int) -> DataFrame:
+    """Every marked context by its hash and where it stands; its bytes stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "cid", "ctx", "n", "doc", "a"]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["seed", "cid", "n", "doc", "a"]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
         pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
         for batch in batches:
             out = []
@@ -172,15 +172,35 @@ def _gather(likely: DataFrame, length: int) -> DataFrame:
                 doc, text = doc.as_py(), text.as_py()
                 for seed, loc in zip(marks.values.field(0).to_pylist(), marks.values.field(1).to_pylist(), strict=True):
                     a, n, o = loc >> 16, loc >> 8 & 255, loc & 255
-                    ctx = text[a : a + n - 1 + length]
-                    out.append((seed, xxhash.xxh3_128_digest(ctx, seed=o), ctx, n, doc, a))
+                    out.append((seed, xxhash.xxh3_128_digest(text[a : a + n - 1 + length], seed=o), n, doc, a))
                 if len(out) >= 20_000:
                     yield pack(out)
                     out = []
             if out:
                 yield pack(out)
 
-    return likely.mapInArrow(run, "seed long, cid binary, ctx binary, n int, doc long, a long")
+    return likely.mapInArrow(run, "seed long, cid binary, n int, doc long, a long")
+
+
+def _bytes(wanted: DataFrame, length: int) -> DataFrame:
+    """The contexts themselves, from (text, of: array of (seed, cid, n, k, a))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["seed", "cid", "n", "k", "ctx"])
+        for batch in batches:
+            out = []
+            for text, of in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                for seed, cid, n, k, a in zip(*(of.values.field(i).to_pylist() for i in range(5)), strict=True):
+                    out.append((seed, cid, n, k, text[a : a + n - 1 + length]))
+                if len(out) >= 20_000:
+                    yield pack(out)
+                    out = []
+            if out:
+                yield pack(out)
+
+    return wanted.mapInArrow(run, "seed long, cid binary, n int, k long, ctx binary")
 
 
 def _indexed(groups: DataFrame, length: int, batch_rows: int = 512) -> DataFrame:
@@ -260,22 +280,26 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = samples.join(twice, "seed", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("seed", "loc")).alias("marks"))
     likely = scratch.keep(rows.select("doc", "text").join(marks, "doc"), "likely")
     scratch.drop("samples")
-    places = scratch.keep(_gather(likely, length), "places")
+    places = scratch.keep(_places(likely, length), "places")
 
-    distinct = places.groupBy("cid", "seed", "n", "ctx").agg(F.count(F.lit(1)).alias("c"))
+    distinct = places.groupBy("cid", "seed", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "a")).alias("at"))
     distinct = scratch.keep(distinct, "contexts")
     grams = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).where("k > 1")
     grams = scratch.keep(grams, "grams")
     total = grams.where(F.col("k") <= hot).agg(F.sum("m")).first()[0] or 0
-    shared = distinct.where("n > 0").join(grams.where(F.col("k") <= hot).select("seed"), "seed", "left_semi")
-    shared = shared.select("seed", "cid", "ctx", "n").repartition(max(1, -(-total // per_task)), "seed").select("cid", "ctx", "n")
+    # bytes are fetched once per context, and only where a gram has different contexts
+    wanted = distinct.join(grams.select("seed", "k"), "seed")
+    wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("seed", "cid", "n", "k", "at.a")).alias("of"))
+    differ = scratch.keep(_bytes(likely.select("doc", "text").join(wanted, "doc").select("text", "of"), length), "differ")
+    shared = differ.where(F.col("k") <= hot).repartition(max(1, -(-total // per_task)), "seed").select("cid", "ctx", "n")
     found = _indexed(shared, length)
-    crowded = distinct.join(grams.where(F.col("k") > hot).select("seed"), "seed", "left_semi").select("cid", "ctx", "n")
+    crowded = differ.where(F.col("k") > hot).select("cid", "ctx", "n")
     strings = scratch.keep(_strings(crowded, length), "strings")
     again = strings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     by_hash = strings.join(again, "h", "left_semi").select("cid", "s", F.col("s").alias("e"))
     whole = distinct.where("c > 1").select("cid", F.lit(0).alias("s"), (F.col("n") - 1).alias("e"))
     found = scratch.keep(found.unionByName(by_hash).unionByName(whole), "found")
+    scratch.drop("differ", "strings", "contexts", "grams")
 
     cuts = places.select("cid", "doc", "a").join(found, "cid").groupBy("doc").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e") + length).alias("e"))).alias("cuts"))
     lost = _cut(likely.select("doc", "text").dropDuplicates(["doc"]).join(cuts, "doc").select("doc", "text", "cuts"))
