@@ -143,3 +143,18 @@ def test_entry_names_match():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_structure_split_keeps_the_text_and_ingest_its_questions(spark):
+    from lorewell.plans.ingest import ingest
+
+    text = "1. Start\n" + "Some words of a sentence here. " * 20 + "\n\n" + "More of them follow now. " * 20
+    docs = spark.createDataFrame([(1, "a.txt", text), (2, "b.md", "# H\nshort text")], "doc_id long, path string, text string")
+    chunks = split.structure_split(docs, size=120).where("doc_id = 1").orderBy("chunk_index").collect()
+    bare = lambda s: "".join(c for c in s if c.isalnum())
+    assert [r["chunk_index"] for r in chunks] == list(range(len(chunks))) and all(len(r["content"]) <= 120 and r["header_context"] == "Start" for r in chunks)
+    assert bare("".join(r["content"] for r in chunks)) == bare(text)
+    ask = lambda c: F.lit('```json\n[{"question": "q?", "answer": "a"}, {"question": ""}]\n```')
+    rows = ingest(docs, "path", F.lit("kb"), F.lit(0.0), size=130, ask=ask).collect()
+    assert {r["content"] for r in rows if r["id"].startswith("qa-")} == {"Question: q?\nAnswer: a"}
+    assert [r["content"] for r in rows if r["doc_id"] == "2"] == ["# H\nshort text"]
