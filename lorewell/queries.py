@@ -409,11 +409,12 @@ def st2_task_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snk1_put_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks written twice by key and read again."""
+    """Two sets of documents' chunks, a third of the documents in both, put into the same bases one after the other and read again."""
     path = shared_path(spark, "chunks")
-    df = _chunks(spark, d).select(T.chunk_id(F.col("content"), F.col("doc_id")).alias("id"), F.col("source").alias("kb_id"), "content", F.col("chunk_index").cast("double").alias("create_timestamp_flt"))
-    tables.put_chunks(df, path)
-    tables.put_chunks(df, path)
+    part = F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0))
+    df = _chunks(spark, d).select(T.chunk_id(F.col("content"), F.col("doc_id")).alias("id"), F.col("source").alias("kb_id"), "content", F.col("chunk_index").cast("double").alias("create_timestamp_flt"), part.alias("part"))
+    tables.put_chunks(df.where("part < 2").drop("part"), path)
+    tables.put_chunks(df.where("part > 0").drop("part"), path)
     return spark.read.parquet(path).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("content")).alias("chars"))
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lorewell.operators.graph import keep_last, upsert_docs
+from lorewell.sources.scratch import shared_path
 
 
 def ensure_table(spark: SparkSession, name: str, schema: str, partitions: Sequence[str] = ()) -> None:
@@ -17,14 +21,46 @@ def ensure_table(spark: SparkSession, name: str, schema: str, partitions: Sequen
 
 
 def put_chunks(chunks: DataFrame, path: str, key: str = "id", order: str = "create_timestamp_flt", partition: str = "kb_id") -> None:
-    """Writes the last row of each key over the partitions that ``chunks`` touches."""
-    rows = keep_last(chunks, [partition, key], order)
+    """Puts the last row of each key in place of the stored row of that key; all other rows stay.
+
+    Partitions that ``chunks`` touches are merged into a table of their own first, and then replaced.
+    """
+    spark, rows = chunks.sparkSession, keep_last(chunks, [partition, key], order)
+    if _exists(spark, path):
+        found = spark.read.parquet(path).schema
+        kind = rows.schema[partition].dataType  # a folder name alone would be read as a number
+        old = spark.read.schema(StructType([StructField(f.name, kind if f.name == partition else f.dataType) for f in found])).parquet(path)
+        touched = rows.select(F.col(partition).alias("_touched")).distinct()
+        old = old.join(touched, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
+        merged = shared_path(spark, "merged-chunks")
+        merge_chunks(old, rows, [partition, key]).write.parquet(merged)
+        _replace(spark.read.parquet(merged), path, partition)
+        _folder(spark, merged).delete(spark._jvm.org.apache.hadoop.fs.Path(merged), True)
+    else:
+        _replace(rows, path, partition)
+
+
+def _replace(rows: DataFrame, path: str, partition: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def merge_chunks(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+def _folder(spark: SparkSession, path: str) -> JavaObject:
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a partition."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = _folder(spark, path)
+    return files.exists(at) and any(s.isDirectory() and "=" in s.getPath().getName() for s in files.listStatus(at))
+
+
+def merge_chunks(old: DataFrame, new: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of equal keys."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    keys = [key] if isinstance(key, str) else list(key)
+    gone = new.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return old.join(gone, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def put_graph_docs(spark: SparkSession, new: DataFrame, path: str, target: str) -> None:

@@ -7,6 +7,7 @@ from lorewell import schemas
 from lorewell.functions import text as T
 from lorewell.operators import catalog, fusion, graph, lexical, quality, split, vector
 from lorewell.plans.retrieve import retrieve
+from lorewell.sources import tables
 from lorewell.streaming import messages, outbox
 
 
@@ -158,3 +159,12 @@ def test_structure_split_keeps_the_text_and_ingest_its_questions(spark):
     rows = ingest(docs, "path", F.lit("kb"), F.lit(0.0), size=130, ask=ask).collect()
     assert {r["content"] for r in rows if r["id"].startswith("qa-")} == {"Question: q?\nAnswer: a"}
     assert [r["content"] for r in rows if r["doc_id"] == "2"] == ["# H\nshort text"]
+
+
+def test_put_chunks_keeps_the_other_rows_of_a_base(spark, tmp_path):
+    schema, path = "id string, kb_id string, content string, create_timestamp_flt double", f"file://{tmp_path}/chunks"
+    put = lambda *rows: tables.put_chunks(spark.createDataFrame(rows, schema), path)
+    put(("a", "01", "first", 1.0), ("b", "01", "stays", 1.0), ("c", "2", "other base", 1.0), ("n", None, "no base", 1.0))
+    put(("a", "01", "older", 0.5), ("a", "01", "second", 0.7), ("d", "01", "new", 2.0), ("b", "3", "same id elsewhere", 1.0), ("m", None, "added", 1.0))
+    got = sorted((r["id"], r["content"]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "second"), ("b", "same id elsewhere"), ("b", "stays"), ("c", "other base"), ("d", "new"), ("m", "added"), ("n", "no base")]
