@@ -1,9 +1,11 @@
 """Masked pseudo-likelihood: every token predicted from both sides; the log-probabilities are summed.
 
 All counts cover the whole corpus. The frequent words are output units of their own, all other words
-share units by their last two letters, with their frequency inside the unit. A network reads the
-units of two words on either side (embeddings by position, one hidden layer) and
-gives a softmax over units: log p(word | context) = log p(unit | context) + log p(word | unit).
+share units by their last two letters; how many of both there are follows the number of different words.
+A network reads the units of two words on either side (embeddings by position, one hidden layer) and
+decides its way down a binary tree to a unit, so that a token costs the logarithm of the units:
+log p(word | context) = log p(unit | context) + log p(word | unit). The latter is the word's own count over
+its unit's: tasks hold the most frequent words, and every other word meets the table of counts in a join.
 
 Training is data-parallel: every task masks a share of the positions of each of its documents
 and trains a copy of the network on them in numpy; copies are averaged by tokens with an
@@ -17,8 +19,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +31,18 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 SIDES = (-2, -1, 1, 2)
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 
 
 @dataclass
 class Units:
-    """Output units, and for words log p(word | unit)."""
+    """Output units, for the most frequent words log p(word | unit), and the counts of all words."""
 
     top: dict[str, int]
     classes: int
     inside: dict[str, float] = field(default_factory=dict)
-    unknown: list[float] = field(default_factory=list)
+    #: tokens of each unit
+    tokens: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @property
     def size(self) -> int:
@@ -49,105 +54,169 @@ class Units:
 
 
 class Lookup(dict):
-    """unit and log p(word | unit) of words seen before, as a row number; emptied between texts when full."""
+    """unit and log p(word | unit) of words seen before, as a row number; emptied between texts when full.
+
+    For words that the table of counts is joined to (``rare``), the log of their count is still to be added.
+    """
 
     def __init__(self, units: Units, limit: int = 300_000) -> None:
         super().__init__()
         self.units, self.limit = units, limit
         self.unit: list[int] = []
         self.inside: list[float] = []
+        self.rare: list[bool] = []
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self.unit)
         u = self.units.unit(word)
         self.unit.append(u)
-        self.inside.append(0.0 if word in self.units.top else self.units.inside.get(word, self.units.unknown[u - len(self.units.top)]))
+        known = 0.0 if word in self.units.top else self.units.inside.get(word)
+        self.rare.append(known is None)
+        self.inside.append(-float(np.log(max(self.units.tokens[u], 1))) if known is None else known)
         return i
 
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
-            self.unit, self.inside = [], []
+            self.unit, self.inside, self.rare = [], [], []
 
 
 class Network:
-    """Bidirectional window network; all parameters lie in one vector."""
+    """Bidirectional window network over a binary tree of units; all parameters lie in one vector.
+
+    Node i of the tree has the children 2i and 2i + 1; unit u is the leaf ``size`` + u.
+    """
 
     def __init__(self, size: int, width: int = 16, seed: int = 5) -> None:
         self.size, self.width = size, width
         rng = np.random.default_rng(seed)
-        shapes = [(len(SIDES), size + 1, width), (width,), (width, size), (size,)]
+        shapes = [(len(SIDES), size + 1, width), (width,), (size, width), (size,)]
         self.vector = np.concatenate([rng.normal(0, 0.1, int(np.prod(s))) if len(s) > 1 else np.zeros(s) for s in shapes]).astype(np.float32)
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         self.cuts = [(int(e - np.prod(s)), int(e), s) for e, s in zip(ends, shapes, strict=True)]
+        leaves = np.arange(size, 2 * size)[:, None] >> np.arange(int(2 * size - 1).bit_length() - 1)
+        #: by unit: inner nodes on its way and the turn taken there; 0 and no turn beyond the root
+        self.nodes = leaves >> 1
+        self.turns = np.where(self.nodes > 0, 2 * (leaves & 1) - 1, 0).astype(np.float32)
 
     def parts(self, vector: np.ndarray) -> list[np.ndarray]:
         return [vector[a:b].reshape(s) for a, b, s in self.cuts]
 
+    def blocks(self, vector: np.ndarray) -> list[np.ndarray]:
+        """Embeddings by side, bias, node vectors, node biases."""
+        e, b, w, c = self.parts(vector)
+        return [*e, b, w, c]
+
+    def start(self, tokens: np.ndarray) -> None:
+        """Biases with which the tree gives the share of each unit."""
+        mass = np.concatenate([np.zeros(self.size), np.maximum(tokens, 0.5)])
+        for i in range(self.size - 1, 0, -1):
+            mass[i] = mass[2 * i] + mass[2 * i + 1]
+        i = np.arange(1, self.size)
+        self.parts(self.vector)[3][1:] = np.log(mass[2 * i + 1] / mass[2 * i])
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         e, b, _, _ = self.parts(self.vector)
         h = e[0][context[:, 0]]
         for k in range(1, len(SIDES)):
             h = h + e[k][context[:, k]]
-        return np.maximum(h + b, 0, dtype=np.float32)
+        return np.maximum(h + b, 0, dtype=self.vector.dtype)
 
-    def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def _margins(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """How clearly each turn on the way to the target is favoured."""
         _, _, w, c = self.parts(self.vector)
-        z = self.hidden(context) @ w + c
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(z)), target]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        nodes = self.nodes[target]
+        return self.turns[target] * (np.einsum("ndw,nw->nd", w[nodes], h) + c[nodes])
+
+    def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        m = self._margins(self.hidden(context), target)
+        each = np.minimum(m, 0) - np.log(1 + np.exp(-np.abs(m)))
+        return (each * (self.nodes[target] > 0)).sum(axis=1)
+
+    def steps(self, context: np.ndarray, target: np.ndarray) -> list[tuple]:
+        """Gradient of the mean negative log-probability: for each of the blocks the rows that it moves, and by how much."""
+        w = self.parts(self.vector)[2]
+        h, nodes = self.hidden(context), self.nodes[target]
+        p = -self.turns[target] / (1 + np.exp(np.clip(self._margins(h, target), -60, 60))) / len(h)
+        d = np.einsum("nd,ndw->nw", p, w[nodes]) * (h > 0)
+        out = [_by_row(context[:, k], d) for k in range(len(SIDES))]
+        out.append((slice(None), d.sum(axis=0)))
+        own = nodes > 0
+        rows = np.broadcast_to(np.arange(len(h))[:, None], nodes.shape)[own]
+        ids, moved = _by_row(nodes[own], np.concatenate([h[rows], np.ones((len(rows), 1), h.dtype)], axis=1) * p[own][:, None])
+        return [*out, (ids, moved[:, :-1]), (ids, moved[:, -1])]
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
         g = np.zeros_like(self.vector)
-        ge, gb, gw, gc = self.parts(g)
-        _, _, w, c = self.parts(self.vector)
-        h = self.hidden(context)
-        p = h @ w + c
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p /= len(p)
-        gw[:], gc[:] = h.T @ p, p.sum(axis=0)
-        d = (p @ w.T) * (h > 0)
-        gb[:] = d.sum(axis=0)
-        for k in range(len(SIDES)):
-            order = np.argsort(context[:, k], kind="stable")
-            ids, first = np.unique(context[order, k], return_index=True)
-            ge[k][ids] = np.add.reduceat(d[order], first)
+        for block, (rows, moved) in zip(self.blocks(g), self.steps(context, target), strict=True):
+            block[rows] = moved
         return g
 
 
+def _by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids, and the sums of their values."""
+    if not len(ids):
+        return ids, values
+    order = np.argsort(ids, kind="stable")
+    some, first = np.unique(ids[order], return_index=True)
+    return some, np.add.reduceat(values[order], first)
+
+
 def contexts(units: np.ndarray, outside: int) -> np.ndarray:
     """Units at the four places around every token; ``outside`` beyond the text."""
     padded = np.concatenate([[outside] * 2, units, [outside] * 2])
     return np.stack([padded[2 + s : 2 + s + len(units)] for s in SIDES], axis=1)
 
 
-def corpus_units(docs: DataFrame, top: int = 64, classes: int = 32, vocabulary: int = 20_000) -> Units:
-    """Counts every word of every text (column text); the driver gets ``vocabulary`` words and a row per unit."""
-    from lorewell.llm.decontam import words
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: every word of every text (column text), cut as the model cuts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    seen.update(WORD.findall(text.lower()) if text else ())
+                if len(seen) > 200_000:
+                    yield from _counted(seen)
+                    seen.clear()
+        yield from _counted(seen)
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counted(seen: Counter) -> Iterator[pa.RecordBatch]:
+    words, n = list(seen), list(seen.values())
+    for at in range(0, len(words), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.string()), pa.array(n[at : at + 50_000], pa.int64())], ["word", "n"])
+
+
+def corpus_units(docs: DataFrame, top: int = 64, classes: int = 32, vocabulary: int = 20_000) -> tuple[Units, DataFrame]:
+    """Units, and the count of every word of every text (column text) as a table.
+
+    Four times the root of the number of different words are units of their own, the root itself is the
+    number of classes; ``top`` and ``classes`` are the least. The driver gets ``vocabulary`` words (or one a unit) and a row per unit.
+    """
     from lorewell.llm.scratch import Scratch
 
-    counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = Scratch(docs.sparkSession, "words").keep(counts, "counts")
-    best = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    counts = Scratch(docs.sparkSession, "words").keep(word_counts(docs), "counts")
+    root = counts.count() ** 0.5
+    top, classes = max(top, ceil(4 * root)), max(classes, ceil(root))
+    best = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(max(vocabulary, top)).collect()]
     units = Units({w: i for i, (w, _) in enumerate(best[:top])}, classes)
     spread = F.crc32(F.substring("word", -2, 2).cast("binary")) % classes
-    per = counts.where(~F.col("word").isin(list(units.top))).groupBy(spread.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
-    total, kinds = np.zeros(classes), np.zeros(classes)
+    per = counts.groupBy(spread.alias("c")).agg(F.sum("n").alias("n")).collect()
+    own = len(units.top)
+    units.tokens = np.zeros(units.size)
     for r in per:
-        total[r["c"]], kinds[r["c"]] = r["n"], r["words"]
-    rest, rest_kinds = total.copy(), kinds.copy()
-    for w, n in best[top:]:
-        c = units.unit(w) - len(units.top)
-        units.inside[w] = float(np.log(n / max(total[c], n)))
-        rest[c] -= n
-        rest_kinds[c] -= 1
-    units.unknown = np.log(np.maximum(rest, 1) / np.maximum(rest_kinds, 1) / np.maximum(total, 1)).tolist()
-    return units
+        units.tokens[own + r["c"]] = r["n"]
+    for i, (w, n) in enumerate(best[:top]):
+        units.tokens[i] = n
+        units.tokens[own + zlib.crc32(w[-2:].encode("utf-8", "replace")) % classes] -= n
+    units.inside = {w: float(np.log(n / units.tokens[units.unit(w)])) for w, n in best[top:]}
+    return units, counts
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -160,6 +229,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def train(docs: DataFrame, units: Units, rounds: int = 2, share: float = 0.15, rate: float = 0.1, batch: int = 512) -> Network:
     """Rounds of training in every task and averaging; ``share`` of the positions of each text are masked."""
     net = Network(units.size)
+    net.start(units.tokens)
     narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for turn in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((net, units))
@@ -186,28 +256,42 @@ def train(docs: DataFrame, units: Units, rounds: int = 2, share: float = 0.15, r
             if waiting:
                 _descend(own, past, xs, ys, rate, batch)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.vector.tolist()], pa.list_(pa.float32()))], ["n", "vector"])
-
-        copies = narrow.mapInArrow(run, "n long, vector array<float>")
-        mean = copies.select("n", F.posexplode("vector").alias("i", "x")).groupBy("i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
-        for r in mean.collect():  # one number a parameter
-            net.vector[r["i"]] = r["x"]
+                rows = _rows(own.vector, own.width)
+                columns = [pa.array(np.full(len(rows), seen), pa.int64()), pa.array(np.arange(len(rows)), pa.int64()), *[pa.array(x) for x in np.ascontiguousarray(rows.T)]]
+                yield pa.RecordBatch.from_arrays(columns, ["n", "i", *names])
+
+        names = [f"x{j}" for j in range(net.width)]
+        copies = narrow.mapInArrow(run, f"n long, i long, {', '.join(f'{x} float' for x in names)}")
+        mean = copies.groupBy("i").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias(x) for x in names])
+        rows = _rows(net.vector, net.width)
+        for r in mean.collect():  # a row per unit, side and node
+            rows[r["i"]] = r[1:]
+        net.vector[:] = rows.reshape(-1)[: len(net.vector)]
         shared.unpersist()
     return net
 
 
+def _rows(vector: np.ndarray, width: int) -> np.ndarray:
+    return np.concatenate([vector, np.zeros(-len(vector) % width, vector.dtype)]).reshape(-1, width)
+
+
 def _descend(net: Network, past: np.ndarray, xs: list[np.ndarray], ys: list[np.ndarray], rate: float, batch: int) -> None:
     x, y = np.concatenate(xs), np.concatenate(ys)
     order = np.random.default_rng(len(x)).permutation(len(x))
     for at in range(0, len(x), batch):
         some = order[at : at + batch]
-        g = net.gradient(x[some], y[some])
-        past += g * g
-        net.vector -= rate * g / np.sqrt(past)
+        for block, old, (rows, g) in zip(net.blocks(net.vector), net.blocks(past), net.steps(x[some], y[some]), strict=True):
+            old[rows] += g * g
+            block[rows] -= rate * g / np.sqrt(old[rows])
+
 
+def score(docs: DataFrame, net: Network, units: Units, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob and perplexity of every whole text.
+
+    Words that tasks do not hold are joined with ``counts``; one that was not counted is taken to occur once.
+    """
+    from lorewell.llm.scratch import Scratch
 
-def score(docs: DataFrame, net: Network, units: Units) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob and perplexity of every whole text; no shuffle."""
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((net, units))
 
@@ -215,7 +299,7 @@ def score(docs: DataFrame, net: Network, units: Units) -> DataFrame:
         net, units = shared.value
         lookup = Lookup(units)
         for batch in batches:
-            sums, sizes = [], []
+            sums, sizes, others = [], [], []
             for at in range(0, batch.num_rows, 64):
                 texts = [WORD.findall(t.lower()) if t else [] for t in batch.column(1).slice(at, 64).to_pylist()]
                 rows = [np.fromiter(map(lookup.__getitem__, t), np.int64, len(t)) for t in texts]
@@ -229,10 +313,19 @@ def score(docs: DataFrame, net: Network, units: Units) -> DataFrame:
                 totals = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
                 sums += (totals[ends] - totals[ends - [len(r) for r in rows]]).tolist()
                 sizes += [len(r) for r in rows]
+                rare = np.array(lookup.rare, bool)
+                others += [[t[i] for i in np.flatnonzero(rare[r])] for t, r in zip(texts, rows, strict=True)]
                 lookup.trim()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_tokens", "log_prob"])
-
-    out = narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, n_tokens long, log_prob double")
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "log_prob", "rare"])
+
+    kind = dict(narrow.dtypes)["doc_id"]
+    rows = narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, rare array<string>")
+    rows = Scratch(docs.sparkSession, "scored").keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    inside = rows.select("row", F.explode("rare").alias("word")).join(counts.select("word", F.log("n").alias("log_prob")), "word", "left")
+    inside = inside.select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.coalesce("log_prob", F.lit(0.0)).alias("log_prob"))
+    both = rows.select(*inside.columns).unionByName(inside).groupBy("row")
+    out = both.agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob")).drop("row")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return out.withColumns({"mean_log_prob": mean, "perplexity": F.exp(-mean)})
 
@@ -240,5 +333,5 @@ def score(docs: DataFrame, net: Network, units: Units) -> DataFrame:
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """Counts, trains and scores over all of ``docs``."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    units = corpus_units(narrow)
-    return score(narrow, train(narrow, units, rounds), units)
+    units, counts = corpus_units(narrow)
+    return score(narrow, train(narrow, units, rounds), units, counts)

@@ -205,6 +205,30 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     assert got[0]["log_prob"] == pytest.approx(got[1]["log_prob"]) and rng
 
 
+def test_rare_words_keep_their_own_counts(spark):
+    filler = [a + b + c + d for a in "bcdfghjklm" for b in "aeiou" for c in WORDS for d in "pqrstvwxyzn"]
+    assert len(set(filler)) > 20_000
+    docs = frame(spark, [" ".join(filler[i : i + 500]) for i in range(0, len(filler), 500)] * 3 + ["zzaqx", "zzaqx", "zzbqx", None])
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.pseudo_likelihood(docs).collect()}
+    a, _, b, _ = sorted(got)[-4:]
+    assert got[a] - got[b] == pytest.approx(np.log(2), abs=1e-4)
+
+
+def test_units_follow_the_vocabulary_and_their_words_sum_to_one(spark):
+    words = [a + b + c for a in WORDS for b in WORDS for c in "bdfh"]
+    docs = frame(spark, [" ".join(words[: 10 * i]) for i in range(1, 641)] + ["a b c", None])
+    units, counts = lm_score.corpus_units(docs, vocabulary=100)
+    sums, n = np.zeros(units.size), {r["word"]: r["n"] for r in counts.collect()}
+    for w, k in n.items():
+        sums[units.unit(w)] += 1 if w in units.top else k / units.tokens[units.unit(w)]
+        assert w not in units.inside or np.exp(units.inside[w]) == pytest.approx(k / units.tokens[units.unit(w)])
+    assert sums[units.tokens > 0] == pytest.approx(1) and not sums[units.tokens <= 0].any()
+    assert len(units.top) == int(np.ceil(4 * len(n) ** 0.5)) > 64 and units.classes == int(np.ceil(len(n) ** 0.5))
+    net, rng = lm_score.Network(units.size), np.random.default_rng(2)
+    x = np.tile(rng.integers(0, units.size + 1, 4), (units.size, 1))
+    assert np.exp(net.log_probs(x, np.arange(units.size)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_network_gradient_is_that_of_its_loss():
     net, rng = lm_score.Network(6, width=3), np.random.default_rng(1)
     x, y = rng.integers(0, 7, (20, 4)), rng.integers(0, 6, 20)
