@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell import schemas
+from lorewell.functions import prompts
 from lorewell.functions import text as T
-from lorewell.operators import catalog, fusion, graph, lexical, quality, split, vector
-from lorewell.plans.retrieve import retrieve
-from lorewell.sources import tables
+from lorewell.operators import catalog, documents, fusion, graph, lexical, quality, split, vector
+from lorewell.plans.retrieve import retrieve, retrieve_bases
+from lorewell.sources import files, tables
 from lorewell.streaming import messages, outbox
 
 
@@ -25,6 +26,8 @@ def test_scalars(spark):
     assert one(spark, T.host(F.col("u")), u="https://api.x.cn/v1") == "api.x.cn"
     assert one(spark, T.trim(F.col("t")), t="\t　 a b 　\n") == "a b"
     assert one(spark, T.overlap(F.col("p"), F.col("c")), p=" head abcabc", c="abcabc tail") == 6
+    long = "abcdefghij" * 4
+    assert one(spark, T.overlap(F.col("p"), F.col("c")), p="x" + long, c=long + "y") == 40 and one(spark, T.overlap(F.col("p"), F.col("c")), p=long + "z", c=long) == 0
     assert one(spark, T.tokens(F.col("t")), t="Go 语言模型, v2") == ["go", "语言模型", "v2", "语言", "言模", "模型"]
     assert [one(spark, T.backoff_seconds(F.col("n")), n=n) for n in (0, 1, 2)] == [30, 60, 120]
 
@@ -168,3 +171,121 @@ def test_put_chunks_keeps_the_other_rows_of_a_base(spark, tmp_path):
     put(("a", "01", "older", 0.5), ("a", "01", "second", 0.7), ("d", "01", "new", 2.0), ("b", "3", "same id elsewhere", 1.0), ("m", None, "added", 1.0))
     got = sorted((r["id"], r["content"]) for r in spark.read.parquet(path).collect())
     assert got == [("a", "second"), ("b", "same id elsewhere"), ("b", "stays"), ("c", "other base"), ("d", "new"), ("m", "added"), ("n", "no base")]
+
+
+def test_upserts_apply_repeated_ids_one_after_another(spark):
+    kind = "id string, graph_type string, weight double, description string, source_ids array<string>, updated_at int"
+    old = spark.createDataFrame([("r", "relation", 8.0, "a", ["1"], 0), ("e", "entity", 1.0, "", ["1"], 0), ("k", "entity", 5.0, "kept", None, 0)], kind)
+    new = spark.createDataFrame([("r", "relation", 4.0, "b", ["2"], 2), ("r", "relation", 6.0, "a", ["1", "3"], 1), ("e", "entity", 3.0, "d", ["2"], 1), ("n", "relation", 2.0, "x", ["9"], 1), ("n", "relation", 4.0, None, ["9"], 2)], kind)
+    got = {r["id"]: (r["weight"], r["description"], r["source_ids"], r["updated_at"]) for r in graph.upsert_docs(old, new).collect()}
+    assert got == {"r": (5.5, "a\nb", ["1", "3", "2"], 2), "e": (1.0, "d", ["1", "2"], 1), "k": (5.0, "kept", None, 0), "n": (3.0, "x", ["9"], 2)}
+
+
+def test_relations_begin_with_a_description_that_says_something(spark):
+    rows = [(1, 0, "c", "A", "B", "t", "", 1.0), (2, 0, "c", "A", "B", "t", "x", 1.0), (1, 0, "c", "B", "A", "t", "", 1.0)]
+    found = spark.createDataFrame(rows, "chunk_index long, record_index int, source_id string, src_id string, dst_id string, type string, description string, weight double")
+    assert {r["src_id"]: r["description"] for r in graph.merged_relations(found).collect()} == {"A": "x", "B": ""}
+
+
+def test_graph_view_shows_the_last_of_a_name(spark):
+    nodes = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "0")], "name string, type string")
+    shown, _ = graph.graph_view(nodes, spark.createDataFrame([("a", "b")], "src_id string, dst_id string"))
+    assert {r["name"]: r["type"] for r in shown.collect()} == {"a": "2", "b": "0"}
+
+
+def test_boundaries_that_are_missing_are_cuts(spark):
+    docs = spark.createDataFrame([(1, "one. two. three. four."), (2, "alone"), (3, None)], "doc_id long, text string")
+    no, yes = '{"is_boundary": false, "header": ""}', '{"is_boundary": true, "header": "H"}'
+    chunks = lambda answer: [(r["chunk_id"], r["content"]) for r in split.agentic_split(docs, lambda s: F.lit(answer)).orderBy("doc_id", "chunk_index").collect()]
+    rest = [("2", "alone"), ("3", "")]
+    assert chunks(f"```json\n[{no}, {yes}, {no}]```") == [("1_chunk_1", "one two"), ("1_chunk_2", "【H】\nthree four"), *rest]
+    assert chunks(f"[{no}]") == [("1_chunk_1", "one two"), ("1_chunk_2", "three"), ("1_chunk_3", "four"), *rest]
+    assert [c for _, c in chunks("no list")] == ["one", "two", "three", "four", "alone", ""]
+    windows = spark.createDataFrame([(1, ". ".join(f"s{i}" for i in range(45)))], "doc_id long, text string")
+    assert split.found_boundaries(split.sentence_windows(windows), lambda s: F.lit(None).cast("string")).select(F.size("sentences").alias("n"), F.size("boundaries").alias("b")).first() == (45, 44)
+
+
+def test_uploads_are_taken_whole_or_not_at_all(spark):
+    files_ = [("u", f"f{i}.txt", 10) for i in range(11)] + [("v", "a.PDF", 5), ("v", " ", 5), ("v", "noext", 7), ("w", "big.txt", 200 << 20)]
+    taken, refused = documents.admitted(spark.createDataFrame(files_, "upload_id string, name string, size long"), {"kb_id": 3, "tenant_id": 9, "parser_config": None}, "me", F.lit(0))
+    assert {(r["doc_name"], r["doc_type"], r["run_status"]) for r in taken.collect()} == {("a.PDF", "pdf", "pending"), ("noext", "unknown", "pending")}
+    assert all(r["storage_path"].startswith("tenant_9/kb_3/") for r in taken.collect())
+    assert sorted(r["reason"] for r in refused.collect()) == ["no name"] + ["too large"] + ["too many files"] * 11
+
+
+def test_messages_of_nulls_and_unknown_topics_are_refused(spark):
+    rows = spark.createDataFrame([("1", "t"), (None, None)], "document_id string, tenant_id string")
+    assert [r["value"] for r in messages.as_messages(rows, "document_index").collect()] == ['{"document_id":"1","tenant_id":"t"}']
+    with pytest.raises(ValueError):
+        messages.as_messages(rows, "other")
+
+
+def test_objects_and_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("hello")
+    place = f"file://{tmp_path}/bucket"
+    files.ensure_folder(spark, place)
+    files.put_object(spark, f"{tmp_path}/a.txt", f"{place}/x/a.txt")
+    files.get_object(spark, f"{place}/x/a.txt", f"{tmp_path}/b.txt")
+    assert (tmp_path / "b.txt").read_text() == "hello" and [r["text"] for r in files.load_texts(spark, f"{place}/x").collect()] == ["hello"]
+    assert files.remove_object(spark, f"{place}/x/a.txt") and not files.remove_object(spark, f"{place}/x/a.txt")
+    with pytest.raises(ValueError):
+        files.load_texts(spark, "HTTPS://host/a.txt")
+
+
+def test_folder_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m.txt").write_text('{"document_id": "7"}\n{broken\n')
+    out = []
+    found = messages.parsed(messages.read_folder(spark, f"{tmp_path}/in"), schemas.INDEX_MESSAGE, "document_id")
+    messages.run_batches(found, lambda df, n: out.extend(r["document_id"] for r in df.collect()), f"{tmp_path}/marks").awaitTermination()
+    assert out == ["7"]
+
+
+def test_what_is_ingested_can_be_put_and_deleted(spark, tmp_path):
+    from lorewell.plans.ingest import ingest
+
+    docs = spark.createDataFrame([(i, "a.txt", f"Words of text {i}. " * 30) for i in range(4)], "doc_id long, path string, text string")
+    path = f"file://{tmp_path}/index"
+    for kb in ("x", "y"):
+        tables.put_chunks(ingest(docs, "path", F.lit(kb), F.lit(1.0), size=200), path)
+    rows = spark.read.parquet(path)
+    assert rows.where("total is null or size(suggestions) = 0").count() == 0
+    left = documents.deleted_chunks(rows, "x", spark.createDataFrame([("1",)], "doc_id string"))
+    assert rows.count() - left.count() == rows.where("kb_id = 'x' and doc_id = '1'").count() > 0
+    assert {r["kb_id"] for r in catalog.cascade_delete("x", rows.select("kb_id"), rows.select("kb_id"), rows)[2].select("kb_id").distinct().collect()} == {"y"}
+
+
+def test_bases_are_searched_in_one_job(spark):
+    rows = [("a", 1, "red fox", [1.0, 0.0], ["k1"]), ("b", 2, "red fox runs", [0.0, 1.0], ["k1", "k2"]), ("c", 3, "red whale", [1.0, 1.0], ["k2"]), ("d", 4, "red fox", [1.0, 0.0], ["k3"])]
+    chunks = spark.createDataFrame(rows, "id string, doc_id long, content string, embedding array<double>, kb_ids array<string>")
+    queries = spark.createDataFrame([(1, "red fox", [1.0, 0.0])], "query_id long, query string, query_vector array<double>")
+    got = {(r["kb_id"], r["id"], r["rank"]) for r in retrieve_bases(chunks, queries, ["k1", "k2"], k=2, least=0.4).collect()}
+    assert got == {("k1", "a", 1), ("k1", "b", 2), ("k2", "b", 1), ("k2", "c", 2)}
+    narrowed = retrieve(chunks, queries, "fulltext", doc_ids=[3], least=0.1).collect()
+    assert [(r["id"], r["score"]) for r in narrowed] == [("c", 0.5)]
+    every, one_ = lexical.bm25(chunks, queries, "id"), lexical.bm25(chunks, queries, "id", among=F.col("doc_id") == 3)
+    assert {r["id"]: r["score"] for r in every.collect()}["c"] == one_.first()["score"]
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)).round(1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    asked = rows.where("id % 10 = 0").selectExpr("id as query_id", "embedding as query_vector")
+    whole = {(r["query_id"], r["id"], r["score"], r["rank"]) for r in vector.knn(rows, asked, 7).collect()}
+    monkeypatch.setattr(vector, "BLOCK", 40)
+    assert {(r["query_id"], r["id"], r["score"], r["rank"]) for r in vector.knn(rows.repartition(5), asked, 7).collect()} == whole
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 10):
+        s = np.round((1 + u @ u[q]) / 2, 6)
+        best = sorted(range(300), key=lambda i: (-s[i], i))[:7]
+        assert {(i, r) for k, i, _, r in whole if k == q} == {(i, r) for r, i in enumerate(best, 1)}
+
+
+def test_prompts(spark):
+    got = one(spark, prompts.filled("{a} and {n}: {{x}}", a=F.col("a"), n=2), a="{b}")
+    assert got == "{b} and 2: {x}" and one(spark, prompts.numbered(F.col("s")), s=["u", "v"]) == "1. u\n2. v"
+    with pytest.raises(KeyError):
+        prompts.filled("{missing}")
