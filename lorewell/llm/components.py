@@ -19,23 +19,22 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
     """(node, component): the least node reachable, for every node of ``links`` (a, b).
 
     Alternating stars: first every node hands its larger neighbours the least node it knows, then
-    its smaller ones, until nothing moves; the number of rounds grows with the logarithm of a
+    its smaller ones, until no edge moves; the number of rounds grows with the logarithm of a
     component's length. Each round is written to the shared folder. Aggregations combine
     before the shuffle, so a node with very many links is no hot group.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = scratch.keep(edges, f"{name}0")
-    sign = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")]
-    last, k = edges.agg(*sign).first(), 0
-    while last["n"]:
+    size, k = edges.count(), 0
+    while size:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _lowest(both, True).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _lowest(large, False)
         star = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = scratch.keep(star.where("u <> v").distinct(), f"{name}{k + 1}")
+        before, edges = edges, scratch.keep(star.where("u <> v").distinct(), f"{name}{k + 1}")
+        still = edges.count() == size and edges.join(before, ["u", "v"], "left_anti").isEmpty()
         scratch.drop(f"{name}{k}")
-        now, k = edges.agg(*sign).first(), k + 1
-        if now == last:
+        size, k = edges.count(), k + 1
+        if still:
             break
-        last = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,12 +5,20 @@ A shingle hash is first permuted by one permutation, then its place is shifted c
 signature. Two permutations of 2^32 places so give all coordinates, with no table of seeds.
 
 Texts with the same shingle set are one class and are compared once. Classes that share a band
-meet in a bucket. No bucket is expanded into all pairs: every class is compared with its bucket's
-hub first; links merge classes into components, and only classes outside a bucket's largest
-component are then compared with the rest of it. A pair left out lies inside one component
-already, so components are those of all links between candidates.
+meet in a bucket, and no bucket is expanded into pairs:
 
-With bands of 6 coordinates, 40 bands miss a pair of similarity 0.8 with probability 5e-6.
+1. Every class is compared with its buckets' hubs. The hub is the member that meets most classes over
+   all its buckets, so one group of copies shares few hubs and a class has few pairs.
+2. Links merge classes into components. Only buckets that still hold several are open.
+3. Classes of open buckets meet through their rarest shingles: those of one component alone come
+   first, as they can't be shared across components, then the others by frequency. A link
+   needs a common shingle at a place that leaves room for the overlap it asks for. So an outlier of a
+   crowded group, rich in shingles of its own, gets no pairs, and no link is lost.
+
+Step 3 compares all classes of open buckets, not only those that share one. A pair that is never
+compared lies inside one component already, so components are those of all links between candidates.
+
+With bands of 8 coordinates, 50 bands miss a pair of similarity 0.8 with probability 1e-4.
 
 Defined results: texts that are null or have no words have an empty set and are linked with
 nothing; shorter texts than a shingle are one shingle; rows of one id are one node; a null id has
@@ -24,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm.components import connected_components
@@ -91,24 +99,62 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, shingles array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``percent`` / 100 or more."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 2000) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``percent`` / 100 or more.
+
+    A class with very many pairs is no hot key: its set is repeated for every ``per_task`` of them.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_task)).alias("salts"))
+    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(salts, "a")
+    a = a.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("all"))
+    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+    both = salted.join(b, "b").join(a, ["a", "salt"])
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
     return both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("all") - F.col("n"))).select("a", "b")
 
 
+def _close(n: str, m: str, percent: int) -> Column:
+    """Sets of sizes too different can't be that similar."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _across(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from ``groups`` (id, component, shingles).
+
+    Sets of sizes n and m are linked only if they share o = percent / (100 + percent) * (n + m) shingles;
+    so the first of their common ones, in any order that all sets share, has o - 1 others behind it in both.
+    """
+    words = groups.select("id", F.col("component").alias("c"), F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    rank = words.groupBy("t").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("t", "f")
+    shared = words.join(rank, "t").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
+    # places before the first shared shingle are taken by those of one component alone
+    first = F.col("n") - F.size("s")
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1
+    prefix = shared.where(most > first).select("id", "c", "n", first.alias("at"), F.posexplode(F.slice("s", F.lit(1), most - first)).alias("i", "x"))
+    prefix = prefix.select(F.col("x.t").alias("t"), "id", "c", "n", (F.col("n") - F.col("at") - F.col("i")).alias("room"))
+    # one side of a pair lies outside the component that holds most of a shingle's sets
+    major = prefix.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.count(F.lit(1)).alias("cs"), F.max_by("c", F.struct("k", "c")).alias("major"))
+    minor = prefix.join(major.where("cs > 1"), "t").where(F.col("c") != F.col("major"))
+    minor = minor.select("t", F.col("id").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("room").alias("ar"), "major")
+    rest = prefix.select("t", F.col("id").alias("b"), F.col("c").alias("bc"), F.col("n").alias("bn"), F.col("room").alias("br"))
+    pairs = minor.join(rest, "t").where(
+        (F.col("ac") != F.col("bc"))
+        & ((F.col("bc") == F.col("major")) | (F.col("a") < F.col("b")))
+        & _close("an", "bn", percent)
+        & ((100 + percent) * F.least("ar", "br") >= percent * (F.col("an") + F.col("bn")))
+    )
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     k: int = 5,
     percent: int = 80,
-    bands: int = 40,
-    rows: int = 6,
+    bands: int = 50,
+    rows: int = 8,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (same set), component_id (linked classes) and kept."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -118,41 +164,29 @@ def near_duplicates(
     classes = scratch.keep(classes, "classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("n"))
-    first = F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n"))
-    hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), first.alias("hub")).where("c > 1").select("bucket", "hub")
-    members = scratch.keep(members.join(hubs, "bucket").select("bucket", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
-
-    def close(n: str, m: str):  # sets of sizes too different can't be that similar
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    crowds = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = scratch.keep(members.join(crowds, "bucket"), "members")
+    meets = members.groupBy("id").agg(F.sum("c").alias("meets"))
+    hubs = members.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("id").alias("o"), "id", "n")).alias("hub"))
+    star = members.join(hubs, "bucket").where((F.col("id") != F.col("hub.id")) & _close("n", "hub.n", percent))
+    star = star.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
 
     sets = scratch.keep(_sets(docs, id_col, text_col, k, members.select("id").distinct()), "sets")
-    star = members.where((F.col("id") != F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.keep(_linked(star, sets, percent), "links")
-    found = connected_components(links, scratch, "star")
-
-    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", "hub", F.coalesce("component", "id").alias("component"))
-    mixed_buckets = named.groupBy("bucket").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("bucket")
-    named = scratch.keep(named.join(mixed_buckets, "bucket", "left_semi"), "open")
-    shares = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    major = shares.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
-    minor = named.join(major, "bucket").where(F.col("component") != F.col("major")).select("bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), "major")
-    rest = named.select("bucket", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "hub")
-    cross = minor.join(rest, "bucket").where(
-        (F.col("ac") != F.col("bc"))
-        & ((F.col("bc") == F.col("major")) | (F.col("a") < F.col("b")))
-        & (F.col("a") != F.col("hub"))
-        & (F.col("b") != F.col("hub"))  # compared before
-        & close("an", "bn")
-    )
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.keep(_linked(cross, sets, percent), "more")
+    links = scratch.keep(_linked(scratch.keep(star, "star"), sets, percent), "links")
+    found = connected_components(links, scratch, "first")
+
+    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    named = scratch.keep(named, "named")
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("bucket")
+    open_ = named.join(open_, "bucket", "left_semi").select("id", "component").distinct()
+    more = scratch.keep(_linked(scratch.keep(_across(open_.join(sets, "id"), percent), "across"), sets, percent), "more")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), scratch, "all")
 
     at = classes.select("digest", "n_shingles", F.col("id").alias("class_id"))
     at = at.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     at = scratch.keep(at, "membership")
-    scratch.drop("sets", "members", "open")
+    scratch.drop("sets", "members", "named", "star", "across", "classes")
     out = table.select("doc_id", "n_shingles", "digest").join(at, ["digest", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
