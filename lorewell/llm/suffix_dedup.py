@@ -11,10 +11,14 @@ document or any other. Matches never cross documents; strings are judged on the
 3. Different contexts of one gram meet in a task, whose suffixes (cut at ``length`` bytes) pass through an
    index family: each batch gets a suffix array, is merge-scanned against the arrays of all levels,
    and levels of equal size merge, so sizes grow geometrically. Tasks are dealt a bounded number of suffixes.
-4. A gram with very many different contexts is no group for one task: its strings are
-   counted by their 128-bit hash, combined before the shuffle.
+4. A gram with more different contexts than ``per_gram`` is no group for one task: what it has may be
+   a third of all rows. Its contexts are cut into blocks of strings by the gram's offset; blocks are counted by their
+   128-bit hash, combined before the shuffle, and only strings of blocks that occur once, a few at either edge of
+   a common passage, are counted one by one. Both ways find the same strings.
 5. Repeated strings become intervals of their documents; their union is cut out.
 
+Rows are numbered once, in a table that the later steps read, so no hash stands for a document.
+
 Defined results: null is an empty text; texts shorter than ``length`` lose nothing; rows that repeat id
 and text are documents of their own, each loses what the other holds; empty tables give empty tables.
 """
@@ -159,48 +163,49 @@ def _sample(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "seed long, doc long, loc long")
 
 
+def _packed(out: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), names.values(), strict=True)], list(names))
+
+
 def _places(likely: DataFrame, length: int) -> DataFrame:
     """Every marked context by its hash and where it stands; its bytes stay where they are."""
+    names = {"seed": pa.int64(), "cid": pa.binary(), "n": pa.int32(), "o": pa.int32(), "doc": pa.int64(), "a": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "cid", "n", "doc", "a"]
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
         for batch in batches:
             out = []
             for doc, text, marks in zip(*(batch.column(i) for i in range(3)), strict=True):
                 doc, text = doc.as_py(), text.as_py()
                 for seed, loc in zip(marks.values.field(0).to_pylist(), marks.values.field(1).to_pylist(), strict=True):
                     a, n, o = loc >> 16, loc >> 8 & 255, loc & 255
-                    out.append((seed, xxhash.xxh3_128_digest(text[a : a + n - 1 + length], seed=o), n, doc, a))
+                    out.append((seed, xxhash.xxh3_128_digest(text[a : a + n - 1 + length], seed=o), n, o, doc, a))
                 if len(out) >= 20_000:
-                    yield pack(out)
+                    yield _packed(out, names)
                     out = []
             if out:
-                yield pack(out)
+                yield _packed(out, names)
 
-    return likely.mapInArrow(run, "seed long, cid binary, n int, doc long, a long")
+    return likely.mapInArrow(run, "seed long, cid binary, n int, o int, doc long, a long")
 
 
 def _bytes(wanted: DataFrame, length: int) -> DataFrame:
-    """The contexts themselves, from (text, of: array of (seed, cid, n, k, a))."""
+    """The contexts themselves, from (text, of: array of (seed, cid, n, o, k, a))."""
+    names = {"seed": pa.int64(), "cid": pa.binary(), "n": pa.int32(), "o": pa.int32(), "k": pa.int64(), "ctx": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
-        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["seed", "cid", "n", "k", "ctx"])
         for batch in batches:
             out = []
             for text, of in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
-                for seed, cid, n, k, a in zip(*(of.values.field(i).to_pylist() for i in range(5)), strict=True):
-                    out.append((seed, cid, n, k, text[a : a + n - 1 + length]))
+                for seed, cid, n, o, k, a in zip(*(of.values.field(i).to_pylist() for i in range(6)), strict=True):
+                    out.append((seed, cid, n, o, k, text[a : a + n - 1 + length]))
                 if len(out) >= 20_000:
-                    yield pack(out)
+                    yield _packed(out, names)
                     out = []
             if out:
-                yield pack(out)
+                yield _packed(out, names)
 
-    return wanted.mapInArrow(run, "seed long, cid binary, n int, k long, ctx binary")
+    return wanted.mapInArrow(run, "seed long, cid binary, n int, o int, k long, ctx binary")
 
 
 def _indexed(groups: DataFrame, length: int, batch_rows: int = 512) -> DataFrame:
@@ -228,17 +233,49 @@ def _indexed(groups: DataFrame, length: int, batch_rows: int = 512) -> DataFrame
     return groups.mapInArrow(run, "cid binary, s int, e int")
 
 
+def _blocks(groups: DataFrame, length: int, offsets: int = 8) -> DataFrame:
+    """(h, cid, s, e): strings s to e of the contexts that have the gram at ``offsets`` places next to each other."""
+    names = {"h": pa.binary(), "cid": pa.binary(), "s": pa.int32(), "e": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                out = []
+                for cid, ctx, n, o in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
+                    s = 0
+                    while s < n:  # string s has the gram at o - s
+                        e = min(n - 1, s + (o - s) % offsets)
+                        out.append((xxhash.xxh3_128_digest(ctx[s : e + length], seed=o - s), cid, s, e))
+                        s = e + 1
+                yield _packed(out, names)
+
+    return groups.select("cid", "ctx", "n", "o").mapInArrow(run, "h binary, cid binary, s int, e int")
+
+
 def _strings(groups: DataFrame, length: int) -> DataFrame:
-    """(h, cid, s): every string of the contexts by its hash."""
+    """(h, cid, s, c): every string of some blocks of contexts by its hash, from (cid, ctx, of: array of (s, e, c))."""
+    names = {"h": pa.binary(), "cid": pa.binary(), "s": pa.int32(), "c": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                out = [(xxhash.xxh3_128_digest(ctx[s : s + length]), cid, s) for cid, ctx, n in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True) for s in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["h", "cid", "s"])
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True)
+                yield _packed([(xxhash.xxh3_128_digest(ctx[s : s + length]), cid, s, x["c"]) for cid, ctx, of in rows for x in of for s in range(x["s"], x["e"] + 1)], names)
+
+    return groups.select("cid", "ctx", "of").mapInArrow(run, "h binary, cid binary, s int, c long")
+
 
-    return groups.mapInArrow(run, "h binary, cid binary, s int")
+def _crowded(groups: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(cid, s, e): runs of repeated strings of contexts (cid, ctx, n, o), however many share a gram."""
+    blocks = scratch.keep(_blocks(groups, length), "blocks")
+    counts = scratch.keep(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cid", "s", "e")).alias("x")), "counts")
+    again = blocks.join(counts.where("c > 1").select("h"), "h", "left_semi").select("cid", "s", "e")
+    # one block of each kind; what is not alone counts as repeated already
+    some = counts.groupBy("x.cid").agg(F.collect_list(F.struct("x.s", "x.e", "c")).alias("of"))
+    strings = scratch.keep(_strings(groups.join(some, "cid"), length), "strings")
+    twice = strings.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
+    alone = strings.where("c = 1").join(twice, "h", "left_semi").select("cid", "s", F.col("s").alias("e"))
+    return again.unionByName(alone)
 
 
 def _cut(touched: DataFrame) -> DataFrame:
@@ -265,44 +302,43 @@ def _cut(touched: DataFrame) -> DataFrame:
     return touched.mapInArrow(run, "doc long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, hot: int = 200, per_task: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, per_gram: int = 200, per_task: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """(documents, cuts).
 
-    documents: doc_id, doc (a hash of id and text), n_bytes and sha256 of every row; cuts: doc, n_removed,
-    n_spans, kept_sha256 and kept of documents that lose bytes. ``hot``: different contexts of a gram up to
-    which a task compares them; ``per_task``: suffixes a task indexes.
+    documents: doc_id, doc (the row's number), n_bytes and sha256 of every row; cuts: doc, n_removed,
+    n_spans, kept_sha256 and kept of documents that lose bytes. ``per_gram``: different contexts of a gram that
+    meet in the index of one task; ``per_task``: suffixes a task indexes.
     """
+    if not 0 < gram <= length < gram + 255:
+        raise ValueError("a gram is shorter than a string, by less than 255 bytes")
     scratch = Scratch(docs.sparkSession, "suffix")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("doc", F.monotonically_increasing_id())
+    rows = scratch.keep(rows, "rows")
     samples = scratch.keep(_sample(rows.select("doc", "text"), length, gram), "samples")
     twice = samples.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed")
-    marks = samples.join(twice, "seed", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("seed", "loc")).alias("marks"))
+    marks = samples.join(twice, "seed", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("seed", "loc")).alias("marks"))
     likely = scratch.keep(rows.select("doc", "text").join(marks, "doc"), "likely")
     scratch.drop("samples")
     places = scratch.keep(_places(likely, length), "places")
 
-    distinct = places.groupBy("cid", "seed", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "a")).alias("at"))
+    distinct = places.groupBy("cid", "seed", "n", "o").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "a")).alias("at"))
     distinct = scratch.keep(distinct, "contexts")
     grams = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).where("k > 1")
     grams = scratch.keep(grams, "grams")
-    total = grams.where(F.col("k") <= hot).agg(F.sum("m")).first()[0] or 0
+    total = grams.where(F.col("k") <= per_gram).agg(F.sum("m")).first()[0] or 0
     # bytes are fetched once per context, and only where a gram has different contexts
     wanted = distinct.join(grams.select("seed", "k"), "seed")
-    wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("seed", "cid", "n", "k", "at.a")).alias("of"))
+    wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("seed", "cid", "n", "o", "k", "at.a")).alias("of"))
     differ = scratch.keep(_bytes(likely.select("doc", "text").join(wanted, "doc").select("text", "of"), length), "differ")
-    shared = differ.where(F.col("k") <= hot).repartition(max(1, -(-total // per_task)), "seed").select("cid", "ctx", "n")
-    found = _indexed(shared, length)
-    crowded = differ.where(F.col("k") > hot).select("cid", "ctx", "n")
-    strings = scratch.keep(_strings(crowded, length), "strings")
-    again = strings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    by_hash = strings.join(again, "h", "left_semi").select("cid", "s", F.col("s").alias("e"))
+    shared = differ.where(F.col("k") <= per_gram).repartition(max(1, -(-total // per_task)), "seed").select("cid", "ctx", "n")
+    crowded = _crowded(differ.where(F.col("k") > per_gram).select("cid", "ctx", "n", "o"), length, scratch)
     whole = distinct.where("c > 1").select("cid", F.lit(0).alias("s"), (F.col("n") - 1).alias("e"))
-    found = scratch.keep(found.unionByName(by_hash).unionByName(whole), "found")
-    scratch.drop("differ", "strings", "contexts", "grams")
+    found = scratch.keep(_indexed(shared, length).unionByName(crowded).unionByName(whole), "found")
+    scratch.drop("differ", "blocks", "counts", "strings", "contexts", "grams")
 
     cuts = places.select("cid", "doc", "a").join(found, "cid").groupBy("doc").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e") + length).alias("e"))).alias("cuts"))
-    lost = _cut(likely.select("doc", "text").dropDuplicates(["doc"]).join(cuts, "doc").select("doc", "text", "cuts"))
+    lost = _cut(likely.select("doc", "text").join(cuts, "doc").select("doc", "text", "cuts"))
     plain = rows.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
     return plain, lost
 
