@@ -14,9 +14,12 @@ dealt over as many leaves as it needs, so a hot source is no hot group.
 
 Randomness is a hash of ids, level and seed: reruns agree.
 
-Defined results: documents without words (null or blank text) have size 0 and take 0 words; the
+Rows equal in id, source and text, however many, are one unit: of m of them m times the
+probability, rounded down, get a copy for certain, and only what is left over is drawn for one more.
+
+Defined results: documents without words (null or blank text) have size 0, one copy and take 0 words; the
 null source is a source of its own, last in order; repeated rows are separate documents that may
-get different copies; an empty table gives an empty table.
+get different copies; rows without an id are told apart by their texts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,31 +39,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds rank: the number of sources before it by code point, null last. Parts of a range are counted, then each is numbered."""
+    order = F.col("source").asc_nulls_last()
+    parts = scratch.keep(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k")).withColumn("first", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("i", within).join(counts.select("part", "first"), "part").withColumn("rank", F.col("first") + F.col("i")).drop("part", "i", "first")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """Columns source, docs, source_size, target: one row per source of ``sizes`` (source, size).
+    """Columns source, docs, source_size, target: one row per source of ``sizes`` (source, docs, size).
 
     Weights repeat over the sources in code-point order, null last. Targets share ``share`` of all
     words by weight, up to ``limit`` times the source's words; what is over goes to the others by
-    weight. The level at which this settles is found by ordering sources by limit over weight.
+    weight. Round after round, sources above their limit at the level so far are fixed, until none is.
     """
-    totals = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights)) + 1)
-    df = totals.withColumns({"w": w, "most": F.col("source_size") * F.lit(float(limit))})
-    df = df.withColumn("full_at", F.col("most") / F.col("w"))
-    by = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(1))
-    df = df.withColumns(
-        {
-            "at": F.row_number().over(by),
-            "spent": F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)),
-            "sharing": F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)),
-            "words": F.sum("source_size").over(everything) * F.lit(float(share)),
-        }
-    )
-    df = df.withColumn("level", (F.col("words") - F.coalesce("spent", F.lit(0.0))) / F.col("sharing"))
-    level = F.min_by(F.when(F.col("full_at") > F.col("level"), F.col("level")), F.when(F.col("full_at") > F.col("level"), F.col("at"))).over(everything)
-    return df.select("source", "docs", "source_size", F.least(F.col("most"), F.coalesce(level * F.col("w"), F.col("most"))).alias("target"))
+    scratch = Scratch(sizes.sparkSession, "targets")
+    totals = scratch.keep(sizes.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("size").alias("source_size")), "totals")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights)).cast("int") + 1)
+    df = scratch.keep(_ranked(totals, scratch).withColumns({"w": w, "most": F.col("source_size") * F.lit(float(limit))}), "weighed")
+    words = (df.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level, fixed = 0.0, -1
+    while True:
+        full = F.col("most") < F.lit(level) * F.col("w")
+        now = df.agg(F.count(F.when(full, 1)).alias("n"), F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("spent"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        if now["n"] == fixed or not now["open"]:
+            break
+        fixed, level = now["n"], (words - (now["spent"] or 0.0)) / now["open"]
+    return df.select("source", "docs", "source_size", F.least(F.col("most"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def _uniform(*of: Column) -> Column:
@@ -126,32 +134,42 @@ def mix_sources(
     """Per document: doc_id, source, size, source_size, target, copies and taken (copies x size)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = scratch.keep(sized, "sizes")
-    targets = scratch.keep(source_targets(sized, weights, share, limit).coalesce(1), "targets")  # a row per source
+    text = F.col(text_col).cast("string")
+    mark = [F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b")]
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), *mark)
+    sized = scratch.keep(sized.groupBy("doc_id", "source", "size", "a", "b").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    each = sized.groupBy("source").agg(F.sum("m").alias("docs"), F.sum(F.col("size") * F.col("m")).alias("size"))
+    targets = scratch.keep(source_targets(each, weights, share, limit), "targets")  # a row per source
     leaves = F.ceil(F.col("docs") / F.lit(fanout))
     df = sized.join(targets, sized["source"].eqNullSafe(targets["source"]), "left").drop(targets["source"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     df = df.withColumn("r", expected).withColumn("whole", F.floor(F.col("r") + EPS).cast("long"))
     df = df.withColumn("p", _snap(F.greatest(F.lit(0.0), F.col("r") - F.col("whole"))))
-    df = df.withColumns({"salt": F.xxhash64("doc_id", "source", F.lit(seed)), "leaves": leaves})
+    df = df.withColumns({"salt": F.xxhash64("doc_id", "source", "a", "b", F.lit(seed)), "leaves": leaves})
+    # the m rows of a unit: the first ones are certain of a copy, the next one is drawn, the others get none
+    certain = F.floor(F.col("p") * F.col("m") + EPS)
+    df = df.select("*", certain.alias("certain"), _snap(F.col("p") * F.col("m") - certain).alias("over"), F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("i"))
+    own = F.when(F.col("i") <= F.col("certain"), 1.0).when(F.col("i") == F.col("certain") + 1, F.greatest(F.lit(0.0), F.col("over"))).otherwise(0.0)
+    df = df.withColumn("p", F.when(F.col("m") == 1, F.col("p")).otherwise(own))
 
     kind = ROW.format(id=dict(sized.dtypes)["doc_id"])
     outcome = ["source", "doc_id", "size", "whole", "p"]
     settled = (F.col("p") == 0) | (F.col("p") == 1) | (F.col("size") == 0)
     parts = [df.where(settled).select(*outcome)]
     level, most = 0, targets.agg(F.max(leaves)).first()[0] or 0
-    todo = df.where(~settled)
+    todo = df.where(~settled).withColumn("many", F.col("m") > 1)
     while most:
         leaf = F.pmod(F.xxhash64("salt", F.lit(level), F.lit(seed)), F.col("leaves"))
         row = F.struct("size", F.xxhash64("salt", F.lit(seed + level)).alias("salt"), "doc_id", "whole", "p")
-        groups = todo.groupBy("source", "leaves", leaf.alias("leaf")).agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
-        fold = _leaf if level == 0 else _pairs
-        done = groups.select("source", "leaves", F.explode(fold(F.col("rows"), kind, seed + level)).alias("x")).select("source", "leaves", "x.*")
+        groups = todo.groupBy("source", "leaves", leaf.alias("leaf"), "many").agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
+        folded = _pairs(F.col("rows"), kind, seed + level)
+        if level == 0:  # what is left over of a unit has a probability of its own
+            folded = F.when(F.col("many"), folded).otherwise(_leaf(F.col("rows"), kind, seed))
+        done = groups.select("source", "leaves", F.explode(folded).alias("x")).select("source", "leaves", "x.*")
         done = scratch.keep(done, f"level{level}")
         open_ = ~((F.col("p") == 0) | (F.col("p") == 1))
         parts.append(done.where(~open_).select(*outcome))
-        todo = done.where(open_).withColumn("leaves", F.ceil(F.col("leaves") / F.lit(fanout)))
+        todo = done.where(open_).withColumns({"leaves": F.ceil(F.col("leaves") / F.lit(fanout)), "many": F.lit(False)})
         level += 1
         if most == 1:
             last = F.when(_uniform(F.col("salt"), F.lit(seed + level)) < F.col("p"), 1.0).otherwise(0.0)
@@ -160,7 +178,7 @@ def mix_sources(
     rounded = parts[0]
     for part in parts[1:]:
         rounded = rounded.unionByName(part)
-    rounded = rounded.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.least(F.col("whole"), F.lit(1))))
+    rounded = rounded.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(1).cast("long")))
     totals = targets.select(F.col("source").alias("_source"), "source_size", "target")
     return (
         rounded.join(totals, rounded["source"].eqNullSafe(totals["_source"]), "left")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one in a local session (tests), an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lorewell.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lorewell-')}"
         spark.conf.set("spark.lorewell.scratch", folder)
     return folder.rstrip("/")

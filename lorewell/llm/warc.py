@@ -5,8 +5,8 @@ text writer puts them into files on any file system it can write. The writer end
 a separator; every member ends with a zero byte (the high byte of the uncompressed size, see
 ``member``), so that byte is cut off and the separator is that byte: files are plain ``.warc.gz`` content.
 
-Reading: every archive is one row of bytes; it is decompressed piece by piece, records are framed
-by their Content-Length, and digests are verified.
+Reading: every archive is one row of bytes, which the size of files bounds; it is decompressed piece by piece,
+records are framed by their Content-Length, and digests are verified.
 
 Deduplication: of records with equal payloads of ``least`` bytes or more, the one of the largest id
 is the response, others are revisits that refer to it.
@@ -27,7 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.llm.scratch import Scratch
+
 CHUNK = 1 << 16
+HELD = 8_000_000
+SALTS = 8
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, verified boolean"
 
 
@@ -70,24 +74,40 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, per_file: int = 4000) -> None:
-    """Writes a record a row below ``path``; files hold at most ``per_file`` records."""
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, per_file: int = 4000, file_bytes: int = 1 << 26) -> None:
+    """Writes a record a row below ``path``; a file holds about ``file_bytes`` of payload and at most ``per_file`` records.
+
+    Payloads are shuffled once, by id and digest, into as many parts as their bytes ask for.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
-    keys = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
+    scratch = Scratch(pages.sparkSession, "warc")
+    keys = scratch.keep(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")), "keys")
+    parts = max(1, -(-(keys.agg(F.sum("n")).first()[0] or 0) // file_bytes))
     # only payloads that occur twice need a look: a narrow table, combined before its shuffle
     large = keys.where((F.col("n") >= least) & F.col("page_id").isNotNull())
     twice = large.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to")
-    again = large.join(twice, ["digest", "n"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
-    rows = rows.withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    # a payload that a third of all pages have is dealt to several tasks
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    large = large.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = large.join(twice.select("*", spread), ["digest", "n", "salt"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    rows = rows.withColumn("digest", F.sha1("payload")).repartition(parts, "page_id", "digest")
+    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                made = [member(record(*row.values()))[:-1] for row in batch.slice(at, 512).to_pylist()]
+            made, size = [], 0
+            for at in range(batch.num_rows):  # one page at a time: it may be very long
+                made.append(member(record(*(c[0].as_py() for c in batch.slice(at, 1).columns)))[:-1])
+                size += len(made[-1])
+                if size >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+                    made, size = [], 0
+            if made:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
     members = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
     members.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+    scratch.drop("keys")
 
 
 def members_of(archive: bytes) -> Iterator[bytes]:
@@ -145,7 +165,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                     own = payload if kind == "response" and with_payload else None
                     rows.append((_page(x["warc-record-id"]), x["warc-target-uri"], kind, _page(x.get("warc-refers-to")), int(x["x-payload-length"]), digest.hex(), own, good))
                     size += len(data)
-                    if size >= 8_000_000:
+                    if size >= HELD:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows, size = [], 0
                 if rows:
