@@ -38,13 +38,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of five-word shingle sets of similarity 0.8 or more."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"))
-    same = Window.partitionBy("id").orderBy(F.col("doc.text"), F.xxhash64("doc"))
-    named = rows.where("id is not null").join(kept.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-    named = named.withColumn("n", F.row_number().over(same)).where("n = 1").select("doc.*")
-    return named.unionByName(rows.where("id is null").select("doc.*"))
+    """The row of least id of each component of five-word shingle sets of similarity 0.8 or more, null ids last.
+
+    Rows are told apart by all they hold, so rows that share an id but not a text are documents of their own.
+    """
+    rows = _keyed(docs).select("doc", F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("id"), "key").alias("key"))
+    found = minhash.near_duplicates(rows.select("key", F.col("doc.text").alias("text")), id_col="key").where("kept")
+    kept = found.groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size"))
+    rows = rows.join(kept, "key")
+    once = (F.col("n") == 1) | (F.col("size") == 0)  # rows without words are no copies of each other
+    return rows.where(once).select("doc.*").unionByName(rows.where(~once).dropDuplicates(["key"]).select("doc.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
