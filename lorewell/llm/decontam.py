@@ -10,8 +10,8 @@ Documents probe the sketches with every shingle; candidates are verified on the
 
 Words are runs of letters and digits in lower case, so punctuation and line breaks don't matter.
 
-Defined results: a text of fewer words than a shingle is one shingle, so such an item is found only
-in documents that consist of it; null or wordless items and documents match nothing; rows of one id
+Defined results: a text of fewer words than a shingle is one shingle; documents are also probed with windows
+of the lengths that such items have, so they are found anywhere; null or wordless items and documents match nothing; rows of one id
 are one document (or item) with all their shingles; null ids are never reported; empty tables give
 an empty table.
 """
@@ -49,6 +49,14 @@ def shingle_hashes(words_col: str, k: int) -> Column:
     return F.when(F.size(w) >= k, each).when(F.size(w) > 0, F.array(F.aggregate(w, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x))))
 
 
+def short_windows(words_col: str, n: int, hashed: bool) -> Column:
+    """Every run of ``n`` words, as the one shingle of a text of ``n`` words: its hash or its text."""
+    w = F.col(words_col)
+    run = lambda i: F.slice(w, i + 1, n)
+    one = (lambda _, i: F.aggregate(run(i), F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x))) if hashed else (lambda _, i: F.array_join(run(i), " "))
+    return F.transform(_windows(words_col, n), one)
+
+
 def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -57,6 +65,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """One row per document and item found: doc_id, item_id, n_item, n_shared and containment."""
     scratch = Scratch(docs.sparkSession, "decontam")
     own = items.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).where("item_id is not null")
+    short = sorted(r["n"] for r in own.select(F.size("w").alias("n")).where(F.col("n").between(1, k - 1)).distinct().collect())
     own = own.select("item_id", F.explode(F.arrays_zip(shingle_texts("w", k).alias("s"), F.array_distinct(shingle_hashes("w", k)).alias("h"))).alias("x"))
     own = scratch.keep(own.select("item_id", "x.s", "x.h").distinct(), "items")
     sizes = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.sort_array(F.collect_set("h")).alias("h"))
@@ -66,11 +75,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     n_sketch, n_items = sizes.count(), own.count()
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).where("doc_id is not null")
-    probes = narrow.select("doc_id", F.explode(shingle_hashes("w", k)).alias("h"))
+    probes = narrow.select("doc_id", F.explode(F.concat(shingle_hashes("w", k), *[short_windows("w", n, True) for n in short])).alias("h"))
     candidates = scratch.keep(probes.join(_few(sizes.select("item_id", "h"), n_sketch), "h").select("doc_id", "item_id").distinct(), "candidates")
 
     likely = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    likely = likely.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_texts("w", k)).alias("s"))
+    likely = likely.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.concat(shingle_texts("w", k), *[short_windows("w", n, False) for n in short])).alias("s"))
     shared = likely.join(_few(own.select("item_id", "s"), n_items), "s").join(candidates, ["doc_id", "item_id"], "left_semi")
     shared = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
     totals = sizes.select("item_id", "n_item").distinct()
@@ -89,10 +98,14 @@ WITH d AS (
 ), its AS (
   SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i
+), short AS (
+  SELECT DISTINCT len(w) AS n FROM i WHERE len(w) BETWEEN 1 AND 4
+), dss AS (
+  SELECT * FROM ds UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) FROM d, short
 ), n AS (
   SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id
 ), m AS (
-  SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN its USING (s) GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, count(*) AS n_shared FROM dss JOIN its USING (s) GROUP BY doc_id, item_id
 )
 SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS containment
 FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
