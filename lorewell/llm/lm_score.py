@@ -2,14 +2,15 @@
 
 All counts cover the whole corpus. The frequent words are output units of their own, all other words
 share units by their last two letters; how many of both there are follows the number of different words.
-A network reads the units of two words on either side (embeddings by position, one hidden layer) and
-decides its way down a binary tree to a unit, so that a token costs the logarithm of the units:
-log p(word | context) = log p(unit | context) + log p(word | unit). The latter is the word's own count over
-its unit's: tasks hold the most frequent words, and every other word meets the table of counts in a join.
+A network reads the units of two words on either side (embeddings by position, one hidden layer), leaves
+the word itself out, and predicts its unit by a softmax in two levels, a group of units and the unit within it:
+log p(word | context) = log p(group | context) + log p(unit | group, context) + log p(word | unit). The last is the word's own
+count over its unit's: tasks hold the most frequent words, and every other word meets the table of counts in a join.
 
-Training is data-parallel: every task masks a share of the positions of each of its documents
-and trains a copy of the network on them in numpy; copies are averaged by tokens with an
-aggregation that combines before its shuffle; the mean starts the next round. No document is left out.
+Texts become rows of units once. Every position of every text is a target once: documents are dealt to
+rounds and, by a hash of id and words, to tasks; in a round every task trains a copy of the network
+in numpy, and copies are averaged by tokens with an aggregation that combines before its shuffle. The
+number of tasks follows the number of tokens, so another layout of the files gives the same network.
 
 Defined results: null texts and texts without words have 0 tokens, log-probability 0 and a null mean and
 perplexity; repeated rows score the same; an empty table gives an empty table.
@@ -29,14 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.llm.scratch import Scratch
+
 WORD = re.compile(r"[^\W_]+")
 SIDES = (-2, -1, 1, 2)
-CHUNK = 1 << 12
+#: positions that are scored, or dealt to batches of training, at once
+CHUNK = 1 << 14
+#: tokens of which a task holds the units at once (a longer text is held whole)
+HELD = 1 << 18
+FAR = -30.0
 
 
 @dataclass
 class Units:
-    """Output units, for the most frequent words log p(word | unit), and the counts of all words."""
+    """Output units, for the most frequent words log p(word | unit), and the tokens of each unit."""
 
     top: dict[str, int]
     classes: int
@@ -54,97 +61,125 @@ class Units:
 
 
 class Lookup(dict):
-    """unit and log p(word | unit) of words seen before, as a row number; emptied between texts when full.
+    """Numbers of words seen; by number the unit, log p(word | unit), and whether the word's count is still to be joined. Emptied between groups when full.
 
-    For words that the table of counts is joined to (``rare``), the log of their count is still to be added.
+    For a word whose count is joined, the log of the count is still to be added.
     """
 
     def __init__(self, units: Units, limit: int = 300_000) -> None:
         super().__init__()
-        self.units, self.limit = units, limit
-        self.unit: list[int] = []
-        self.inside: list[float] = []
-        self.rare: list[bool] = []
+        self.units, self.limit, self.new = units, limit, []
+        self.unit, self.inside, self.rare = np.zeros(1024, np.int32), np.zeros(1024), np.zeros(1024, bool)
 
     def __missing__(self, word: str) -> int:
-        i = self[word] = len(self.unit)
-        u = self.units.unit(word)
-        self.unit.append(u)
-        known = 0.0 if word in self.units.top else self.units.inside.get(word)
-        self.rare.append(known is None)
-        self.inside.append(-float(np.log(max(self.units.tokens[u], 1))) if known is None else known)
+        i = self[word] = len(self)
+        self.new.append(word)
         return i
 
+    def settle(self) -> None:
+        n, first, units = len(self), len(self) - len(self.new), self.units
+        if n > len(self.unit):
+            more = 2 * n - first
+            self.unit, self.inside, self.rare = (np.concatenate([x[:first], np.zeros(more, x.dtype)]) for x in (self.unit, self.inside, self.rare))
+        for i, word in enumerate(self.new, first):
+            u = units.unit(word)
+            known = 0.0 if word in units.top else units.inside.get(word)
+            self.unit[i], self.rare[i] = u, known is None
+            self.inside[i] = -float(np.log(max(units.tokens[u], 1))) if known is None else known
+        self.new = []
+
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
-            self.unit, self.inside, self.rare = [], [], []
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
 class Network:
-    """Bidirectional window network over a binary tree of units; all parameters lie in one vector.
+    """Bidirectional window network with a softmax over groups of units and one within each group; all parameters lie in one vector.
 
-    Node i of the tree has the children 2i and 2i + 1; unit u is the leaf ``size`` + u.
+    Unit u is member u % ``per`` of group u // ``per``; a group has about twice the root of the number of units.
     """
 
     def __init__(self, size: int, width: int = 16, seed: int = 5) -> None:
         self.size, self.width = size, width
+        self.per = ceil(2 * size**0.5)
+        self.groups = -(-size // self.per)
         rng = np.random.default_rng(seed)
-        shapes = [(len(SIDES), size + 1, width), (width,), (size, width), (size,)]
-        self.vector = np.concatenate([rng.normal(0, 0.1, int(np.prod(s))) if len(s) > 1 else np.zeros(s) for s in shapes]).astype(np.float32)
+        shapes = [(len(SIDES), size + 1, width), (width,), (self.groups, width), (self.groups,), (self.groups, self.per, width), (self.groups, self.per)]
+        scale = [0.1, 0, 0.1, 0, 0.1, 0]
+        self.vector = np.concatenate([rng.normal(0, c, int(np.prod(s))) if c else np.zeros(int(np.prod(s))) for s, c in zip(shapes, scale, strict=True)]).astype(np.float32)
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         self.cuts = [(int(e - np.prod(s)), int(e), s) for e, s in zip(ends, shapes, strict=True)]
-        leaves = np.arange(size, 2 * size)[:, None] >> np.arange(int(2 * size - 1).bit_length() - 1)
-        #: by unit: inner nodes on its way and the turn taken there; 0 and no turn beyond the root
-        self.nodes = leaves >> 1
-        self.turns = np.where(self.nodes > 0, 2 * (leaves & 1) - 1, 0).astype(np.float32)
+        self.start(np.ones(size))
 
     def parts(self, vector: np.ndarray) -> list[np.ndarray]:
         return [vector[a:b].reshape(s) for a, b, s in self.cuts]
 
     def blocks(self, vector: np.ndarray) -> list[np.ndarray]:
-        """Embeddings by side, bias, node vectors, node biases."""
-        e, b, w, c = self.parts(vector)
-        return [*e, b, w, c]
+        """Embeddings by side, then bias, and weights and biases of groups and of units."""
+        e, *rest = self.parts(vector)
+        return [*e, *rest]
 
     def start(self, tokens: np.ndarray) -> None:
-        """Biases with which the tree gives the share of each unit."""
-        mass = np.concatenate([np.zeros(self.size), np.maximum(tokens, 0.5)])
-        for i in range(self.size - 1, 0, -1):
-            mass[i] = mass[2 * i] + mass[2 * i + 1]
-        i = np.arange(1, self.size)
-        self.parts(self.vector)[3][1:] = np.log(mass[2 * i + 1] / mass[2 * i])
+        """Biases with which the network gives the share of each unit."""
+        mass = np.concatenate([np.maximum(tokens, 0.5), np.zeros(self.groups * self.per - self.size)]).reshape(self.groups, self.per)
+        parts = self.parts(self.vector)
+        parts[3][:] = np.log(mass.sum(axis=1))
+        with np.errstate(divide="ignore"):
+            parts[5][:] = np.maximum(np.log(mass / mass.sum(axis=1, keepdims=True)), FAR)  # no unit there
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        e, b, _, _ = self.parts(self.vector)
+        e, b = self.parts(self.vector)[:2]
         h = e[0][context[:, 0]]
         for k in range(1, len(SIDES)):
             h = h + e[k][context[:, k]]
         return np.maximum(h + b, 0, dtype=self.vector.dtype)
 
-    def _margins(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """How clearly each turn on the way to the target is favoured."""
-        _, _, w, c = self.parts(self.vector)
-        nodes = self.nodes[target]
-        return self.turns[target] * (np.einsum("ndw,nw->nd", w[nodes], h) + c[nodes])
+    def _by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each group among the targets, where they are, and which members."""
+        group = target // self.per
+        order = np.argsort(group, kind="stable")
+        found, first = np.unique(group[order], return_index=True)
+        for g, rows in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            yield g, rows, target[rows] - g * self.per
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        m = self._margins(self.hidden(context), target)
-        each = np.minimum(m, 0) - np.log(1 + np.exp(-np.abs(m)))
-        return (each * (self.nodes[target] > 0)).sum(axis=1)
+        _, _, w, c, v, d = self.parts(self.vector)
+        h = self.hidden(context)
+        out = _log_softmax(h @ w.T + c)[np.arange(len(h)), target // self.per]
+        if len(h):
+            for g, rows, member in self._by_group(target):
+                out[rows] += _log_softmax(h[rows] @ v[g].T + d[g])[np.arange(len(rows)), member]
+        return out
 
     def steps(self, context: np.ndarray, target: np.ndarray) -> list[tuple]:
         """Gradient of the mean negative log-probability: for each of the blocks the rows that it moves, and by how much."""
-        w = self.parts(self.vector)[2]
-        h, nodes = self.hidden(context), self.nodes[target]
-        p = -self.turns[target] / (1 + np.exp(np.clip(self._margins(h, target), -60, 60))) / len(h)
-        d = np.einsum("nd,ndw->nw", p, w[nodes]) * (h > 0)
-        out = [_by_row(context[:, k], d) for k in range(len(SIDES))]
-        out.append((slice(None), d.sum(axis=0)))
-        own = nodes > 0
-        rows = np.broadcast_to(np.arange(len(h))[:, None], nodes.shape)[own]
-        ids, moved = _by_row(nodes[own], np.concatenate([h[rows], np.ones((len(rows), 1), h.dtype)], axis=1) * p[own][:, None])
-        return [*out, (ids, moved[:, :-1]), (ids, moved[:, -1])]
+        _, _, w, c, v, d = self.parts(self.vector)
+        h, n = self.hidden(context), len(context)
+
+        def pull(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+            z -= z.max(axis=1, keepdims=True)
+            p = np.exp(z, out=z)
+            p /= n * p.sum(axis=1, keepdims=True)
+            p[np.arange(len(p)), at] -= 1 / n
+            return p
+
+        p = pull(h @ w.T + c, target // self.per)
+        back, gv, gd, found = p @ w, [], [], []
+        for g, rows, member in self._by_group(target):
+            q, own = pull(h[rows] @ v[g].T + d[g], member), h[rows]
+            back[rows] += q @ v[g]
+            found.append(g)
+            gv.append(q.T @ own)
+            gd.append(q.sum(axis=0))
+        back *= h > 0
+        out = [_by_row(context[:, k], back) for k in range(len(SIDES))]
+        every, some = slice(None), np.array(found)
+        return [*out, (every, back.sum(axis=0)), (every, p.T @ h), (every, p.sum(axis=0)), (some, np.stack(gv)), (some, np.stack(gd))]
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
@@ -153,20 +188,36 @@ class Network:
             block[rows] = moved
         return g
 
+    def descend(self, past: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float, batch: int) -> None:
+        """A step a batch, in a fixed order; ``past``: squares of all gradients so far."""
+        order = np.random.default_rng(len(target)).permutation(len(target))
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
+            for block, old, (rows, g) in zip(self.blocks(self.vector), self.blocks(past), self.steps(context[some], target[some]), strict=True):
+                old[rows] += g * g
+                block[rows] -= rate * g / np.sqrt(old[rows])
+
 
 def _by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different ids, and the sums of their values."""
-    if not len(ids):
-        return ids, values
     order = np.argsort(ids, kind="stable")
     some, first = np.unique(ids[order], return_index=True)
     return some, np.add.reduceat(values[order], first)
 
 
-def contexts(units: np.ndarray, outside: int) -> np.ndarray:
-    """Units at the four places around every token; ``outside`` beyond the text."""
-    padded = np.concatenate([[outside] * 2, units, [outside] * 2])
-    return np.stack([padded[2 + s : 2 + s + len(units)] for s in SIDES], axis=1)
+class Windows:
+    """Units of texts that lie one after another, with two marks for what is outside around each."""
+
+    def __init__(self, units: np.ndarray, lengths: np.ndarray, outside: int) -> None:
+        self.at = np.arange(len(units)) + 2 * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+        self.row = np.full(len(units) + 2 * (len(lengths) + 1), outside, np.int32)
+        self.row[self.at] = units
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Units at the four places around every token, and its own."""
+        for i in range(0, len(self.at), CHUNK):
+            at = self.at[i : i + CHUNK]
+            yield np.stack([self.row[at + s] for s in SIDES], axis=1), self.row[at]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -196,14 +247,12 @@ def _counted(seen: Counter) -> Iterator[pa.RecordBatch]:
 def corpus_units(docs: DataFrame, top: int = 64, classes: int = 32, vocabulary: int = 20_000) -> tuple[Units, DataFrame]:
     """Units, and the count of every word of every text (column text) as a table.
 
-    Four times the root of the number of different words are units of their own, the root itself is the
+    Eight times the root of the number of different words are units of their own, twice the root is the
     number of classes; ``top`` and ``classes`` are the least. The driver gets ``vocabulary`` words (or one a unit) and a row per unit.
     """
-    from lorewell.llm.scratch import Scratch
-
     counts = Scratch(docs.sparkSession, "words").keep(word_counts(docs), "counts")
     root = counts.count() ** 0.5
-    top, classes = max(top, ceil(4 * root)), max(classes, ceil(root))
+    top, classes = max(top, ceil(8 * root)), max(classes, ceil(2 * root))
     best = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(max(vocabulary, top)).collect()]
     units = Units({w: i for i, (w, _) in enumerate(best[:top])}, classes)
     spread = F.crc32(F.substring("word", -2, 2).cast("binary")) % classes
@@ -219,52 +268,70 @@ def corpus_units(docs: DataFrame, top: int = 64, classes: int = 32, vocabulary:
     return units, counts
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
+def encoded(docs: DataFrame, units: Units) -> DataFrame:
+    """doc_id, units of the text's words in order, inside (sum of log p(word | unit)), and the words whose counts are to be joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                texts = [WORD.findall(t.lower()) if t else [] for t in some.column(1).to_pylist()]
+                numbers = [np.fromiter(map(lookup.__getitem__, t), np.int64, len(t)) for t in texts]
+                lookup.settle()
+                inside = [float(lookup.inside[x].sum()) for x in numbers]
+                others = [[t[i] for i in np.flatnonzero(lookup.rare[x])] for t, x in zip(texts, numbers, strict=True)]
+                columns = [some.column(0), pa.array([lookup.unit[x] for x in numbers], pa.list_(pa.int32())), pa.array(inside, pa.float64()), pa.array(others, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "units", "inside", "rare"])
+                lookup.trim()
+
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, units array<int>, inside double, rare array<string>")
+
+
+def _groups(column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows a to b of a column of units, of about ``HELD`` tokens together, their units and lengths."""
+    lengths = np.diff(column.offsets.to_numpy())
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // HELD, prepend=0)) if len(lengths) else []
+    edges = sorted({0, *(int(c) + 1 for c in cuts), len(lengths)})
+    values, first = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield a, b, values[first[a] : first[b]], lengths[a:b]
 
 
-def train(docs: DataFrame, units: Units, rounds: int = 2, share: float = 0.15, rate: float = 0.1, batch: int = 512) -> Network:
-    """Rounds of training in every task and averaging; ``share`` of the positions of each text are masked."""
+def train(texts: DataFrame, units: Units, rounds: int = 2, rate: float = 0.1, batch: int = 8192, per_task: int = 2_000_000) -> Network:
+    """Trains on every position of ``texts`` (doc_id, units) once, in ``rounds`` of training in every task and averaging.
+
+    ``per_task``: tokens a task trains on in a round, about.
+    """
     net = Network(units.size)
     net.start(units.tokens)
-    narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = max(1, ceil(float(units.tokens.sum()) / rounds / per_task))
+    keyed = texts.select(F.xxhash64("doc_id", "units").alias("key"), "units").where(F.size("units") > 0)
     for turn in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((net, units))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            net, units = shared.value
-            own = Network(units.size)
-            own.vector[:] = net.vector
-            lookup, past = Lookup(units), np.full_like(own.vector, 1e-6)
-            xs, ys, waiting, seen = [], [], 0, 0
-            for doc, text in _texts(batches):
-                tokens = WORD.findall(text.lower()) if text else []
-                if tokens:
-                    u = np.array([lookup.unit[lookup[t]] for t in tokens], np.int64)
-                    rng = np.random.default_rng(zlib.crc32(f"{doc}/{turn}".encode()))
-                    at = np.flatnonzero(rng.random(len(u)) < share)
-                    xs.append(contexts(u, units.size)[at])
-                    ys.append(u[at])
-                    waiting, seen = waiting + len(at), seen + len(at)
-                    lookup.trim()
-                if waiting >= 16 * batch:
-                    _descend(own, past, xs, ys, rate, batch)
-                    xs, ys, waiting = [], [], 0
-            if waiting:
-                _descend(own, past, xs, ys, rate, batch)
+        shared = texts.sparkSession.sparkContext.broadcast(net)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = Network(shared.value.size)
+            own.vector[:] = shared.value.vector
+            past, seen = np.full_like(own.vector, 1e-6), 0
+            for some in batches:
+                for _, _, u, lengths in _groups(some.column(0)):
+                    for x, y in Windows(u, lengths, own.size).chunks():
+                        own.descend(past, x, y, rate, batch)
+                    seen += len(u)
             if seen:
                 rows = _rows(own.vector, own.width)
                 columns = [pa.array(np.full(len(rows), seen), pa.int64()), pa.array(np.arange(len(rows)), pa.int64()), *[pa.array(x) for x in np.ascontiguousarray(rows.T)]]
                 yield pa.RecordBatch.from_arrays(columns, ["n", "i", *names])
 
         names = [f"x{j}" for j in range(net.width)]
-        copies = narrow.mapInArrow(run, f"n long, i long, {', '.join(f'{x} float' for x in names)}")
+        dealt = keyed.where(F.pmod("key", F.lit(rounds)) == turn).repartition(parts, "key").sortWithinPartitions("key").select("units")
+        copies = dealt.mapInArrow(run, f"n long, i long, {', '.join(f'{x} float' for x in names)}")
         mean = copies.groupBy("i").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias(x) for x in names])
         rows = _rows(net.vector, net.width)
-        for r in mean.collect():  # a row per unit, side and node
+        for r in mean.collect():  # a row per unit and side
             rows[r["i"]] = r[1:]
         net.vector[:] = rows.reshape(-1)[: len(net.vector)]
         shared.unpersist()
@@ -275,56 +342,32 @@ def _rows(vector: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([vector, np.zeros(-len(vector) % width, vector.dtype)]).reshape(-1, width)
 
 
-def _descend(net: Network, past: np.ndarray, xs: list[np.ndarray], ys: list[np.ndarray], rate: float, batch: int) -> None:
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    order = np.random.default_rng(len(x)).permutation(len(x))
-    for at in range(0, len(x), batch):
-        some = order[at : at + batch]
-        for block, old, (rows, g) in zip(net.blocks(net.vector), net.blocks(past), net.steps(x[some], y[some]), strict=True):
-            old[rows] += g * g
-            block[rows] -= rate * g / np.sqrt(old[rows])
-
-
-def score(docs: DataFrame, net: Network, units: Units, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob and perplexity of every whole text.
+def score(texts: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob and perplexity of every text of ``texts`` (row, doc_id, units, inside, rare).
 
     Words that tasks do not hold are joined with ``counts``; one that was not counted is taken to occur once.
     """
-    from lorewell.llm.scratch import Scratch
-
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((net, units))
+    shared = texts.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, units = shared.value
-        lookup = Lookup(units)
-        for batch in batches:
-            sums, sizes, others = [], [], []
-            for at in range(0, batch.num_rows, 64):
-                texts = [WORD.findall(t.lower()) if t else [] for t in batch.column(1).slice(at, 64).to_pylist()]
-                rows = [np.fromiter(map(lookup.__getitem__, t), np.int64, len(t)) for t in texts]
-                unit, inside = np.array(lookup.unit, np.int64), np.array(lookup.inside)
-                each = [unit[r] for r in rows]
-                x = np.concatenate([contexts(u, units.size) for u in each])
-                y = np.concatenate(each)
-                logs = np.concatenate([net.log_probs(x[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(y), CHUNK)]) if len(y) else np.empty(0)
-                logs = logs + inside[np.concatenate(rows)] if len(y) else logs
-                ends = np.cumsum([len(r) for r in rows])
-                totals = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
-                sums += (totals[ends] - totals[ends - [len(r) for r in rows]]).tolist()
-                sizes += [len(r) for r in rows]
-                rare = np.array(lookup.rare, bool)
-                others += [[t[i] for i in np.flatnonzero(rare[r])] for t, r in zip(texts, rows, strict=True)]
-                lookup.trim()
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "log_prob", "rare"])
-
-    kind = dict(narrow.dtypes)["doc_id"]
-    rows = narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, rare array<string>")
-    rows = Scratch(docs.sparkSession, "scored").keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    inside = rows.select("row", F.explode("rare").alias("word")).join(counts.select("word", F.log("n").alias("log_prob")), "word", "left")
+        net = shared.value
+        for some in batches:
+            sums, sizes = [np.empty(0)], [np.empty(0, np.int64)]
+            for _, _, u, lengths in _groups(some.column(2)):
+                logs = [net.log_probs(x, y) for x, y in Windows(u, lengths, net.size).chunks()]
+                totals = np.concatenate([[0.0], np.cumsum(np.concatenate([[], *logs]), dtype=np.float64)])
+                ends = np.cumsum(lengths)
+                sums.append(totals[ends] - totals[ends - lengths])
+                sizes.append(lengths)
+            logs = np.concatenate(sums) + some.column(3).to_numpy(zero_copy_only=False)
+            columns = [some.column(0), some.column(1), pa.array(np.concatenate(sizes), pa.int64()), pa.array(logs, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "log_prob"])
+
+    kind = dict(texts.dtypes)["doc_id"]
+    rows = texts.select("row", "doc_id", "units", "inside").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, log_prob double")
+    inside = texts.select("row", F.explode("rare").alias("word")).join(counts.select("word", F.log("n").alias("log_prob")), "word", "left")
     inside = inside.select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.coalesce("log_prob", F.lit(0.0)).alias("log_prob"))
-    both = rows.select(*inside.columns).unionByName(inside).groupBy("row")
+    both = rows.unionByName(inside).groupBy("row")
     out = both.agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob")).drop("row")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return out.withColumns({"mean_log_prob": mean, "perplexity": F.exp(-mean)})
@@ -334,4 +377,6 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Counts, trains and scores over all of ``docs``."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     units, counts = corpus_units(narrow)
-    return score(narrow, train(narrow, units, rounds), units, counts)
+    texts = encoded(narrow, units).withColumn("row", F.monotonically_increasing_id())
+    texts = Scratch(docs.sparkSession, "encoded").keep(texts, "texts")
+    return score(texts, train(texts, units, rounds), counts)
