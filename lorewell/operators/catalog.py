@@ -21,6 +21,45 @@ def keyword(df: DataFrame, word: str, name_col: str, id_col: str) -> DataFrame:
     return df.where(F.col(name_col).like(f"%{word}%") | (F.col(id_col).cast("string") == word)) if word else df
 
 
+def name_contains(df: DataFrame, word: str, name_col: str) -> DataFrame:
+    """Names that hold ``word`` in any case; everything for an empty one."""
+    return df.where(F.contains(F.lower(name_col), F.lit(word.lower()))) if word else df
+
+
+def among(df: DataFrame, col: str, values: Sequence[object], **given: object) -> DataFrame:
+    """Rows whose ``col`` is one of ``values``, with equality on what else is given; no values ask for nothing."""
+    return where_given(df.where(F.col(col).isin(list(values))), **given)
+
+
+def alive(df: DataFrame, gone: object, status_col: str = "status", **given: object) -> DataFrame:
+    """Rows that aren't deleted: any status but ``gone``, a missing one too."""
+    return where_given(df.where(~F.col(status_col).eqNullSafe(F.lit(gone))), **given)
+
+
+def own(id_value: object, tenant: object, id_col: str = "id", tenant_col: str = "tenant_id") -> Column:
+    """Condition of a row by id and tenant, for selects, updates and deletes that another tenant's id can't reach."""
+    return F.coalesce((F.col(id_col) == id_value) & (F.col(tenant_col) == tenant), F.lit(False))
+
+
+def counted(df: DataFrame, **wanted: object) -> DataFrame:
+    """total: the rows that ``where_given`` leaves."""
+    return where_given(df, **wanted).agg(F.count(F.lit(1)).alias("total"))
+
+
+def counters(chunks: DataFrame, by: str, doc_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_num, chunk_num, token_num by base."""
+    return chunks.groupBy(by).agg(F.count_distinct(doc_col).alias("doc_num"), F.count(F.lit(1)).alias("chunk_num"), F.sum(T.token_estimate(F.col(content_col))).alias("token_num"))
+
+
+def models_by_factory(models: DataFrame, factories: DataFrame, group: str = "model_type", *listed: str) -> DataFrame:
+    """A row per factory: its logo ('' if unknown), its models in order, keys masked, and the host of the first address."""
+    logos = factories.groupBy("llm_factory").agg(F.max("logo").alias("logo"))
+    rows = models.withColumn("api_key", T.masked(F.coalesce("api_key", F.lit("")))).withColumn("_base", F.nullif("api_base", F.lit("")))
+    out = grouped(rows, "llm_factory", "_base", "llm_name", group, "api_key", *listed)
+    out = out.join(logos, "llm_factory", "left")
+    return out.select("llm_factory", F.coalesce("logo", F.lit("")).alias("logo"), T.host(F.coalesce("_base", F.lit(""))).alias("api_base"), F.col("items").alias("models"))
+
+
 def page(df: DataFrame, *order: Column, number: int = 1, size: int = 10) -> DataFrame:
     """Rows of one page; a top-k, never a full sort of the table."""
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
@@ -67,7 +106,8 @@ def grouped(rows: DataFrame, by: str, first: str, *listed: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.desc(order))
+    """The ``n`` last rows of each ``by``; rows that tie in ``order`` go by their other columns."""
+    w = Window.partitionBy(by).orderBy(F.desc(order), *[F.asc(c) for c in rows.columns if c not in (by, order)])
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -149,6 +189,19 @@ def retryable(tasks: DataFrame, now: Column, limit: int = 100) -> DataFrame:
     return tasks.where(due | stuck).orderBy("next_retry_time", "id").limit(limit)
 
 
+def republished(tasks: DataFrame, now: Column, known: Sequence[str], kind_col: str = "task_type", limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(tasks afterwards, messages): due tasks of a known kind go out again with their id, and are marked as retrying.
+
+    What is due is at most ``limit`` rows, so it is broadcast.
+    """
+    due = retryable(tasks, now, limit).where(F.col(kind_col).isin(list(known)) & F.get_json_object("payload", "$").isNotNull())
+    message = F.map_concat(F.from_json("payload", "map<string,string>"), F.create_map(F.lit("local_message_id"), F.col("id").cast("string")))
+    out = due.select("id", F.col(kind_col).alias("topic"), F.to_json(message).alias("value"))
+    marks = due.select("id", F.lit(True).alias("_out"))
+    after = tasks.join(F.broadcast(marks), "id", "left")
+    return updated(after, F.col("_out").isNotNull(), status="retrying").select(*tasks.columns), out
+
+
 def failed(tasks: DataFrame, ids: Column, now: Column) -> DataFrame:
     """Tasks with another failure: the next try is 30 s away, then 60 s, 120 s ..."""
     wait = T.backoff_seconds(F.col("retry_times"))

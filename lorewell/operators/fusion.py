@@ -27,6 +27,12 @@ def weighted(*hits: tuple[DataFrame, float]) -> DataFrame:
     return summed(*[h.select("query_id", "id", F.coalesce(F.col("score") / best() * share, F.lit(0.0)).alias("score")) for h, share in hits])
 
 
+def by_position(hits: DataFrame, results: DataFrame) -> DataFrame:
+    """query_id, id, score of ``results`` (query_id, index, score), where index is a hit's place (``rank`` from 1) less one."""
+    places = hits.select("query_id", "id", (F.col("rank") - 1).alias("index"))
+    return results.select("query_id", "index", "score").join(places, ["query_id", "index"]).select("query_id", "id", "score")
+
+
 def reranked(hits: DataFrame, contents: DataFrame, queries: DataFrame, score, id_col: str = "id") -> DataFrame:
     """Hits with ``score(query, content)``, an expression or pandas UDF, in place of theirs."""
     both = hits.select("query_id", "id").join(contents.select(F.col(id_col).alias("id"), "content"), "id").join(queries.select("query_id", "query"), "query_id")

@@ -60,9 +60,11 @@ def merged_relations(found: DataFrame) -> DataFrame:
 
     The fold goes by (chunk_index, record_index). The n-th weight from the end counts 2^-n in it (the first
     one twice that), so it is a weighted sum, and only distinct descriptions and sources are gathered.
+    Empty descriptions add nothing.
     """
     at = F.struct("chunk_index", "record_index")
-    first_text = found.groupBy("src_id", "dst_id", "description").agg(F.min(at).alias("at"))
+    told = found.where("description <> ''")
+    first_text = told.groupBy("src_id", "dst_id", "description").agg(F.min(at).alias("at"))
     texts = first_text.groupBy("src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("at", "description"))).alias("d"))
     append = lambda acc, x: F.when(F.contains(acc, x["description"]), acc).otherwise(F.concat(acc, F.lit("\n"), x["description"]))
     texts = texts.select("src_id", "dst_id", F.aggregate(F.slice("d", 2, F.greatest(F.size("d") - 1, F.lit(0))), F.get("d", 0)["description"], append).alias("description"))
@@ -72,7 +74,7 @@ def merged_relations(found: DataFrame) -> DataFrame:
     share = F.when(F.col("first"), F.pow(F.lit(0.5), F.col("n") - 1)).otherwise(F.pow(F.lit(0.5), F.col("n")))
     ranked = one.withColumn("n", n).withColumn("first", F.lead("at").over(order).isNull())
     folded = ranked.groupBy("src_id", "dst_id").agg(F.min_by("type", "at").alias("type"), F.sum(F.col("weight") * share).alias("weight"), _sources(F.col("at")).alias("source_id"))
-    return folded.join(texts, ["src_id", "dst_id"]).select("src_id", "dst_id", "type", "description", "weight", "source_id")
+    return folded.join(texts, ["src_id", "dst_id"], "left").select("src_id", "dst_id", "type", F.coalesce("description", F.lit("")).alias("description"), "weight", "source_id")
 
 
 def gleaned(chunks: DataFrame, extract: Callable[[Column, Column], Column], content_col: str = "content", rounds: int = 3) -> DataFrame:
@@ -87,39 +89,67 @@ def gleaned(chunks: DataFrame, extract: Callable[[Column, Column], Column], cont
     return df.drop("_done", "_more")
 
 
-def upsert_docs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Graph documents by id: sources united, weights averaged, descriptions appended, ``updated_at`` replaced."""
-    o, n = old.alias("o"), new.alias("n")
-    both = F.col("o.id").isNotNull() & F.col("n.id").isNotNull()
-    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+def upsert_docs(old: DataFrame, new: DataFrame, order: str = "updated_at") -> DataFrame:
+    """Graph documents by id: sources united, descriptions appended unless held already, ``updated_at`` replaced.
+
+    Weights of relations are averaged; an entity (``graph_type``, where there is one) keeps its own. Rows
+    of ``new`` that share an id are applied one after another by ``order`` (where there is one) and content;
+    the first of an unknown id is stored as it is.
+    """
+    fields = sorted((c for c in new.columns if c != "id"), key=lambda c: c != order)
+    kind = dict(new.dtypes)  # without what a column says of nulls
+    batch = new.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast(kind[c]).alias(c) for c in fields]))).alias("rows"))
+    start = F.when(F.col("_old"), F.struct(*[F.col(f"o.{c}").cast(kind[c]).alias(c) for c in fields])).otherwise(F.get("rows", 0))
+    rest = F.when(F.col("_old"), F.col("rows")).otherwise(F.slice("rows", F.lit(2), F.size("rows")))
     nothing = F.array().cast("array<string>")
-    values = {
-        "source_ids": F.when(both, F.array_union(F.coalesce("o.source_ids", nothing), F.coalesce("n.source_ids", nothing))).otherwise(pick("source_ids")),
-        "weight": F.when(F.col("o.weight").isNotNull() & F.col("n.weight").isNotNull(), (F.col("o.weight") + F.col("n.weight")) / 2).otherwise(pick("weight")),
-        "description": F.when(both & F.contains("o.description", "n.description"), F.col("o.description"))
-        .when(both & (F.col("o.description") != "") & F.col("n.description").isNotNull(), F.concat("o.description", F.lit("\n"), "n.description"))
-        .otherwise(pick("description")),
-    }
-    return o.join(n, F.col("o.id") == F.col("n.id"), "full_outer").select(*[values.get(c, pick(c)).alias(c) for c in old.columns])
+
+    def merged(acc: Column, x: Column) -> Column:
+        mean = F.coalesce((acc["weight"] + x["weight"]) / 2, acc["weight"], x["weight"])
+        said = F.when(x["description"].isNull() | F.contains(acc["description"], x["description"]), acc["description"])
+        values = {
+            "source_ids": F.array_union(F.coalesce(acc["source_ids"], nothing), F.coalesce(x["source_ids"], nothing)),
+            "weight": F.when(x["graph_type"] == "entity", acc["weight"]).otherwise(mean) if "graph_type" in fields else mean,
+            "description": said.otherwise(F.concat(F.coalesce(acc["description"], F.lit("")), F.when(acc["description"] != "", "\n").otherwise(""), x["description"])),
+        }
+        return F.struct(*[values.get(c, F.coalesce(x[c], acc[c])).cast(kind[c]).alias(c) for c in fields])
+
+    both = old.withColumn("_old", F.lit(True)).alias("o").join(batch, "id", "full_outer").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    now = both.withColumn("_now", F.when(F.col("rows").isNull(), start).otherwise(F.aggregate(rest, start, merged)))
+    return now.select(*[F.col("id") if c == "id" else F.col(f"_now.{c}") if c in fields else F.col(f"o.{c}") for c in old.columns])
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row of each key; combined before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    """The last row of each key, of ties the one of largest content; combined before the shuffle."""
+    rest = [order, *[c for c in rows.columns if c not in keys and c != order]]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_last"))
     return last.select(*keys, "_last.*").select(*rows.columns)
 
 
 def graph_view(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their degree as ``val``, edges): first edges in order, both of whose ends exist, then their ends."""
+    """(nodes with their degree as ``val``, edges): first edges in order, both of whose ends exist, then their ends.
+
+    Of nodes that share a name the last one, by all its columns, is shown.
+    """
     names = nodes.select("name").distinct()
     held = edges.join(names.withColumnRenamed("name", "src_id"), "src_id", "left_semi").join(names.withColumnRenamed("name", "dst_id"), "dst_id", "left_semi")
     held = held.select(*edges.columns).orderBy("src_id", "dst_id").limit(limit)
     degree = degrees(held)
-    ends = nodes.dropDuplicates(["name"]).join(degree.withColumnRenamed("degree", "val"), "name")
+    shown = keep_last(nodes, ["name"], next((c for c in nodes.columns if c != "name"), "name")) if len(nodes.columns) > 1 else names
+    ends = shown.join(degree.withColumnRenamed("degree", "val"), "name")
     return ends, held
 
 
+def size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes, edges: how many there are."""
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
+    return n.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # a row each
+
+
+def with_name_vectors(found: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Entities with the vector of their name; ``embed`` gives null where it fails, and the entity stays without one."""
+    return found.withColumn("embedding", embed(F.col("name")))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """name, degree: in and out."""
     return edges.select(F.explode(F.array("src_id", "dst_id")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("degree"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.sources.scratch import shared_path
 
 K1, B = 1.2, 0.75
 #: query terms up to which they are sent to every executor; beyond, Spark joins by shuffle
@@ -25,27 +26,37 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return df.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", content_col: str = "content", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+def bm25(
+    chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", content_col: str = "content", query_id: str = "query_id", query_text: str = "query", among: Column | None = None
+) -> DataFrame:
     """query_id, id, score (to six places, so that ties are ties) of every chunk that shares a term with a query.
 
-    Statistics span all chunks. Only tokens that some query holds leave their task: the terms are
-    joined before anything is shuffled, and counts are combined on the way.
+    Statistics span all chunks, also where only those that ``among`` is true for are wanted. Chunks are
+    cut into tokens once: the terms of the queries are joined before anything is shuffled, with an empty term
+    that stands for the chunk itself, and what is left is written once and read for every count.
     """
     terms = query_terms(queries, query_id, query_text)
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     near = F.broadcast if few else (lambda df: df)
-    tokens = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(content_col)).alias("t")).withColumn("length", F.size("t"))
-    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    met = tokens.select("id", "length", F.explode("t").alias("term")).join(near(terms.select("term").distinct()), "term")
-    tf = met.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = terms.select("term").distinct()
+    wanted = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+    wants = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    tokens = chunks.select(F.col(id_col).alias("id"), wants.alias("wanted"), T.tokens(F.col(content_col)).alias("t"))
+    tokens = tokens.select("id", "wanted", F.size("t").alias("length"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
+    tf = tokens.join(near(wanted), "term").groupBy("term", "id", "wanted", "length").agg(F.count(F.lit(1)).alias("tf"))
+    path = shared_path(chunks.sparkSession, "terms")
+    tf.write.parquet(path)
+    tf = chunks.sparkSession.read.schema(tf.schema).parquet(path)
+    size = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
+    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(near(df), "term").join(near(terms), "term").crossJoin(F.broadcast(size))  # size: one row
+    hits = tf.where("wanted").join(near(df), "term").join(near(terms), "term").crossJoin(F.broadcast(size))  # size: one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * idf * weight), 6).alias("score"))
 
 
-def top_k(scores: DataFrame, k: int, by: str = "query_id", id_col: str = "id", score_col: str = "score") -> DataFrame:
+def top_k(scores: DataFrame, k: int, by: str | list[str] = "query_id", id_col: str = "id", score_col: str = "score") -> DataFrame:
     """The ``k`` best of each query with their rank; ids break ties. Tasks keep k rows of a query before the shuffle."""
     w = Window.partitionBy(by).orderBy(F.desc(score_col), id_col)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -15,6 +15,8 @@ PRONOUNS = ["它", "他", "她", "这", "那", "该", "其", "此"]
 #: Fixed value: the marks of a sentence that was cut off.
 CUT_OFF = [",", "，", "、", ";", "；", ":", "："]
 QA = "array<struct<question:string,answer:string>>"
+#: what ``scored`` adds to a chunk
+SCORES = ["length", "structure", "content_score", "semantic", "qa", "total", "issues", "suggestions"]
 
 
 def _begins(text: Column, words: list[str]) -> Column:
@@ -55,14 +57,15 @@ def qa_score(content: Column, qa: Column) -> Column:
     return F.when(n > 0, F.least(n, F.lit(3)) / 3 * 10 + (1 - repeated / n) * 5 + matched / n * 5).otherwise(0.0)
 
 
-def scored(chunks: DataFrame, id_col: str = "doc_id", order_col: str = "chunk_index", content_col: str = "content", qa_col: str | None = None) -> DataFrame:
-    """``chunks`` with length, structure, content_score, semantic, qa, total and issues.
+def scored(chunks: DataFrame, id_col: str = "doc_id", order_col: str = "chunk_index", content_col: str = "content", qa_col: str | None = None, previous_col: str | None = None) -> DataFrame:
+    """``chunks`` with length, structure, content_score, semantic, qa, total, issues and suggestions.
 
-    The predecessor is the chunk before it in its document, so documents spread over the cluster.
+    The predecessor is the chunk before it in its document, so documents spread over the cluster; where
+    ``previous_col`` holds its content already, nothing is shuffled.
     A null content is an empty one.
     """
     content = F.coalesce(F.col(content_col), F.lit(""))
-    before = F.lag(content).over(Window.partitionBy(id_col).orderBy(order_col))
+    before = F.col(previous_col) if previous_col else F.lag(content).over(Window.partitionBy(id_col).orderBy(order_col))
     qa = F.coalesce(F.col(qa_col), F.array().cast(QA)) if qa_col else F.array().cast(QA)
     df = chunks.withColumns({"_c": content, "_prev": before, "_qa": qa})
     c, prev, qa = F.col("_c"), F.col("_prev"), F.col("_qa")
@@ -86,8 +89,9 @@ def scored(chunks: DataFrame, id_col: str = "doc_id", order_col: str = "chunk_in
         (F.col("_ratio") > 0.5, "high_overlap"),
         (F.size(qa) < 2, "low_qa_coverage"),
     )
+    advice = _issues((n < 100, "merge_with_prev"), (n > 1000, "split_further"), (T.last_char(bare).isin(CUT_OFF), "extend_boundary"), (F.size(qa) < 2, "generate_qa"))
     total = F.col("length") + F.col("structure") + F.col("content_score") + F.col("semantic") + F.col("qa")
-    return df.withColumns({"total": total, "issues": issues}).drop("_c", "_prev", "_qa", "_ratio", "_density")
+    return df.withColumns({"total": total, "issues": issues, "suggestions": advice}).drop("_c", "_prev", "_qa", "_ratio", "_density")
 
 
 def statistics(scores: DataFrame, total_col: str = "total") -> DataFrame:

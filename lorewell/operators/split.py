@@ -5,7 +5,7 @@ Structure is found inside a row with higher-order functions, so splitting needs
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -157,6 +157,44 @@ def sentence_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return df.select("doc_id", "s", F.posexplode(starts).alias("window_index", "first")).select("doc_id", "window_index", "first", F.slice("s", F.col("first") + 1, size).alias("sentences"))
 
 
+BOUNDARY = "array<struct<is_boundary:boolean,header:string>>"
+
+
+def found_boundaries(windows: DataFrame, find: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, sentences, boundaries: what ``find`` answers for each window, joined in order.
+
+    ``find`` is an expression or pandas UDF from a window's sentences to a JSON list of (is_boundary, header). Where an
+    answer can't be read, or is too short, every gap that it leaves is a boundary.
+    """
+    list_of = T.json_list(F.coalesce(find(F.col("sentences")), F.lit("")))
+    gaps = F.size("sentences") - 1
+    cut = F.transform(F.sequence(F.lit(0), gaps), lambda i: F.coalesce(F.get(F.coalesce(F.from_json(list_of, BOUNDARY), F.array().cast(BOUNDARY)), i), F.struct(F.lit(True).alias("is_boundary"), F.lit("").alias("header"))))
+    df = windows.select("doc_id", "window_index", "sentences", F.slice(cut, F.lit(1), gaps).alias("cut"))
+    part = F.struct("window_index", "sentences", "cut")
+    df = df.groupBy("doc_id").agg(F.sort_array(F.collect_list(part)).alias("w"))
+    # neighbouring windows share a sentence
+    said = F.flatten(F.transform("w", lambda x, i: F.when(i == 0, x["sentences"]).otherwise(F.slice(x["sentences"], F.lit(2), F.greatest(F.size(x["sentences"]) - 1, F.lit(0))))))
+    return df.select("doc_id", said.alias("sentences"), F.flatten(F.transform("w", lambda x: x["cut"])).alias("boundaries"))
+
+
+def agentic_split(docs: DataFrame, find: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", most: int = 500, overlap: int = 0) -> DataFrame:
+    """doc_id, chunk_index, chunk_id, content: topics that ``find`` tells apart; texts of one sentence or none stay as they are."""
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    many = F.size(T.atoms(F.col("text"))) > 1
+    whole = df.where(~many).select("doc_id", F.lit(0).alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    return topic_split(found_boundaries(sentence_windows(df.where(many)), find), most, overlap).unionByName(whole)
+
+
+def preview(docs: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 0) -> DataFrame:
+    """doc_id, chunk_index, content as a document of type ``markdown`` or ``text`` would be cut."""
+    if kind == "markdown":
+        return markdown_sections(docs, id_col, text_col).select("doc_id", F.col("section_index").alias("chunk_index"), "content")
+    if kind == "text":
+        pieces = recursive_split(F.coalesce(F.col(text_col), F.lit("")), size, overlap)
+        return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces).alias("chunk_index", "content"))
+    raise ValueError(f"no preview of {kind!r}")
+
+
 def topic_chunks(sentences: Sequence[str], cuts: Sequence[tuple[bool, str]], most: int, overlap: int) -> list[str]:
     """Sentences joined up to topic boundaries and ``most`` characters; missing boundaries count as cuts."""
     out, header = [], ""
@@ -184,4 +222,4 @@ def topic_split(docs: DataFrame, most: int = 500, overlap: int = 0) -> DataFrame
         return pd.Series([topic_chunks(list(s if s is not None else []), cuts(b), most, overlap) for s, b in zip(sentences, boundaries, strict=True)])
 
     out = docs.select("doc_id", F.posexplode(join("sentences", "boundaries")).alias("chunk_index", "content"))
-    return out.select("doc_id", "chunk_index", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "content")
+    return out.select("doc_id", "chunk_index", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), (F.col("chunk_index") + 1).cast("string")).alias("chunk_id"), "content")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.operators.lexical import top_k
 
-#: numbers (queries x dimensions) that one block of queries may hold
-BLOCK = 1_000_000
+#: numbers (queries x dimensions) that are sent to the executors at once
+BLOCK = 4_000_000
+#: scores that a task holds at once
+SCORES = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,21 +29,78 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", same: tuple[str, str] | None = None) -> DataFrame:
+class Nearest:
+    """The ``k`` best of each query so far; smaller ids win ties. Memory is bounded by queries x k and one batch."""
+
+    def __init__(self, asked: pd.DataFrame, k: int) -> None:
+        self.k = k
+        self.wants = asked["want"].to_numpy() if "want" in asked else None
+        self.ids = asked["query_id"].to_numpy()
+        self.unit = np.stack(asked["v"].to_numpy()).astype(np.float64)
+        self.least = np.full(len(asked), -np.inf)
+        self.held = pd.DataFrame({"q": np.empty(0, np.int64), "id": np.empty(0, object), "score": np.empty(0)})
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, have: np.ndarray | None) -> None:
+        step = max(1, SCORES // len(self.ids))
+        for at in range(0, len(ids), step):
+            s = np.round((1 + vectors[at : at + step] @ self.unit.T) / 2, 6)
+            fit = s >= self.least
+            if self.wants is not None:
+                fit &= have[at : at + step, None] == self.wants[None, :]
+            row, q = np.nonzero(fit)
+            more = pd.DataFrame({"q": q, "id": ids[at : at + step][row].astype(object), "score": s[row, q]})
+            self.held = pd.concat([self.held, more], ignore_index=True)
+            if len(self.held) > 4 * self.k * len(self.ids):
+                self.trim()
+
+    def trim(self) -> None:
+        self.held = self.held.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(self.k).reset_index(drop=True)
+        n, low = self.held.groupby("q")["score"].agg(["size", "min"]).T.to_numpy() if len(self.held) else (np.empty(0), np.empty(0))
+        full = n >= self.k
+        self.least[np.unique(self.held["q"].to_numpy(np.int64))[full]] = low[full]
+
+
+def _best(rows: DataFrame, asked: pd.DataFrame, k: int, d: int, schema: str) -> DataFrame:
+    """Each task's ``k`` best of every query of one block; vectors are multiplied in batches."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Nearest(shared.value, k)
+        for batch in batches:
+            if batch.num_rows:
+                u = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                best.add(batch.column(0).to_numpy(zero_copy_only=False), u, batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None)
+        best.trim()
+        if len(best.held):
+            q = best.held["q"].to_numpy(np.int64)
+            own = {"query_id": best.ids[q], **({"want": best.wants[q]} if best.wants is not None else {})}
+            yield pa.RecordBatch.from_pandas(best.held.assign(**own)[[*own, "id", "score"]], preserve_index=False)
+
+    return rows.mapInArrow(run, schema)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", same: tuple[str, str] | None = None, with_same: bool = False) -> DataFrame:
     """query_id, id, score = (1 + cosine) / 2 to six places, rank.
 
-    Every vector is scaled once and meets the queries in blocks of bounded size; each task keeps the
-    ``k`` best per query before anything is shuffled. ``same``: columns of vectors and of queries that must be
-    equal (a knowledge base). Vectors of another length, null ones and zero ones are no neighbours.
+    Queries are sent out in blocks of at most ``BLOCK`` numbers, one scan of the vectors a block; a task
+    multiplies batches and keeps the ``k`` best per query, so no pair of vectors is a row. ``same``: columns of
+    vectors and of queries that must be equal (a knowledge base); ``with_same`` returns it too. Vectors of another length, null ones and
+    zero ones are no neighbours; null ids of queries are queries of their own.
     """
     own = [F.col(query_id).alias("query_id"), unit(F.col(query_vector)).alias("v"), *([F.col(same[1]).alias("want")] if same else [])]
-    asked = queries.select(*own).where("v is not null")
-    shape = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    per_block = max(1, BLOCK // max(1, shape["d"] or 1))
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-shape["n"] // per_block)))))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct(*[c for c in asked.columns])).alias("asked"))
+    asked = queries.select(*own).where("v is not null").withColumn("d", F.size("v"))
     rows = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("u"), *([F.col(same[0]).alias("have")] if same else [])).where("u is not null")
-    near = F.filter("asked", lambda q: F.size(q["v"]) == F.size("u")) if not same else F.filter("asked", lambda q: (F.size(q["v"]) == F.size("u")) & (q["want"] == F.col("have")))
-    scores = F.transform(near, lambda q: F.struct(q["query_id"].alias("query_id"), F.round((1 + dot(q["v"], F.col("u"))) / 2, 6).alias("score")))
-    pairs = rows.crossJoin(F.broadcast(packed)).select("id", F.explode(scores).alias("s"))  # a block is one row of bounded size
-    return top_k(pairs.select("s.query_id", "id", "s.score"), k)
+    kinds = dict(asked.dtypes)
+    schema = f"query_id {kinds['query_id']}, {f'want {kinds["want"]}, ' if same else ''}id {dict(rows.dtypes)['id']}, score double"
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for shape in asked.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per length of vectors
+        n = max(1, -(-shape["n"] * shape["d"] // BLOCK))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+        for i in range(n):
+            some = asked.where((F.col("d") == shape["d"]) & (block == i)).drop("d").toPandas()
+            if len(some):
+                found = found.unionByName(_best(rows.where(F.size("u") == shape["d"]), some, k, shape["d"], schema))
+    if not same:
+        return top_k(found, k)
+    found = top_k(found, k, ["query_id", "want"])
+    return found.withColumnRenamed("want", same[1]) if with_same else found.drop("want")

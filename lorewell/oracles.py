@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lorewell.operators.quality import CONJUNCTIONS, PRONOUNS
+
 WHITE = r"E' \t\n\r\x0b\f'"
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 ATOMS = rf"list_filter(list_transform(regexp_split_to_array(coalesce({{0}}, ''), '[。！？.!?\n]+'), lambda x: trim(x, {WHITE})), lambda x: x <> '')"
@@ -79,13 +81,12 @@ m AS (SELECT *, CASE WHEN fences % 2 = 0 AND regexp_matches(line, '^#{{1,4}}\s+\
 n AS (SELECT *, sum(CASE WHEN mark IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS section_index, trim(regexp_replace(line, '^#+\s+', ''), {WHITE}) AS name FROM m),
 g AS (SELECT doc_id, section_index, trim(string_agg(line, chr(10) ORDER BY i), {WHITE}) AS content, max(CASE WHEN mark IS NOT NULL THEN mark END) AS mark, max(CASE WHEN mark IS NOT NULL THEN name END) AS name FROM n GROUP BY ALL),
 k AS (SELECT *, {", ".join(f"max(CASE WHEN mark = {x} THEN section_index END) OVER w AS p{x}" for x in (1, 2, 3, 4))} FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY section_index))
-SELECT k.doc_id, k.section_index::int AS section_index, {", ".join(f"g{x}.name AS h{x}" for x in (1, 2, 3, 4))} FROM k
+SELECT k.doc_id, k.section_index::int AS section_index, md5(k.content) AS content, {", ".join(f"g{x}.name AS h{x}" for x in (1, 2, 3, 4))} FROM k
 {" ".join(f"LEFT JOIN g g{x} ON g{x}.doc_id = k.doc_id AND g{x}.section_index = k.p{x} AND k.p{x} > greatest(-1, {', '.join([f'coalesce(k.p{y}, -1)' for y in range(1, x)] or ['-1'])})" for x in (1, 2, 3, 4))}
 WHERE k.content <> '' OR k.section_index = 0
 """
 
-_CONJ = "|".join(["但是", "并且", "因此", "所以", "然而", "不过", "而且", "以及", "或者"])
-_PRON = "|".join(["它", "他", "她", "这", "那", "该", "其", "此"])
+_CONJ, _PRON = "|".join(CONJUNCTIONS), "|".join(PRONOUNS)
 SCORES = rf"""
 p AS (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS prev, length(content) AS n, trim(content, {WHITE}) AS bare FROM chunks),
 o AS (SELECT *, length(regexp_replace(content, '\s', '', 'g')) / n * 10 AS density,
@@ -95,13 +96,16 @@ v AS (SELECT *, CASE WHEN n BETWEEN 300 AND 800 THEN 20.0 WHEN n BETWEEN 100 AND
     + CASE WHEN regexp_matches(bare, '^({_CONJ})') THEN 0 ELSE 5 END + CASE WHEN regexp_matches(bare, '^({_PRON})') THEN 0 ELSE 5 END END::double AS structure,
   density + (1 - ratio) * 10 AS content_score,
   greatest(0, 20 - 2 * least(5, len(regexp_extract_all(content, '{_PRON}'))) - 3 * least(3, len(regexp_extract_all(content, '{_CONJ}'))))::double AS semantic,
+  array_to_string(list_filter([CASE WHEN n < 100 THEN 'merge_with_prev' END, CASE WHEN n > 1000 THEN 'split_further' END, CASE WHEN right(bare, 1) IN (',', '，', '、', ';', '；', ':', '：') THEN 'extend_boundary' END, 'generate_qa'], lambda x: x IS NOT NULL), ',') AS suggestions,
   array_to_string(list_filter([CASE WHEN n < 100 THEN 'chunk_too_short' END, CASE WHEN n > 1000 THEN 'chunk_too_long' END,
     CASE WHEN right(bare, 1) IN (',', '，', '、', ';', '；', ':', '：') THEN 'truncated_end' END, CASE WHEN regexp_matches(bare, '^({_PRON})') THEN 'dangling_reference' END,
     CASE WHEN density < 5 THEN 'low_info_density' END, CASE WHEN ratio > 0.5 THEN 'high_overlap' END, 'low_qa_coverage'], lambda x: x IS NOT NULL), ',') AS issues FROM o),
 scores AS (SELECT doc_id, chunk_index, length_score AS length, structure, round(content_score, 6) AS content_score, semantic, 0.0::double AS qa,
-  round(length_score + structure + content_score + semantic, 6) AS total, issues FROM v)
+  round(length_score + structure + content_score + semantic, 6) AS total, issues, suggestions FROM v)
 """
 SQL["q1_chunk_scores"] = f"WITH {CHUNKS}, {SCORES} SELECT * FROM scores"
+SQL["q6_qa_scores"] = f"""WITH {CHUNKS}, k AS (SELECT *, chunk_index % 4 AS n FROM chunks)
+SELECT doc_id, chunk_index, round(CASE n WHEN 0 THEN 0 ELSE least(n, 3) / 3 * 10 + (1 - greatest(0, n - 2) / n) * 5 END, 6)::double AS qa, n < 2 AS low FROM k"""
 SQL["q7_needs_questions"] = f"WITH {CHUNKS} SELECT source, count(*) AS n FROM chunks WHERE chunk_index % 4 < 2 AND length(content) >= 100 GROUP BY source"
 SQL["q10_statistics"] = f"""WITH {CHUNKS}, {SCORES} SELECT count(*) AS chunks, count_if(total >= 80) AS high, count_if(total >= 60 AND total < 80) AS mid, count_if(total < 60) AS low, round(avg(total), 6) AS mean FROM scores"""
 
@@ -122,12 +126,31 @@ b6 AS (SELECT query_id, id, round(score, 6) AS score FROM b)
 """
 SQL["v2_bm25"] = f"WITH {BM25} SELECT * FROM top WHERE rank <= 10"
 SQL["v11_retrieve"] = f"WITH {BM25}, r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE score >= 0.6) SELECT * FROM r WHERE rank <= 10"
-SQL["v3_hybrid_sum"] = f"""WITH {BM25}, s AS (SELECT query_id, id, round(sum(score), 6) AS score FROM (SELECT query_id, id, score FROM a UNION ALL SELECT * FROM b6) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
-SQL["v6_rrf"] = f"""WITH {BM25}, u AS (SELECT query_id, id, 1 / (60 + rank) AS s FROM a UNION ALL
-SELECT query_id, id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)) FROM b6) SELECT query_id, id, round(sum(s), 9) AS score FROM u GROUP BY ALL"""
-SQL["v13_weighted"] = f"""WITH {BM25}, u AS (SELECT query_id, id, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.3, 0) AS s FROM a UNION ALL
-SELECT query_id, id, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.7, 0) FROM b6) SELECT query_id, id, round(sum(s), 6) AS score FROM u GROUP BY ALL"""
+SQL["v9_rerank"] = f"WITH {BM25} SELECT * FROM b6"
+HYBRID = f"""{BM25},
+kn AS (SELECT item_id AS query_id, e.vec_id AS id, round((1 + list_cosine_similarity(e.embedding::double[], v.embedding::double[])) / 2, 6) AS score
+  FROM embeddings e JOIN documents ON doc_id = e.vec_id, benchmark JOIN embeddings v ON item_id = v.vec_id),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM kn)
+"""
+_SUMMED = "s AS (SELECT query_id, id, round(sum(score), 6) AS score FROM (SELECT query_id, id, score FROM {0} UNION ALL SELECT query_id, id, score FROM kr WHERE rank <= 30) GROUP BY ALL)"
+_BEST = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {0})"
+SQL["v3_hybrid_sum"] = f"WITH {HYBRID}, {_SUMMED.format('a')}, {_BEST.format('s')} SELECT * FROM r WHERE rank <= 10"
+SQL["v6_rrf"] = f"""WITH {HYBRID}, u AS (SELECT query_id, id, 1 / (60 + rank) AS s FROM a UNION ALL
+SELECT query_id, id, 1 / (60 + rank) FROM kr WHERE rank <= 30) SELECT query_id, id, round(sum(s), 9) AS score FROM u GROUP BY ALL"""
+SQL["v13_weighted"] = f"""WITH {HYBRID}, k30 AS (SELECT * FROM kr WHERE rank <= 30), u AS (SELECT query_id, id, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.3, 0) AS s FROM a UNION ALL
+SELECT query_id, id, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.7, 0) FROM k30) SELECT query_id, id, round(sum(s), 9) AS score FROM u GROUP BY ALL"""
+_RERANKED = "z AS (SELECT query_id, id, round(coalesce(len(list_intersect(asked, t)) / nullif(len(asked), 0), 0), 6) AS score FROM {0} JOIN d USING (id) JOIN qs USING (query_id))"
+_HYBRID_RUN = f"""WITH {HYBRID}, {_SUMMED.format('bm')}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s), c30 AS (SELECT query_id, id FROM c WHERE place <= 30),
+{_RERANKED.format('c30')}, {_BEST.format('z WHERE score >= 0.4')} SELECT * FROM r WHERE rank <= 10"""
+SQL["v7_hybrid"] = SQL["v7_vector"] = _HYBRID_RUN
+SQL["v14_doc_ids"] = f"""WITH {BM25}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM bm WHERE id IN (SELECT unnest(range(0, 60, 3)))), c15 AS (SELECT query_id, id FROM own WHERE place <= 15),
+{_RERANKED.format('c15')}, {_BEST.format('z WHERE score >= 0.1')} SELECT * FROM r WHERE rank <= 5"""
+SQL["v12_bases"] = f"""WITH {HYBRID}, kb AS (SELECT doc_id AS id, source AS kb_id FROM documents WHERE source IN ('src0', 'src1', 'src2')),
+kk AS (SELECT kb_id, query_id, id, score, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, id) AS rank FROM kn JOIN kb USING (id)),
+s AS (SELECT kb_id, query_id, id, sum(score) AS score FROM (SELECT kb_id, query_id, id, score FROM bm JOIN kb USING (id) UNION ALL SELECT kb_id, query_id, id, score FROM kk WHERE rank <= 15) GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY kb_id, query_id ORDER BY score DESC, id) AS place FROM s), c15 AS (SELECT kb_id, query_id, id FROM c WHERE place <= 15),
+z AS (SELECT kb_id, query_id, id, round(coalesce(len(list_intersect(asked, t)) / nullif(len(asked), 0), 0), 6) AS score FROM c15 JOIN d USING (id) JOIN qs USING (query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY kb_id, query_id ORDER BY score DESC, id) AS rank FROM z WHERE score >= 0.2) SELECT * FROM r WHERE rank <= 5"""
 SQL["v5_postings"] = rf"""
 WITH d AS (SELECT doc_id AS id, {TOKENS.format("text")} AS t FROM documents), x AS (SELECT id, len(t) AS length, unnest(t) AS term FROM d),
 p AS (SELECT term, id, length, count(*) AS tf FROM x GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::bigint AS cf, max(length) AS longest FROM p GROUP BY term
@@ -153,12 +176,14 @@ SQL["g4_relations"] = f"""WITH {REL}, s AS (SELECT src_id, dst_id, source_id, mi
 u AS (SELECT src_id, dst_id, description, min((c, n)) AS pos FROM r GROUP BY ALL), v AS (SELECT src_id, dst_id, string_agg(description, chr(10) ORDER BY pos) AS description FROM u GROUP BY ALL),
 w AS (SELECT src_id, dst_id, arg_min(type, (c, n)) AS type, round(list_reduce(list(weight ORDER BY c, n), lambda a, x: (a + x) / 2), 6) AS weight FROM r GROUP BY ALL)
 SELECT src_id, dst_id, type, description, weight, source_id FROM w JOIN t USING (src_id, dst_id) JOIN v USING (src_id, dst_id)"""
-SQL["g6_upsert"] = f"""WITH {REL}, g AS (SELECT type, src_id AS id, avg(weight) AS weight, max(description) AS description, list_sort(list_distinct(list(dst_id))) AS s FROM r GROUP BY type, src_id),
-o AS (SELECT * FROM g WHERE type = 'R'), n AS (SELECT * FROM g WHERE type = 'N')
-SELECT coalesce(n.id, o.id) AS id, round(CASE WHEN o.id IS NULL THEN n.weight WHEN n.id IS NULL THEN o.weight ELSE (o.weight + n.weight) / 2 END, 6) AS weight,
-  CASE WHEN o.id IS NULL THEN n.description WHEN n.id IS NULL OR contains(o.description, n.description) THEN o.description ELSE o.description || chr(10) || n.description END AS description,
-  array_to_string(list_sort(list_distinct(list_concat(coalesce(o.s, []), coalesce(n.s, [])))), ',') AS source_ids
-FROM o FULL OUTER JOIN n ON o.id = n.id"""
+SQL["g6_upsert"] = f"""WITH RECURSIVE {REL}, g AS (SELECT src_id AS id, CASE type WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS updated_at, avg(weight) AS weight, max(description) AS description, list_sort(list_distinct(list(dst_id))) AS s FROM r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at) AS n FROM g),
+f AS (SELECT * FROM k WHERE n = 1 UNION ALL
+  SELECT k.id, k.updated_at, CASE WHEN right(k.id, 1)::int % 2 = 0 THEN f.weight ELSE (f.weight + k.weight) / 2 END,
+    CASE WHEN contains(f.description, k.description) THEN f.description ELSE f.description || chr(10) || k.description END, list_concat(f.s, list_filter(k.s, lambda x: NOT list_contains(f.s, x))), k.n
+  FROM f JOIN k ON k.id = f.id AND k.n = f.n + 1)
+SELECT id, CASE WHEN right(id, 1)::int % 2 = 0 THEN 'entity' ELSE 'relation' END AS graph_type, round(weight, 6) AS weight, description, array_to_string(s, ',') AS source_ids, updated_at
+FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1"""
 
 EDGES = """
 e AS (SELECT 'part-' || l_partkey AS src_id, 'supp-' || l_suppkey AS dst_id, max(l_quantity) AS weight FROM lineitem GROUP BY ALL),
@@ -203,6 +228,44 @@ SQL["st4_failed"] = f"""SELECT event_id AS id, CASE WHEN event_type = 'click' TH
 CASE WHEN event_type = 'click' THEN 1705276800 + (30 * 2 ** (event_id % 5))::bigint ELSE floor(epoch(ts))::bigint END AS next_retry FROM events"""
 SQL["w3_default"] = "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 3 AND c_custkey <> 10 THEN 0 ELSE 1 END AS is_default FROM customer"
 SQL["w2_compare_and_set"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"
-SQL["w4_cascade"] = """SELECT 'bases' AS name, count(*) AS n FROM customer WHERE c_custkey <> 1 UNION ALL SELECT 'documents', count(*) FROM orders WHERE o_custkey <> 1 UNION ALL SELECT 'chunks', count(*) FROM orders WHERE o_custkey <> 1"""
+SQL["w4_cascade"] = """SELECT 'bases' AS name, count(*) AS n FROM customer WHERE c_custkey <> 1 UNION ALL SELECT 'documents', count(*) FROM orders WHERE o_custkey <> 1 UNION ALL SELECT 'chunks', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> 1"""
 SQL["st1_messages"] = "SELECT event_type AS tenant_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type"
 SQL["snk1_put_chunks"] = f"WITH {CHUNKS}, k AS (SELECT DISTINCT source, doc_id, content FROM chunks) SELECT source AS kb_id, count(*) AS n, sum(length(content))::bigint AS chars FROM k GROUP BY source"
+
+# the library as a table of documents, and their chunks
+LIB = """
+lib AS (SELECT o_orderkey AS id, o_custkey % 20 AS kb_id, 'file' || o_orderkey || '.md' AS doc_name, CASE WHEN o_orderkey % 3 > 0 THEN 'p/' || o_orderkey END AS storage_path, CASE WHEN o_orderkey % 5 > 0 THEN 'local' ELSE 'web' END AS source_type,
+  CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending' ELSE 'indexing' END AS run_status FROM orders),
+ch AS (SELECT l_orderkey AS doc_id, kb_id, l_linenumber AS chunk_index, l_orderkey || '-' || l_linenumber AS id, l_returnflag || ' ' || l_linestatus AS content FROM lineitem JOIN lib ON lib.id = l_orderkey)
+"""
+SQL["f5_in_list"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT unnest(range(1, 400, 7))) AND o_orderstatus = 'F'"
+SQL["f18_name_contains"] = "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'r#0000000')"
+SQL["f20_own"] = "SELECT c_custkey, c_nationkey, CASE WHEN (c_custkey <= 10 AND c_nationkey = c_custkey) OR (c_custkey <= 100 AND c_custkey % 10 = 0 AND c_nationkey = 3) THEN 'new' ELSE 'old' END AS status FROM customer"
+SQL["j5_by_factory"] = """WITH m AS (SELECT c_mktsegment AS f, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'chat' ELSE 'embedding' END AS kind, c_name || c_mktsegment AS key, CASE WHEN c_custkey % 3 = 0 THEN 'host' || c_custkey END AS base FROM customer)
+SELECT f AS llm_factory, CASE WHEN f = 'BUILDING' THEN '' ELSE lower(f) END AS logo, coalesce(min_by(base, name) FILTER (base IS NOT NULL), '') AS api_base,
+  md5(string_agg(name || ':' || kind || ':' || left(key, 4) || '****' || right(key, 4), ',' ORDER BY name, kind)) AS models FROM m GROUP BY f"""
+SQL["j8_positions"] = SQL["v1_knn"].replace("SELECT * FROM r WHERE rank <= 10", "SELECT query_id, id, CASE rank WHEN 1 THEN 0.1 ELSE 0.2 END::double AS score FROM r WHERE rank IN (1, 6)")
+SQL["a14_graph_size"] = f"WITH {EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM e) AS edges"
+SQL["g12_name_vectors"] = f"WITH {EDGES} SELECT name, CASE WHEN name NOT LIKE '%7' THEN 2 ELSE 0 END AS n, CASE WHEN name NOT LIKE '%7' THEN length(name) ELSE 0 END::double AS first FROM nodes"
+SQL["f16_listed"] = f"WITH {LIB} SELECT id, kb_id, doc_name, coalesce(storage_path, '') AS storage_path, '' AS parser_config, run_status FROM lib WHERE kb_id = 3 AND id < 2000 AND id % 2 = 1"
+SQL["v16_chunk_page"] = f"WITH {LIB} SELECT id, chunk_index, content FROM ch WHERE doc_id = 7 AND (content LIKE '%R%' OR content LIKE '%N%') ORDER BY chunk_index LIMIT 3"
+SQL["v17_deleted_chunks"] = f"WITH {LIB} SELECT kb_id, count(*) AS n FROM ch WHERE NOT (kb_id = 3 AND doc_id % 2 = 0) GROUP BY kb_id"
+SQL["w5_cleared"] = f"""WITH {LIB} SELECT 'documents' AS name, count(*) AS n FROM lib WHERE NOT (kb_id = 3 AND run_status <> 'indexing')
+UNION ALL SELECT 'chunks', count(*) FROM ch JOIN lib ON lib.id = ch.doc_id WHERE NOT (lib.kb_id = 3 AND run_status <> 'indexing')
+UNION ALL SELECT 'paths', count(*) FROM lib WHERE kb_id = 3 AND run_status <> 'indexing' AND source_type = 'local' AND storage_path IS NOT NULL"""
+SQL["w6_uploads"] = """WITH f AS (SELECT l_orderkey AS u, l_linenumber AS n, (l_quantity * 600000)::bigint AS size FROM lineitem), t AS (SELECT u, count(*) AS files, sum(size) AS bytes FROM f GROUP BY u),
+j AS (SELECT n, size, CASE WHEN files > 10 THEN 'too many files' WHEN bytes > 104857600 THEN 'too large' WHEN n = 5 THEN 'no name' ELSE '' END AS reason, CASE WHEN n % 2 = 0 THEN 'pdf' ELSE 'b' || n || 'x' END AS kind FROM f JOIN t USING (u))
+SELECT CASE WHEN reason = '' THEN kind ELSE '' END AS doc_type, reason, count(*) AS n, sum(size)::bigint AS bytes FROM j GROUP BY ALL"""
+SQL["w7_to_parse"] = f"""WITH {LIB}, c AS (SELECT *, kb_id = 3 AND id < 2000 AND id % 2 = 1 AS chosen FROM lib)
+SELECT id, CASE WHEN chosen THEN 'pending' ELSE run_status END AS run_status, CASE WHEN chosen THEN 0.0 ELSE 1.0 END::double AS progress, CASE WHEN chosen THEN 1 ELSE 0 END AS sent FROM c"""
+SQL["st5_to_index"] = f"WITH {LIB} SELECT id, run_status FROM lib WHERE run_status = 'pending' AND id IN (SELECT l_orderkey FROM lineitem)"
+SQL["st3_republished"] = f"""WITH t AS (SELECT event_id AS id, {_TASKS} AS status, event_id % 5 AS retry_times, ts FROM events),
+due AS (SELECT id FROM t WHERE (status = 'fail' AND ts <= TIMESTAMP '2024-01-15' AND retry_times < 3) OR (status = 'init' AND ts < TIMESTAMP '2024-01-14 23:55:00') ORDER BY ts, id LIMIT 100),
+o AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'document_index' ELSE 'graph_generate' END AS topic FROM due WHERE id % 3 < 2 AND id % 11 > 0)
+SELECT t.id, CASE WHEN o.id IS NULL THEN status ELSE 'retrying' END AS status, topic, o.id::varchar AS message_id FROM t LEFT JOIN o ON o.id = t.id"""
+SQL["sc23_register"] = """WITH r AS (SELECT c_custkey, c_custkey % 60 AS n, c_custkey % 7 > 0 AS mail, left(c_name, (c_custkey % 12)::int) AS word, c_custkey % 5 > 0 AS same FROM customer)
+SELECT c_custkey, CASE WHEN n NOT BETWEEN 1 AND 50 THEN 'nickname' WHEN NOT mail THEN 'email' WHEN strlen(word) < 6 THEN 'password' WHEN NOT same THEN 'repeated' END AS broken, strlen(word) >= 10 AS strong FROM r"""
+SQL["sc25_times"] = "SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc FROM events"
+SQL["sc28_prompts"] = """SELECT doc_id, md5('Base: ' || coalesce(source, '') || chr(10) || 'Write 3 questions that this text answers, and their answers, as a JSON list of {"question", "answer"}.' || chr(10) || 'Text:' || chr(10) || coalesce(text, '')) AS prompt,
+  CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(replace(text, ' ', ','), ',')) END AS n_tags FROM documents"""
+SQL["c10_preview"] = f"SELECT doc_id, section_index AS chunk_index, content FROM ({SQL['c2_markdown']})"

@@ -11,32 +11,42 @@ from lorewell.functions import text as T
 from lorewell.operators import graph, quality, split
 
 
-def chunk_records(chunks: DataFrame, kb_id: Column, now: Column) -> DataFrame:
-    """Index records of content chunks; equal chunks of a document have one id."""
-    return chunks.select(
-        T.chunk_id(F.col("content"), F.col("doc_id")).alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.array(kb_id).alias("kb_ids"), "content",
-        now.cast("double").alias("create_timestamp_flt"), F.lit(1).alias("available_int"), "chunk_index",
+def _records(rows: DataFrame, key: Column, content: Column, kb_id: Column, now: Column, more: list[str]) -> DataFrame:
+    own = [c for c in more if c in rows.columns]
+    return rows.select(
+        key.alias("id"), F.col("doc_id").cast("string").alias("doc_id"), kb_id.alias("kb_id"), F.array(kb_id).alias("kb_ids"), content.alias("content"),
+        now.cast("double").alias("create_timestamp_flt"), F.lit(1).alias("available_int"), "chunk_index", *own,
     ).dropDuplicates(["id"])
 
 
+def chunk_records(chunks: DataFrame, kb_id: Column, now: Column) -> DataFrame:
+    """Index records of content chunks, with their scores where they have some; equal chunks of a document have one id.
+
+    ``kb_id`` is the partition that ``put_chunks`` and ``cascade_delete`` work on, ``kb_ids`` what searches filter by.
+    """
+    return _records(chunks, T.chunk_id(F.col("content"), F.col("doc_id")), F.col("content"), kb_id, now, quality.SCORES)
+
+
 def question_records(chunks: DataFrame, kb_id: Column, now: Column, qa_col: str = "qa_pairs") -> DataFrame:
-    """Index records of the questions of chunks."""
+    """Index records of the questions of chunks; they have no scores."""
     df = chunks.select("doc_id", "chunk_index", F.explode(qa_col).alias("x"))
     content = F.concat(F.lit("Question: "), F.col("x.question"), F.lit("\nAnswer: "), F.col("x.answer"))
     key = T.chunk_id(F.concat("x.question", "x.answer"), F.col("doc_id"), "qa")
-    return df.select(
-        key.alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.array(kb_id).alias("kb_ids"), content.alias("content"),
-        now.cast("double").alias("create_timestamp_flt"), F.lit(1).alias("available_int"), "chunk_index",
-    ).dropDuplicates(["id"])
+    return _records(df, key, content, kb_id, now, [])
 
 
 def ingest(docs: DataFrame, path_col: str, kb_id: Column, now: Column, size: int = 500, overlap: int = 0, ask: Callable[[Column], Column] | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Split, score, ask, and build index records; ``ask`` and ``embed`` are expressions or pandas UDFs."""
+    """Split, score, ask where questions are wanted, score again, and build index records; ``ask`` and ``embed`` are expressions or pandas UDFs.
+
+    Only the questions of a chunk change its score, so both rounds of scoring are one: what was asked is
+    known before the scores are taken, and a chunk that nothing is asked of has the score of the first round.
+    """
     chunks = split.split_documents(docs, path_col, size=size, overlap=overlap)
     chunks = chunks.withColumn("qa_pairs", F.array().cast(quality.QA))
     if ask:
         chunks = quality.with_questions(chunks, ask)
-    records = chunk_records(chunks, kb_id, now).unionByName(question_records(chunks, kb_id, now))
+    chunks = quality.scored(chunks, qa_col="qa_pairs")
+    records = chunk_records(chunks, kb_id, now).unionByName(question_records(chunks, kb_id, now), allowMissingColumns=True)
     return records.withColumn("content_vector", embed(F.col("content"))) if embed else records
 
 

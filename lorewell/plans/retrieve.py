@@ -32,24 +32,38 @@ def retrieve(
 ) -> DataFrame:
     """query_id, id, score, rank. ``chunks``: id, content, embedding; ``queries``: query_id, query, query_vector.
 
-    Unknown modes are hybrid; ``vector`` also reads the text, ``fulltext`` no vector. Three times ``k``
-    candidates are reranked; those of a score of ``least`` or more stay, the ``k`` best of them.
+    Unknown modes are hybrid: the scores of full text and of the nearest vectors are added. ``vector`` also
+    reads the text, ``fulltext`` no vector. Three times ``k`` candidates are reranked; those of a score of
+    ``least`` or more stay, the ``k`` best of them. ``doc_ids`` narrows the hits; statistics span all chunks.
     """
     if k <= 0:
         raise ValueError("k has to be above 0")
-    pool = chunks.where(F.col("doc_id").isin(list(doc_ids))) if doc_ids else chunks
-    text = bm25(pool, queries, "id", "content")
-    found = text
+    among = F.col("doc_id").isin(list(doc_ids)) if doc_ids else None
+    pool = chunks if among is None else chunks.where(among)
+    found = bm25(chunks, queries, "id", "content", among=among)
     if mode != "fulltext":
-        found = fusion.summed(text, knn(pool, queries, k * OVERFETCH, "id", "embedding"))
+        found = fusion.summed(found, knn(pool, queries, k * OVERFETCH, "id", "embedding"))
     candidates = top_k(found, k * OVERFETCH)
     return threshold_top_k(fusion.reranked(candidates, pool, queries, rerank), least, k)
 
 
-def retrieve_bases(chunks: DataFrame, queries: DataFrame, bases: Sequence[object], **options) -> DataFrame:
-    """Results of each knowledge base under one another, each with its own top-k."""
-    out = None
-    for base in bases:
-        own = retrieve(chunks.where(F.array_contains("kb_ids", base)), queries, **options).withColumn("kb_id", F.lit(base))
-        out = own if out is None else out.unionByName(own)
-    return out
+def retrieve_bases(
+    chunks: DataFrame, queries: DataFrame, bases: Sequence[object], mode: str = "hybrid", k: int = 10, least: float = 0.6, rerank: Callable[[Column, Column], Column] = shared_terms
+) -> DataFrame:
+    """kb_id, query_id, id, score, rank: ``retrieve`` in each of ``bases``, all in one job; ``chunks`` has kb_ids.
+
+    Text is scored once for all bases, and statistics span the whole index.
+    """
+    if k <= 0:
+        raise ValueError("k has to be above 0")
+    wanted = F.array(*[F.lit(b) for b in bases])
+    held = chunks.select("*", F.explode(F.array_distinct(F.array_intersect("kb_ids", wanted))).alias("kb_id"))
+    both = lambda df: df.withColumn("query_id", F.struct("kb_id", F.col("query_id").alias("q"))).drop("kb_id")
+    found = both(bm25(chunks, queries, "id", "content", among=F.arrays_overlap("kb_ids", wanted)).join(held.select("id", "kb_id"), "id"))
+    each = queries.select("*", F.explode(wanted).alias("kb_id"))
+    if mode != "fulltext":
+        near = both(knn(held, each, k * OVERFETCH, "id", "embedding", same=("kb_id", "kb_id"), with_same=True))
+        found = fusion.summed(found, near.select("query_id", "id", "score"))
+    candidates = top_k(found, k * OVERFETCH)
+    ranked = threshold_top_k(fusion.reranked(candidates, chunks, both(each), rerank), least, k)
+    return ranked.select("query_id.kb_id", F.col("query_id.q").alias("query_id"), "id", "score", "rank")

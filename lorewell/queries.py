@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell import schemas
+from lorewell.functions import prompts
 from lorewell.functions import text as T
-from lorewell.operators import catalog, fusion, graph, lexical, quality, split, vector
+from lorewell.operators import catalog, documents, fusion, graph, lexical, quality, split, vector
 from lorewell.plans import ingest as ingestion
-from lorewell.plans.retrieve import retrieve, shared_terms
+from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
 from lorewell.sources import tables
 from lorewell.sources.scratch import shared_path
 from lorewell.streaming import messages, outbox
@@ -28,7 +29,9 @@ def _chunks(spark: SparkSession, d: str, size: int = 400) -> DataFrame:
     df = _t(spark, d, "documents").where("text is not null and text <> ''")
     at = F.sequence(F.lit(0), ((F.char_length("text") - 1) / size).cast("int"))
     df = df.select("doc_id", "source", "text", F.explode(at).alias("chunk_index"))
-    return df.select("doc_id", "source", "chunk_index", F.substring("text", F.col("chunk_index") * size + 1, F.lit(size)).alias("content"))
+    piece = lambda i: F.substring("text", i * size + 1, F.lit(size))
+    before = F.when(F.col("chunk_index") > 0, piece(F.col("chunk_index") - 1))
+    return df.select("doc_id", "source", "chunk_index", piece(F.col("chunk_index")).alias("content"), before.alias("previous"))
 
 
 # scalars
@@ -58,8 +61,8 @@ def src2_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sc13_json(spark: SparkSession, d: str) -> DataFrame:
-    k = F.from_json("props", "k long")["k"]
-    return _t(spark, d, "events").select("event_id", k.alias("k"), F.coalesce(F.from_json("props", "map<string,string>")["k"].try_cast("double"), F.lit(0.0)).alias("as_double"))
+    df = _t(spark, d, "events").withColumn("meta", F.from_json("props", "map<string,string>"))
+    return df.select("event_id", F.from_json("props", "k long")["k"].alias("k"), catalog.number_of("meta", "k").alias("as_double"))
 
 
 # splitting and quality
@@ -81,7 +84,7 @@ def c6_structure_split(spark: SparkSession, d: str) -> DataFrame:
 
 def c2_markdown(spark: SparkSession, d: str) -> DataFrame:
     marked = F.regexp_replace("text", r"(?m)^([A-Za-z]{4}) ", "## $1 ")  # the documents hold next to no headers of their own
-    return split.markdown_sections(_t(spark, d, "documents").select("doc_id", marked.alias("text"))).select("doc_id", "section_index", "h1", "h2", "h3", "h4")
+    return split.markdown_sections(_t(spark, d, "documents").select("doc_id", marked.alias("text"))).select("doc_id", "section_index", "h1", "h2", "h3", "h4", F.md5("content").alias("content"))
 
 
 def c7_sentence_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +100,22 @@ def c8_topic_split(spark: SparkSession, d: str) -> DataFrame:
 
 def c11_ingest(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").withColumn("path", F.concat("source", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")))
-    return ingestion.ingest(docs, "path", F.lit("kb"), F.lit(0.0)).select("id", "doc_id", "chunk_index", "content", "available_int")
+    item = lambda c, n: F.concat(F.lit('{"question": "'), F.md5(F.concat(c, F.lit(n))), F.lit('", "answer": "a"}'))
+    ask = lambda c: F.concat(F.lit("Here: ["), item(c, "1"), F.lit(", "), item(c, "2"), F.lit("]"))
+    out = ingestion.ingest(docs, "path", F.lit("kb"), F.lit(0.0), ask=ask)
+    return out.select("id", "doc_id", "chunk_index", "content", "available_int", F.round("total", 6).alias("total"), F.array_join("suggestions", ",").alias("suggestions"))
 
 
 def q1_chunk_scores(spark: SparkSession, d: str) -> DataFrame:
-    df = quality.scored(_chunks(spark, d))
-    return df.select("doc_id", "chunk_index", "length", "structure", F.round("content_score", 6).alias("content_score"), "semantic", "qa", F.round("total", 6).alias("total"), F.array_join("issues", ",").alias("issues"))
+    df = quality.scored(_chunks(spark, d), previous_col="previous")
+    return df.select("doc_id", "chunk_index", "length", "structure", F.round("content_score", 6).alias("content_score"), "semantic", "qa", F.round("total", 6).alias("total"), F.array_join("issues", ",").alias("issues"), F.array_join("suggestions", ",").alias("suggestions"))
+
+
+def q6_qa_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with none to four questions, some of which begin alike; the texts hold no Han runs to match."""
+    ask = F.transform(F.sequence(F.lit(1), (F.col("chunk_index") % 4).cast("int")), lambda i: F.struct(F.concat(F.when(i > 1, "why ").otherwise(i.cast("string")), F.lit(" is it so")).alias("question"), F.lit("a").alias("answer")))
+    df = _chunks(spark, d).withColumn("asked", F.when(F.col("chunk_index") % 4 > 0, ask).otherwise(F.array().cast(quality.QA)))
+    return quality.scored(df, qa_col="asked", previous_col="previous").select("doc_id", "chunk_index", F.round("qa", 6).alias("qa"), F.array_contains("issues", "low_qa_coverage").alias("low"))
 
 
 def q7_needs_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +124,7 @@ def q7_needs_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    df = quality.statistics(quality.scored(_chunks(spark, d)))
+    df = quality.statistics(quality.scored(_chunks(spark, d), previous_col="previous"))
     return df.withColumn("mean", F.round("mean", 6))
 
 
@@ -147,10 +160,22 @@ def v1_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return vector.knn(vectors, queries, 10, "vec_id", same=("label", "label"))
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the vector of their number, where there is one, and their source as base."""
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("content"), F.array("source").alias("kb_ids"))
+    return docs.join(vectors, "id", "left")
+
+
+def _hybrid_asked(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _asked(spark, d).join(vectors, "query_id")
+
+
 def _two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    text = lexical.top_k(lexical.bm25(_contents(spark, d), _asked(spark, d), "id"), 30)
-    other = fusion.reranked(text, _contents(spark, d), _asked(spark, d), shared_terms)
-    return text, other.withColumn("score", F.round("score", 6))
+    """Of each query the 30 best hits of full text, and the 30 nearest vectors."""
+    rows, asked = _index(spark, d), _hybrid_asked(spark, d)
+    return lexical.top_k(lexical.bm25(rows, asked, "id"), 30), vector.knn(rows, asked, 30)
 
 
 def v3_hybrid_sum(spark: SparkSession, d: str) -> DataFrame:
@@ -162,8 +187,13 @@ def v6_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v13_weighted(spark: SparkSession, d: str) -> DataFrame:
-    text, other = _two_lists(spark, d)
-    return fusion.weighted((text, 0.3), (other, 0.7)).withColumn("score", F.round("score", 6))
+    text, near = _two_lists(spark, d)
+    return fusion.weighted((text, 0.3), (near, 0.7)).withColumn("score", F.round("score", 9))
+
+
+def v9_rerank(spark: SparkSession, d: str) -> DataFrame:
+    text = lexical.top_k(lexical.bm25(_contents(spark, d), _asked(spark, d), "id"), 30)
+    return fusion.reranked(text, _contents(spark, d), _asked(spark, d), shared_terms).withColumn("score", F.round("score", 6))
 
 
 def v11_retrieve(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +201,26 @@ def v11_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def v7_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieve(_index(spark, d), _hybrid_asked(spark, d), mode="hybrid", k=10, least=0.4)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def v7_vector(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieve(_index(spark, d), _hybrid_asked(spark, d), mode="vector", k=10, least=0.4)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def v12_bases(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieve_bases(_index(spark, d), _hybrid_asked(spark, d), ["src0", "src1", "src2"], k=5, least=0.2)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def v14_doc_ids(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieve(_index(spark, d), _hybrid_asked(spark, d), mode="fulltext", k=5, least=0.1, doc_ids=list(range(0, 60, 3)))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def v16_doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     df = _chunks(spark, d).where(lexical.matches(F.col("content"), "the of"))
     return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_index").alias("first_hit"))
@@ -207,10 +257,13 @@ def g4_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g6_upsert(spark: SparkSession, d: str) -> DataFrame:
-    docs = graph.relations(graph.records(_answers(spark, d))).groupBy("type", "src_id").agg(F.avg("weight").alias("weight"), F.max("description").alias("description"), F.sort_array(F.collect_set("dst_id")).alias("source_ids"))
-    docs = docs.select("type", F.col("src_id").alias("id"), "weight", "description", "source_ids")
-    out = graph.upsert_docs(docs.where("type = 'R'").drop("type"), docs.where("type = 'N'").drop("type"))
-    return out.select("id", F.round("weight", 6).alias("weight"), "description", F.array_join(F.sort_array("source_ids"), ",").alias("source_ids"))
+    """Two batches, one after the other, on an empty index; each id comes in both, and parts of even number are entities."""
+    found = graph.relations(graph.records(_answers(spark, d)))
+    kind = F.when(F.substring("src_id", -1, 1).cast("int") % 2 == 0, "entity").otherwise("relation")
+    docs = found.groupBy("type", "src_id").agg(F.avg("weight").alias("weight"), F.max("description").alias("description"), F.sort_array(F.collect_set("dst_id")).alias("source_ids"))
+    docs = docs.select(F.col("src_id").alias("id"), kind.alias("graph_type"), "weight", "description", "source_ids", F.when(F.col("type") == "R", 1).when(F.col("type") == "N", 2).otherwise(3).alias("updated_at"))
+    out = graph.upsert_docs(docs.where("updated_at = 1"), docs.where("updated_at > 1"))
+    return out.select("id", "graph_type", F.round("weight", 6).alias("weight"), "description", F.array_join("source_ids", ",").alias("source_ids"), "updated_at")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +325,7 @@ def f1_filter_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a1_count(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.where_given(_t(spark, d, "orders"), o_orderstatus="F").agg(F.count(F.lit(1)).alias("total"))
+    return catalog.counted(_t(spark, d, "orders"), o_orderstatus="F")
 
 
 def f3_visible(spark: SparkSession, d: str) -> DataFrame:
@@ -284,7 +337,23 @@ def f4_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f5_in_base(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").where(F.col("o_custkey") == 1).where(F.col("o_orderstatus") != "P").select("o_orderkey", "o_orderstatus")
+    return catalog.alive(_t(spark, d, "orders"), "P", "o_orderstatus", o_custkey=1).select("o_orderkey", "o_orderstatus")
+
+
+def f5_in_list(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.among(_t(spark, d, "orders"), "o_orderkey", list(range(1, 400, 7)), o_orderstatus="F").select("o_orderkey", "o_custkey")
+
+
+def f18_name_contains(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.name_contains(_t(spark, d, "customer"), "R#0000000", "c_name").select("c_custkey", "c_name")
+
+
+def f20_own(spark: SparkSession, d: str) -> DataFrame:
+    """An update by id and tenant: of ten tries only those with the right tenant change a row."""
+    rows = _t(spark, d, "customer").select("c_custkey", "c_nationkey", F.lit("old").alias("status"))
+    for key in range(1, 11):
+        rows = catalog.updated(rows, catalog.own(key, key, "c_custkey", "c_nationkey") | catalog.own(key * 10, 3, "c_custkey", "c_nationkey"), status="new")
+    return rows
 
 
 def f17_may_list(spark: SparkSession, d: str) -> DataFrame:
@@ -335,7 +404,7 @@ def sc30_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a15_counters(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).groupBy("source").agg(F.count_distinct("doc_id").alias("doc_num"), F.count(F.lit(1)).alias("chunk_num"), F.sum(T.token_estimate(F.col("content"))).alias("token_num"))
+    return catalog.counters(_chunks(spark, d), "source")
 
 
 def t4_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -378,11 +447,131 @@ def w2_compare_and_set(spark: SparkSession, d: str) -> DataFrame:
 
 def w4_cascade(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "orders").select(F.col("o_custkey").alias("kb_id"), "o_orderkey")
-    left = catalog.cascade_delete(1, _bases(spark, d).select("kb_id"), docs.select("kb_id"), docs.select("kb_id"))
+    chunks = _t(spark, d, "lineitem").join(docs, F.col("l_orderkey") == F.col("o_orderkey")).select("kb_id", "l_linenumber")
+    left = catalog.cascade_delete(1, _bases(spark, d).select("kb_id"), docs.select("kb_id"), chunks.select("kb_id"))
     named = [df.groupBy(F.lit(n).alias("name")).agg(F.count(F.lit(1)).alias("n")) for n, df in zip(("bases", "documents", "chunks"), left, strict=True)]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+def j5_by_factory(spark: SparkSession, d: str) -> DataFrame:
+    models = _t(spark, d, "customer").select(
+        F.col("c_mktsegment").alias("llm_factory"), F.col("c_name").alias("llm_name"), F.when(F.col("c_custkey") % 2 == 0, "chat").otherwise("embedding").alias("model_type"),
+        F.concat("c_name", "c_mktsegment").alias("api_key"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://host"), F.col("c_custkey").cast("string"), F.lit("/v1"))).alias("api_base"),
+    )
+    factories = _t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("llm_factory"), F.lower("c_mktsegment").alias("logo")).distinct()
+    out = catalog.models_by_factory(models, factories)
+    return out.select("llm_factory", "logo", "api_base", F.md5(F.array_join(F.transform("models", lambda m: F.concat_ws(":", m["llm_name"], m["model_type"], m["api_key"])), ",")).alias("models"))
+
+
+def j8_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Results that name hits by their place; places that no hit has are dropped."""
+    hits = v1_knn(spark, d)
+    results = hits.select("query_id", F.posexplode(F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3)])).alias("k", "score"), F.col("rank").alias("r")).where("r = 1")
+    return fusion.by_position(hits, results.select("query_id", (F.col("k") * 5).alias("index"), "score"))
+
+
+def a14_graph_size(spark: SparkSession, d: str) -> DataFrame:
+    return graph.size(_nodes(spark, d), _edges(spark, d))
+
+
+def g12_name_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in for a model that fails for some names."""
+    embed = lambda name: F.when(name.endswith("7"), None).otherwise(F.array(F.char_length(name).cast("double"), F.octet_length(name).cast("double")))
+    return graph.with_name_vectors(_nodes(spark, d), embed).select("name", F.coalesce(F.size("embedding"), F.lit(0)).alias("n"), F.coalesce(F.get("embedding", 0), F.lit(0.0)).alias("first"))
+
+
+# documents of bases
+
+
+def _library(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("kb_id"), F.concat(F.lit("file"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("doc_name"), F.lit("md").alias("doc_type"), F.lit(10).cast("long").alias("doc_size"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("p/"), F.col("o_orderkey").cast("string"))).alias("storage_path"), F.when(F.col("o_orderkey") % 5 > 0, "local").otherwise("web").alias("source_type"), F.lit(1).alias("status"),
+        F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "pending").otherwise("indexing").alias("run_status"), F.lit(1.0).alias("progress"), F.lit(0).alias("chunk_num"), F.lit(0).alias("token_num"),
+        F.lit(None).cast("string").alias("parser_config"), F.lit(7).alias("created_by"), F.col("o_orderdate").alias("created_time"), F.col("o_orderdate").alias("updated_time"),
+    )
+
+
+def _library_chunks(spark: SparkSession, d: str) -> DataFrame:
+    own = _library(spark, d).select(F.col("id").alias("doc_id"), "kb_id")
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("content"), F.lit(0.0).alias("create_timestamp_flt"))
+    return rows.join(own, "doc_id")
+
+
+def f16_listed(spark: SparkSession, d: str) -> DataFrame:
+    df = documents.listed(documents.within_base(_library(spark, d), 3, list(range(1, 2000, 2))))
+    return df.select("id", "kb_id", "doc_name", "storage_path", "parser_config", "run_status")
+
+
+def v16_chunk_page(spark: SparkSession, d: str) -> DataFrame:
+    return documents.chunk_page(_library_chunks(spark, d), 7, "R N", number=1, size=3).select("id", "chunk_index", "content")
+
+
+def v17_deleted_chunks(spark: SparkSession, d: str) -> DataFrame:
+    gone = _library(spark, d).where("id % 2 = 0").select(F.col("id").alias("doc_id"))
+    return documents.deleted_chunks(_library_chunks(spark, d), 3, gone).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def w5_cleared(spark: SparkSession, d: str) -> DataFrame:
+    rows, chunks, paths = documents.cleared(_library(spark, d), _library_chunks(spark, d), 3)
+    named = [df.groupBy(F.lit(n).alias("name")).agg(F.count(F.lit(1)).alias("n")) for n, df in (("documents", rows), ("chunks", chunks), ("paths", paths))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def w6_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as uploads, their lines as files."""
+    files = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("upload_id"), F.when(F.col("l_linenumber") == 5, " ").otherwise(F.concat(F.lit("a.b"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".PDF").otherwise("x"))).alias("name"), (F.col("l_quantity") * 600000).cast("long").alias("size")
+    )
+    taken, refused = documents.admitted(files, {"kb_id": 5, "tenant_id": 2}, "u", F.lit(0))
+    return taken.groupBy("doc_type", F.lit("").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_size").alias("bytes")).unionByName(refused.groupBy(F.lit("").alias("doc_type"), "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
+
+
+def w7_to_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows, out = documents.to_parse(_library(spark, d), 3, list(range(1, 2000, 2)), "u", 2)
+    return rows.select("id", "run_status", "progress").join(out.select(F.col("document_id").cast("long").alias("id"), F.lit(1).alias("sent")), "id", "left").fillna(0, "sent")
+
+
+def st5_to_index(spark: SparkSession, d: str) -> DataFrame:
+    out = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"))  # each document is named once a line
+    return documents.to_index(out, _library(spark, d)).select("id", "run_status")
+
+
+def st3_republished(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.when(F.col("id") % 11 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("id").cast("string").alias("document_id"))))
+    tasks = _tasks(spark, d).withColumns({"payload": payload, "task_type": F.when(F.col("id") % 3 == 0, "document_index").when(F.col("id") % 3 == 1, "graph_generate").otherwise("other")})
+    after, out = catalog.republished(tasks, F.timestamp_seconds(F.lit(1705276800)), messages.TOPICS)
+    return after.select("id", "status").join(out.select("id", "topic", F.get_json_object("value", "$.local_message_id").alias("message_id")), "id", "left")
+
+
+def sc23_register(spark: SparkSession, d: str) -> DataFrame:
+    mail = F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).otherwise("no mail")
+    word = F.substring("c_name", 1, (F.col("c_custkey") % 12).cast("int"))
+    rows = _t(spark, d, "customer").select("c_custkey", F.repeat(F.lit("n"), (F.col("c_custkey") % 60).cast("int")).alias("nick"), mail.alias("mail"), word.alias("word"), F.when(F.col("c_custkey") % 5 > 0, word).otherwise("other").alias("again"))
+    return rows.select("c_custkey", T.may_register(F.col("nick"), F.col("mail"), F.col("word"), F.col("again")).alias("broken"), T.is_strong(F.col("word")).alias("strong"))
+
+
+def sc25_times(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", T.millis(F.col("ts")).alias("millis"), T.shown_time(F.col("ts")).alias("shown"), T.rfc3339(F.col("ts")).alias("rfc"))
+
+
+def sc28_prompts(spark: SparkSession, d: str) -> DataFrame:
+    text = prompts.filled(prompts.QUESTIONS, base=F.col("source"), n=3, content=F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(text).alias("prompt"), F.size(T.tags(F.regexp_replace(F.coalesce("text", F.lit("")), " ", ","))).alias("n_tags"))
+
+
+def c9_agentic_split(spark: SparkSession, d: str) -> DataFrame:
+    """A finder that answers a cut behind every sentence of a length that 7 divides, and nothing readable for some windows."""
+    item = lambda s: F.concat(F.lit('{"is_boundary": '), F.when(F.char_length(s) % 7 == 0, "true").otherwise("false"), F.lit(', "header": ""}'))
+    find = lambda s: F.when(F.size(s) % 5 == 4, "sorry").otherwise(F.concat(F.lit("["), F.array_join(F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), item), ", "), F.lit("]")))
+    return split.agentic_split(_t(spark, d, "documents"), find, most=300)
+
+
+def c10_preview(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.regexp_replace("text", r"(?m)^([A-Za-z]{4}) ", "## $1 ")
+    return split.preview(_t(spark, d, "documents").select("doc_id", marked.alias("text")), "markdown").withColumn("content", F.md5("content"))
+
+
 # streams
 
 

@@ -34,7 +34,13 @@ def as_messages(rows: DataFrame, topic: str) -> DataFrame:
     """topic, value (JSON); only known topics."""
     if topic not in TOPICS:
         raise ValueError(f"no topic {topic!r}")
-    return rows.select(F.lit(topic).alias("topic"), F.to_json(F.struct("*")).alias("value"))
+    some = F.coalesce(*[F.col(c).cast("string") for c in rows.columns]).isNotNull()  # a message of nulls is none
+    return rows.where(some).select(F.lit(topic).alias("topic"), F.to_json(F.struct("*")).alias("value"))
+
+
+def publish(rows: DataFrame, topic: str, servers: str) -> None:
+    """Writes rows as messages of a topic, from the tasks that hold them."""
+    as_messages(rows, topic).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None, mode: str = "append") -> StreamingQuery:

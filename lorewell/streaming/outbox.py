@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "status string, retry_times int, next_retry long"
+#: seconds to the first new try, and how often they double at most (tasks give up long before)
+FIRST, MOST_DOUBLINGS = 30, 30
 OUT = "id long, status string, retry_times int, next_retry long"
 
 
@@ -19,7 +21,7 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         if status == "success":
             break
         if outcome == "fail":
-            due, tries, status = int(at) + (30 << tries), tries + 1, "fail"
+            due, tries, status = int(at) + (FIRST << min(tries, MOST_DOUBLINGS)), tries + 1, "fail"
         elif outcome in ("success", "retrying"):
             status = outcome
     state.update((status, tries, due))
