@@ -11,10 +11,13 @@ from pyspark.sql import SparkSession
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that the driver and all executors share.
 
-    Where that is unset, a local session (tests) gets a temporary folder of its own; a cluster gets an error.
+    Where that is unset, a local session (tests) gets a temporary folder of its own; a cluster gets an error. What is there goes when the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     root = root or f"file://{tempfile.mkdtemp(prefix='lorewell-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
