@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,12 +24,18 @@ class Scratch:
     """Names tables of one job below the shared folder and removes those that are no longer needed.
 
     A written table cuts the lineage: when executors are lost, later stages read it again
-    instead of computing it again.
+    instead of computing it again. What is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
+        at, files = self._there(self.root)
+        files.deleteOnExit(at)
+
+    def _there(self, path: str) -> tuple[JavaObject, JavaObject]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,5 +49,5 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Deletes tables whose rows nothing will read again."""
         for name in names:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            at, files = self._there(self.path(name))
+            files.delete(at, True)
