@@ -269,3 +269,28 @@ SQL["sc25_times"] = "SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(t
 SQL["sc28_prompts"] = """SELECT doc_id, md5('Base: ' || coalesce(source, '') || chr(10) || 'Write 3 questions that this text answers, and their answers, as a JSON list of {"question", "answer"}.' || chr(10) || 'Text:' || chr(10) || coalesce(text, '')) AS prompt,
   CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(replace(text, ' ', ','), ',')) END AS n_tags FROM documents"""
 SQL["c10_preview"] = f"SELECT doc_id, section_index AS chunk_index, content FROM ({SQL['c2_markdown']})"
+
+# sentences joined up to topic boundaries, one sentence a step
+_TOPICS = """
+WITH RECURSIVE d AS (SELECT doc_id, {atoms} AS s FROM documents),
+b AS (SELECT doc_id, s, {cuts} AS b FROM d WHERE len(s) > {least}),
+f AS (SELECT doc_id, s, b, 1::bigint AS k, s[1] AS held, '' AS header, NULL::varchar AS chunk FROM b
+  UNION ALL
+  SELECT doc_id, s, b, k + 1,
+    CASE WHEN k = len(s) THEN NULL WHEN NOT b[k].topic AND length(held) + length(s[k + 1]) + 1 <= 300 THEN held || ' ' || s[k + 1]
+      ELSE CASE WHEN {overlap} > 0 AND length(held) > {overlap} AND NOT b[k].topic THEN right(s[k], {overlap}) || ' ' ELSE '' END || s[k + 1] END,
+    CASE WHEN k < len(s) AND b[k].topic THEN b[k].name ELSE header END,
+    CASE WHEN k < len(s) AND NOT b[k].topic AND length(held) + length(s[k + 1]) + 1 <= 300 THEN NULL WHEN header = '' THEN held ELSE '【' || header || '】' || chr(10) || held END
+  FROM f WHERE k <= len(s)),
+c AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::int AS chunk_index, chunk AS content FROM f WHERE chunk IS NOT NULL)
+SELECT doc_id, chunk_index, doc_id || '_chunk_' || (chunk_index + 1) AS chunk_id, content FROM c
+"""
+_NEXT = "list_transform(range(1, len(s)), lambda g: {{'topic': length(s[g + 1]) % 7 = 0, 'name': left(s[g + 1], 8)}})".replace("{{", "{").replace("}}", "}")
+SQL["c8_topic_split"] = _TOPICS.format(atoms=ATOMS.format("text"), cuts=_NEXT, least=0, overlap=20)
+_FOUND = "list_transform(range(1, len(s)), lambda g: {'topic': CASE WHEN least(20, len(s) - (g - 1) // 19 * 19) % 5 = 4 THEN true ELSE length(s[g]) % 7 = 0 END, 'name': ''})"
+SQL["c9_agentic_split"] = _TOPICS.format(atoms=ATOMS.format("text"), cuts=_FOUND, least=1, overlap=0) + "UNION ALL SELECT d.doc_id, 0, d.doc_id::varchar, coalesce(text, '') FROM d JOIN documents USING (doc_id) WHERE len(s) <= 1"
+SQL["st2_task_states"] = """WITH o AS (SELECT user_id AS id, floor(epoch(ts))::bigint AS sec, CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'success' ELSE 'retrying' END AS outcome FROM events WHERE event_type IN ('error', 'signup', 'click')),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sec, outcome) AS k FROM o), e AS (SELECT id, min(k) FILTER (outcome = 'success') AS last FROM n GROUP BY id),
+u AS (SELECT n.* FROM n JOIN e USING (id) WHERE last IS NULL OR k <= last),
+g AS (SELECT id, arg_max(outcome, k) AS status, count_if(outcome = 'fail')::int AS retry_times, arg_max(sec, k) FILTER (outcome = 'fail') AS sec FROM u GROUP BY id)
+SELECT id, status, retry_times, coalesce(sec + (30 * 2 ** least(retry_times - 1, 30))::bigint, 0) AS next_retry FROM g"""
