@@ -48,11 +48,8 @@ def headers(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("headers", flat).drop("bare")
 
 
-def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, section_index, header_context, header_level, header_type, content; one row per section.
-
-    An empty or null text is one empty section.
-    """
+def _sectioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, sections: array of (header_context, header_level, header_type, content)."""
     df = headers(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     part = lambda name, level, kind, content: F.struct(name.alias("header_context"), level.alias("header_level"), kind.alias("header_type"), content.alias("content"))
     between = lambda a, b: F.array_join(F.slice("lines", a + 1, b - a), "\n")
@@ -65,7 +62,15 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lambda h, k: part(h["title"], h["level"], h["kind"], T.trim(between(h["line"], F.coalesce(F.get(F.col("headers"), k + 1)["line"], F.size("lines"))))),
     )
     every = F.when(F.size("headers") == 0, F.array(part(F.lit(NO_HEADER), zero, implicit, F.col("text")))).otherwise(F.concat(preamble, rest))
-    return df.select("doc_id", F.posexplode(every).alias("section_index", "s")).select("doc_id", "section_index", "s.*")
+    return df.select("doc_id", every.alias("sections"))
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, section_index, header_context, header_level, header_type, content; one row per section.
+
+    An empty or null text is one empty section.
+    """
+    return _sectioned(docs, id_col, text_col).select("doc_id", F.posexplode("sections").alias("section_index", "s")).select("doc_id", "section_index", "s.*")
 
 
 def pieces_of(text: str, separators: Sequence[str], size: int, overlap: int) -> list[str]:
@@ -118,8 +123,24 @@ def _numbered(df: DataFrame, name: str, size: int, overlap: int) -> DataFrame:
 
 
 def structure_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 0) -> DataFrame:
-    """Chunks of at most ``size`` characters, each with its section's header."""
-    return _numbered(sections(docs, id_col, text_col), "section_index", size, overlap)
+    """Chunks of at most ``size`` characters, each with its section's header.
+
+    Sections are cut and numbered inside their document's row, so no text is shuffled; documents whose
+    sections are all short never leave the JVM.
+    """
+
+    @F.pandas_udf("array<struct<section:int,content:string>>")
+    def cut(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda cs: [(i, p) for i, c in enumerate(cs) for p in ([c] if len(c) <= size else pieces_of(c, SEPARATORS, size, overlap))])
+
+    df = _sectioned(docs, id_col, text_col)
+    short = F.forall("sections", lambda s: F.char_length(s["content"]) <= size)
+    chunk = lambda i, s, content: F.struct(i.alias("section_index"), s["header_context"].alias("header_context"), s["header_level"].alias("header_level"), s["header_type"].alias("header_type"), content.alias("content"))
+    whole = df.where(short).select("doc_id", F.transform("sections", lambda s, i: chunk(i, s, s["content"])).alias("c"))
+    some = df.where(~short).withColumn("p", cut(F.transform("sections", lambda s: s["content"])))
+    some = some.select("doc_id", F.transform("p", lambda x: chunk(x["section"], F.get(F.col("sections"), x["section"]), x["content"])).alias("c"))
+    out = whole.unionByName(some).select("doc_id", F.posexplode("c").alias("chunk_index", "c"))
+    return out.select("doc_id", "c.*", "chunk_index")
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
