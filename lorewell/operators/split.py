@@ -125,20 +125,23 @@ def _numbered(df: DataFrame, name: str, size: int, overlap: int) -> DataFrame:
 def structure_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 0) -> DataFrame:
     """Chunks of at most ``size`` characters, each with its section's header.
 
-    Sections are cut and numbered inside their document's row, so no text is shuffled; documents whose
-    sections are all short never leave the JVM.
+    Sections are cut and numbered inside their document's row, so no text is shuffled; documents of at most ``size``
+    characters never leave the JVM.
     """
 
-    @F.pandas_udf("array<struct<section:int,content:string>>")
+    @F.pandas_udf("array<array<string>>")
     def cut(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda cs: [(i, p) for i, c in enumerate(cs) for p in ([c] if len(c) <= size else pieces_of(c, SEPARATORS, size, overlap))])
-
-    df = _sectioned(docs, id_col, text_col)
-    short = F.forall("sections", lambda s: F.char_length(s["content"]) <= size)
-    chunk = lambda i, s, content: F.struct(i.alias("section_index"), s["header_context"].alias("header_context"), s["header_level"].alias("header_level"), s["header_type"].alias("header_type"), content.alias("content"))
-    whole = df.where(short).select("doc_id", F.transform("sections", lambda s, i: chunk(i, s, s["content"])).alias("c"))
-    some = df.where(~short).withColumn("p", cut(F.transform("sections", lambda s: s["content"])))
-    some = some.select("doc_id", F.transform("p", lambda x: chunk(x["section"], F.get(F.col("sections"), x["section"]), x["content"])).alias("c"))
+        return contents.map(lambda cs: [[c] if len(c) <= size else pieces_of(c, SEPARATORS, size, overlap) for c in cs])
+
+    def chunk(s: Column, content: Column) -> Column:
+        return F.struct(*[s[c].alias(c) for c in ("section_index", "header_context", "header_level", "header_type")], content.alias("content"))
+
+    fits = F.coalesce(F.char_length(text_col), F.lit(0)) <= size
+    named = F.transform("sections", lambda s, i: F.struct(i.alias("section_index"), *[s[c].alias(c) for c in ("header_context", "header_level", "header_type", "content")]))
+    whole = _sectioned(docs.where(fits), id_col, text_col).select("doc_id", named.alias("c"))
+    # the sections stand outside of any lambda: inside, they would be found anew for every piece
+    pieces = F.zip_with(named, cut(F.transform("sections", lambda s: s["content"])), lambda s, ps: F.transform(ps, lambda p: chunk(s, p)))
+    some = _sectioned(docs.where(~fits), id_col, text_col).select("doc_id", F.flatten(pieces).alias("c"))
     out = whole.unionByName(some).select("doc_id", F.posexplode("c").alias("chunk_index", "c"))
     return out.select("doc_id", "c.*", "chunk_index")
 
