@@ -93,9 +93,11 @@ class Lookup(dict):
             self.clear()
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row of ``z`` at one place; ``z`` is used up."""
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    own = z[np.arange(len(z)), at]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 class Network:
@@ -150,10 +152,11 @@ class Network:
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, _, w, c, v, d = self.parts(self.vector)
         h = self.hidden(context)
-        out = _log_softmax(h @ w.T + c)[np.arange(len(h)), target // self.per]
-        if len(h):
-            for g, rows, member in self._by_group(target):
-                out[rows] += _log_softmax(h[rows] @ v[g].T + d[g])[np.arange(len(rows)), member]
+        if not len(h):
+            return np.zeros(0, h.dtype)
+        out = _log_share(h @ w.T + c, target // self.per)
+        for g, rows, member in self._by_group(target):
+            out[rows] += _log_share(h[rows] @ v[g].T + d[g], member)
         return out
 
     def steps(self, context: np.ndarray, target: np.ndarray) -> list[tuple]:
@@ -327,7 +330,9 @@ def train(texts: DataFrame, units: Units, rounds: int = 2, rate: float = 0.1, ba
                 yield pa.RecordBatch.from_arrays(columns, ["n", "i", *names])
 
         names = [f"x{j}" for j in range(net.width)]
-        dealt = keyed.where(F.pmod("key", F.lit(rounds)) == turn).repartition(parts, "key").sortWithinPartitions("key").select("units")
+        dealt = keyed.where(F.pmod("key", F.lit(rounds)) == turn).repartition(parts, "key")
+        # as many copies as ``per_task`` asks for, even where a cluster shuffles into more parts
+        dealt = dealt.coalesce(parts).sortWithinPartitions("key").select("units")
         copies = dealt.mapInArrow(run, f"n long, i long, {', '.join(f'{x} float' for x in names)}")
         mean = copies.groupBy("i").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias(x) for x in names])
         rows = _rows(net.vector, net.width)
