@@ -75,14 +75,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, per_file: int = 4000, file_bytes: int = 1 << 26) -> None:
-    """Writes a record a row below ``path``; a file holds about ``file_bytes`` of payload and at most ``per_file`` records.
+    """Writes a record a row below ``path``; a file holds at most ``per_file`` records, and about ``file_bytes`` of payload.
 
-    Payloads are shuffled once, by id and digest, into as many parts as their bytes ask for.
+    Rows are dealt to files by a hash, so as many records as have ``file_bytes`` on average make a file.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     scratch = Scratch(pages.sparkSession, "warc")
     keys = scratch.keep(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")), "keys")
-    parts = max(1, -(-(keys.agg(F.sum("n")).first()[0] or 0) // file_bytes))
+    size = keys.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")).first()
+    per_file = max(1, min(per_file, file_bytes * size["rows"] // max(1, size["bytes"] or 0)))
     # only payloads that occur twice need a look: a narrow table, combined before its shuffle
     large = keys.where((F.col("n") >= least) & F.col("page_id").isNotNull())
     twice = large.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to")
@@ -90,8 +91,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     large = large.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     again = large.join(twice.select("*", spread), ["digest", "n", "salt"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
-    rows = rows.withColumn("digest", F.sha1("payload")).repartition(parts, "page_id", "digest")
-    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    rows = rows.withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
