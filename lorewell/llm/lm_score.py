@@ -303,7 +303,7 @@ def _groups(column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, values[first[a] : first[b]], lengths[a:b]
 
 
-def train(texts: DataFrame, units: Units, rounds: int = 2, rate: float = 0.1, batch: int = 8192, per_task: int = 2_000_000) -> Network:
+def train(texts: DataFrame, units: Units, rounds: int = 2, rate: float = 0.1, batch: int = 8192, per_task: int = 4_000_000) -> Network:
     """Trains on every position of ``texts`` (doc_id, units) once, in ``rounds`` of training in every task and averaging.
 
     ``per_task``: tokens a task trains on in a round, about.
