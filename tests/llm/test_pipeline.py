@@ -52,3 +52,16 @@ def test_run_packs_what_is_left(spark, corpus):
     packed = {d for r in rows for d in r["doc_ids"]}
     assert packed and not any("grumblefax" in texts[d] for d in packed) and not packed & {161, 163} and len(packed & {1, *range(150, 160)}) <= 1
     assert all(len(np.frombuffer(bytes(r["input_ids"]), "<u2")) == 2048 for r in rows)
+
+
+def test_rows_of_one_id_and_without_words_are_kept(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, None, "en", "a", 0), (1, text, "en", "a", 1), (2, text, "en", "b", 1), (None, text, "en", "a", 1), (3, "", "en", "b", 0), (4, text + " nine", "en", "a", 1), (5, None, "en", "lonely", 0), (6, "z y", "en", "b", 1), (6, "z y", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, docs, "")
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    assert sorted(map(key, kept.collect())) == sorted([("1", "None"), ("1", text), ("3", ""), ("5", "None"), ("6", "z y")])
+    many = spark.createDataFrame([(i, text if i % 2 else None, "en", "a" if i < 40 else "b", 0) for i in range(60)], docs.schema)
+    mixed = stages["mixing"](spark, many, "").collect()
+    assert sorted(r["doc_id"] for r in mixed if r["text"] is None) == list(range(0, 60, 2))
