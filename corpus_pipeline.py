@@ -5,9 +5,10 @@ hold a benchmark item go; sources are mixed to their target weights by repeating
 is left becomes packed token ids. A stage reads the table its predecessor wrote, so lost
 executors cost the stage at hand only.
 
-Defined results: rows with a null text are clean, no duplicates and of size 0, so each stays until
-packing, where it has no tokens; rows with a null id stay unless toxic or contaminated; rows that repeat
-an id are one document; an empty table gives an empty table. Extra columns are carried along.
+Defined results: rows with a null or wordless text are clean, no duplicates and of size 0, so each stays until
+packing, where it has no tokens; rows with a null id are documents like others, and come last among copies; rows
+that share an id but not a text are told apart, rows that are equal in all are copies of each other;
+an empty table gives an empty table. Extra columns are carried along.
 """
 
 from __future__ import annotations
