@@ -91,15 +91,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.ranked import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    from lorewell.llm import decontam
+    from lorewell.llm import decontam, ranked
 
-    return {"op1_decontam": decontam.ORACLE_SQL, "op8_warc": WARC_SQL}
+    return {"op1_decontam": decontam.ORACLE_SQL, "op8_warc": WARC_SQL, "op12_ranked": ranked.ORACLE_SQL}
 
 
 WARC_SQL = """
