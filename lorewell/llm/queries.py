@@ -97,15 +97,21 @@ def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    from lorewell.llm import decontam, ranked
+    from lorewell.llm import decontam, ranked, trie
 
-    return {"op1_decontam": decontam.ORACLE_SQL, "op8_warc": WARC_SQL, "op12_ranked": ranked.ORACLE_SQL}
+    return {"op1_decontam": decontam.ORACLE_SQL, "op8_warc": WARC_SQL, "op12_ranked": ranked.ORACLE_SQL, "op13_trie": trie.ORACLE_SQL}
 
 
 WARC_SQL = """
