@@ -91,6 +91,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.ranked import ranked_search
 
