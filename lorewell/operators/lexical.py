@@ -16,7 +16,7 @@ BROADCAST_TERMS = 100_000
 def postings(chunks: DataFrame, id_col: str = "chunk_id", content_col: str = "content") -> DataFrame:
     """term, id, tf, length: the inverted index as a table. Terms are counted inside their row's task first."""
     df = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(content_col)).alias("t"))
-    df = df.select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    df = df.select("id", F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term is not null")  # outer: see ``split.exploded``
     return df.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "length")
 
 

@@ -48,9 +48,9 @@ def headers(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("headers", flat).drop("bare")
 
 
-def _sectioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, sections: array of (header_context, header_level, header_type, content)."""
-    df = headers(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+def _sectioned(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """doc_id, ``more``, sections: array of (header_context, header_level, header_type, content)."""
+    df = headers(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more))
     part = lambda name, level, kind, content: F.struct(name.alias("header_context"), level.alias("header_level"), kind.alias("header_type"), content.alias("content"))
     between = lambda a, b: F.array_join(F.slice("lines", a + 1, b - a), "\n")
     implicit, zero = F.lit("implicit"), F.lit(0)
@@ -62,7 +62,7 @@ def _sectioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lambda h, k: part(h["title"], h["level"], h["kind"], T.trim(between(h["line"], F.coalesce(F.get(F.col("headers"), k + 1)["line"], F.size("lines"))))),
     )
     every = F.when(F.size("headers") == 0, F.array(part(F.lit(NO_HEADER), zero, implicit, F.col("text")))).otherwise(F.concat(preamble, rest))
-    return df.select("doc_id", every.alias("sections"))
+    return df.select("doc_id", *more, every.alias("sections"))
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,7 +70,17 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     An empty or null text is one empty section.
     """
-    return _sectioned(docs, id_col, text_col).select("doc_id", F.posexplode("sections").alias("section_index", "s")).select("doc_id", "section_index", "s.*")
+    return exploded(_sectioned(docs, id_col, text_col), "sections", "section_index", "s").select("doc_id", "section_index", "s.*")
+
+
+def exploded(df: DataFrame, column: str, place: str, item: str) -> DataFrame:
+    """A row for each item of a computed array, beside the other columns.
+
+    Of a plain ``posexplode`` Spark infers that the array isn't empty, and pushes that filter below the projection that
+    computes the array, which is then computed twice. The outer form gives no such filter.
+    """
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.posexplode_outer(column).alias(place, item)).where(F.col(place).isNotNull())
 
 
 def pieces_of(text: str, separators: Sequence[str], size: int, overlap: int) -> list[str]:
@@ -125,25 +135,24 @@ def _numbered(df: DataFrame, name: str, size: int, overlap: int) -> DataFrame:
 def structure_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 0) -> DataFrame:
     """Chunks of at most ``size`` characters, each with its section's header.
 
-    Sections are cut and numbered inside their document's row, so no text is shuffled; documents of at most ``size``
-    characters never leave the JVM.
+    Sections are cut and numbered inside their document's row, in one scan, so no text is shuffled; of documents of at
+    most ``size`` characters nothing is handed to Python.
     """
 
     @F.pandas_udf("array<array<string>>")
     def cut(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda cs: [[c] if len(c) <= size else pieces_of(c, SEPARATORS, size, overlap) for c in cs])
+        return contents.map(lambda cs: None if cs is None else [[c] if len(c) <= size else pieces_of(c, SEPARATORS, size, overlap) for c in cs])
 
     def chunk(s: Column, content: Column) -> Column:
         return F.struct(*[s[c].alias(c) for c in ("section_index", "header_context", "header_level", "header_type")], content.alias("content"))
 
     fits = F.coalesce(F.char_length(text_col), F.lit(0)) <= size
     named = F.transform("sections", lambda s, i: F.struct(i.alias("section_index"), *[s[c].alias(c) for c in ("header_context", "header_level", "header_type", "content")]))
-    whole = _sectioned(docs.where(fits), id_col, text_col).select("doc_id", named.alias("c"))
-    # the sections stand outside of any lambda: inside, they would be found anew for every piece
-    pieces = F.zip_with(named, cut(F.transform("sections", lambda s: s["content"])), lambda s, ps: F.transform(ps, lambda p: chunk(s, p)))
-    some = _sectioned(docs.where(~fits), id_col, text_col).select("doc_id", F.flatten(pieces).alias("c"))
-    out = whole.unionByName(some).select("doc_id", F.posexplode("c").alias("chunk_index", "c"))
-    return out.select("doc_id", "c.*", "chunk_index")
+    df = _sectioned(docs.withColumn("_fits", fits), id_col, text_col, "_fits").select("doc_id", "_fits", named.alias("named"))
+    df = df.withColumn("pieces", cut(F.when(~F.col("_fits"), F.transform("named", lambda s: s["content"]))))
+    chunks = F.flatten(F.zip_with("named", "pieces", lambda s, ps: F.transform(ps, lambda p: chunk(s, p))))
+    df = df.select("doc_id", F.when(F.col("_fits"), F.col("named")).otherwise(chunks).alias("c"))
+    return exploded(df, "c", "chunk_index", "c").select("doc_id", "c.*", "chunk_index")
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

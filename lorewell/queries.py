@@ -70,7 +70,7 @@ def sc13_json(spark: SparkSession, d: str) -> DataFrame:
 
 def c3_headers(spark: SparkSession, d: str) -> DataFrame:
     df = split.headers(_t(spark, d, "documents").select("doc_id", "text"))
-    return df.select("doc_id", F.explode("headers").alias("h")).select("doc_id", "h.*")
+    return split.exploded(df.select("doc_id", "headers"), "headers", "k", "h").select("doc_id", "h.*")
 
 
 def c4_sections(spark: SparkSession, d: str) -> DataFrame:
