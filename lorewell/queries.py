@@ -11,6 +11,7 @@ from lorewell import schemas
 from lorewell.functions import prompts
 from lorewell.functions import text as T
 from lorewell.operators import catalog, documents, fusion, graph, lexical, quality, split, vector
+from lorewell.operators.vector_index import VectorIndex
 from lorewell.plans import ingest as ingestion
 from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
 from lorewell.sources import tables
@@ -160,6 +161,35 @@ def v1_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return vector.knn(vectors, queries, 10, "vec_id", same=("label", "label"))
 
 
+def _vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """An index of two batches; the second one adds half of the rows and replaces some of the first."""
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    turned = F.when(F.col("id") % 10 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    index = VectorIndex.build(vectors.where("id % 2 = 0").withColumn("embedding", turned), shared_path(spark, "vector-index"))
+    index.add(vectors.where("id % 2 = 1 or id % 10 = 0"))
+    return index
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def v1_ann(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours from the index; its recall against all vectors is in ``v1_ann_recall``."""
+    return _vector_index(spark, d).search(_asked_vectors(spark, d), 10)
+
+
+def v1_ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What a search of the index finds of the true neighbours, and whether it compared fewer vectors than there are."""
+    index, asked = _vector_index(spark, d), _asked_vectors(spark, d)
+    found, true = index.search(asked, 10), v1_knn(spark, d)
+    compared = index.candidates(asked, 100).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("compared"))
+    both = true.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    row = both.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+    vectors = _t(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("vectors"))
+    return row.crossJoin(vectors).crossJoin(compared).select("queries", "wanted", "recall_reached", "vectors", "compared")  # a row each
+
+
 def _index(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the vector of their number, where there is one, and their source as base."""
     vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
