@@ -14,6 +14,8 @@ RECORDS = 'Kinds of entities: {kinds}\nList entities as ("entity"<|>name<|>kind<
 MORE_RECORDS = "Some entities or relations of the text are missing from the list so far. Add them in the same format, or answer <|DONE|>.\nSo far:\n{so_far}"
 BOUNDARIES = 'Sentences:\n{sentences}\nReturn a JSON list of {n} objects {{"is_boundary", "header"}}, one for each two neighbours: whether the topic changes, and the title of the new one.'
 
+COMMUNITY = 'These entities and relations of a knowledge graph belong together.\nEntities (number, name, description):\n{entities}\nRelations (number, source, target, description):\n{relations}\nWrite a report on them, from this text alone, as JSON: {{"title", "summary", "rating" (0 to 10: how much they matter), "rating_explanation", "findings": [{{"summary", "explanation"}}]}}.'
+
 
 def filled(template: str, **values: Column | str | int) -> Column:
     """``template`` with ``{name}`` places filled; ``{{`` and ``}}`` stand for braces. Missing values raise, null ones are empty."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorewell import schemas
 from lorewell.functions import prompts
 from lorewell.functions import text as T
-from lorewell.operators import catalog, documents, fusion, graph, lexical, quality, split, vector
+from lorewell.operators import catalog, communities, documents, fusion, graph, lexical, quality, split, vector
 from lorewell.operators.vector_index import VectorIndex
 from lorewell.plans import ingest as ingestion
 from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
@@ -327,6 +327,24 @@ def g15_reachable(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(_edges(spark, d), "supp-1", 2)
 
 
+def g14_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of parts and suppliers at every level."""
+    return communities.communities(_edges(spark, d))
+
+
+def g14_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of nations, linked by the orders that customers of one place with suppliers of another, with their reports' inputs."""
+    nation = lambda t, key, name: _t(spark, d, t).select(key, F.col(name).alias("nation"))
+    lines = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(nation("customer", "c_custkey", "c_nationkey").withColumnRenamed("nation", "a"), F.col("o_custkey") == F.col("c_custkey")).join(nation("supplier", "s_suppkey", "s_nationkey").withColumnRenamed("nation", "b"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = lines.groupBy(F.col("a").alias("src_id"), F.col("b").alias("dst_id")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("weight")).withColumn("description", F.concat_ws(" to ", "src_id", "dst_id"))
+    found = communities.communities(edges)
+    told = communities.report_inputs(communities.outline(found, edges), found, _t(spark, d, "nation").select(F.col("n_nationkey").alias("name"), F.col("n_name").alias("description")), edges)
+    answer = lambda prompt: F.concat(F.lit('Here: {"title": "'), F.md5(prompt), F.lit('", "rating": 5, "findings": []}'))
+    out = communities.reports(told, answer)
+    return out.select("level", "community", "parent", "n_members", F.round("inside", 3).alias("inside"), F.round("across", 3).alias("across"), F.array_join("members", ",").alias("members"), F.md5("entities").alias("entities"), F.md5("relations").alias("relations"), F.col("report.title").alias("title"))
+
+
 def snk3_keep_last(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "events").select("user_id", "event_type", "event_id", "value")
     return graph.keep_last(df, ["user_id", "event_type"], "event_id")
