@@ -298,3 +298,25 @@ SELECT id, status, retry_times, coalesce(sec + (30 * 2 ** least(retry_times - 1,
 SQL["v1_ann_recall"] = """
 SELECT count_if(vec_id % 100 = 0) AS queries, 10 * count_if(vec_id % 100 = 0) AS wanted, true AS recall_reached, count(*) AS vectors, 100::BIGINT AS compared FROM embeddings
 """
+
+NAMES = r"""
+m0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, concat_ws(' ', lower(p_type), p_name) AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+m1 AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN upper(name) WHEN 1 THEN replace(name, ' ', '-') ELSE name END AS spelt FROM m0),
+mentions AS (SELECT *, CASE WHEN l_orderkey % 4 = 0 THEN substr(spelt, 2) ELSE spelt END AS src_id FROM m1),
+said AS (SELECT src_id AS name, count(*) AS n, trim(lower(regexp_replace(src_id, '[^\p{L}\p{N}]+', ' ', 'g'))) AS form FROM mentions GROUP BY src_id),
+forms AS (SELECT form, list_distinct(list_transform(range(1, length(form) + 1), lambda i: substr(' ' || form || ' ', i, 3))) AS g FROM (SELECT DISTINCT form FROM said)),
+gram AS (SELECT form, len(g) AS size, unnest(g) AS gram FROM forms),
+shared AS (SELECT a.form AS a, b.form AS b, a.size AS sa, b.size AS sb, count(*) AS n FROM gram a JOIN gram b ON a.gram = b.gram AND a.form <> b.form GROUP BY ALL),
+pairs AS (SELECT a, b FROM shared WHERE 100 * n >= 80 * (sa + sb - n)),
+reach AS (SELECT form AS node, form AS label FROM forms UNION SELECT p.a, r.label FROM reach r JOIN pairs p ON p.b = r.node),
+label AS (SELECT node, min(label) AS label FROM reach GROUP BY node),
+best AS (SELECT label, arg_min(name, {'n': -n, 'name': name}) AS canonical FROM said JOIN label ON form = node GROUP BY label),
+names AS (SELECT name, canonical FROM said JOIN label ON form = node JOIN best USING (label))
+"""
+SQL["g14_names"] = f"WITH RECURSIVE {NAMES} SELECT * FROM names"
+SQL["g14_resolved"] = f"""WITH RECURSIVE {NAMES},
+r AS (SELECT canonical AS src_id, 'supp-' || l_suppkey AS dst_id, l_returnflag, l_orderkey, l_linenumber FROM mentions JOIN names ON src_id = names.name),
+s AS (SELECT src_id, dst_id, l_orderkey FROM r GROUP BY ALL)
+SELECT r.src_id, r.dst_id, arg_min(l_returnflag, {{'a': l_orderkey, 'b': l_linenumber}}) AS type, count(DISTINCT l_orderkey)::INT AS n_sources,
+  (SELECT md5(string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey)) FROM s WHERE s.src_id = r.src_id AND s.dst_id = r.dst_id) AS sources
+FROM r GROUP BY r.src_id, r.dst_id"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
-from lorewell.operators import graph, quality, split
+from lorewell.operators import graph, quality, resolution, split
 
 
 def _records(rows: DataFrame, key: Column, content: Column, kb_id: Column, now: Column, more: list[str]) -> DataFrame:
@@ -50,7 +50,12 @@ def ingest(docs: DataFrame, path_col: str, kb_id: Column, now: Column, size: int
     return records.withColumn("content_vector", embed(F.col("content"))) if embed else records
 
 
-def build_graph(chunks: DataFrame, extract: Callable[[Column, Column], Column], rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) merged over all chunks (chunk_id, chunk_index, content)."""
+def build_graph(chunks: DataFrame, extract: Callable[[Column, Column], Column], rounds: int = 3, resolve: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) merged over all chunks (chunk_id, chunk_index, content), on request with alike names made one."""
     parsed = graph.records(graph.gleaned(chunks, extract, rounds=rounds))
-    return graph.merged_entities(graph.entities(parsed)), graph.merged_relations(graph.relations(parsed))
+    found, linked = graph.entities(parsed), graph.relations(parsed)
+    if not resolve:
+        return graph.merged_entities(found), graph.merged_relations(linked)
+    names = found.select("name").unionByName(linked.select(F.explode(F.array("src_id", "dst_id")).alias("name")))
+    names = resolution.resolved(names)
+    return resolution.resolved_entities(found, names), resolution.resolved_relations(linked, names)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorewell import schemas
 from lorewell.functions import prompts
 from lorewell.functions import text as T
-from lorewell.operators import catalog, communities, documents, fusion, graph, lexical, quality, split, vector
+from lorewell.operators import catalog, communities, documents, fusion, graph, lexical, quality, resolution, split, vector
 from lorewell.operators.vector_index import VectorIndex
 from lorewell.plans import ingest as ingestion
 from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
@@ -345,6 +345,29 @@ def g14_outline(spark: SparkSession, d: str) -> DataFrame:
     return out.select("level", "community", "parent", "n_members", F.round("inside", 3).alias("inside"), F.round("across", 3).alias("across"), F.array_join("members", ",").alias("members"), F.md5("entities").alias("entities"), F.md5("relations").alias("relations"), F.col("report.title").alias("title"))
 
 
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of parts by names that are spelt in several ways, as suppliers of their order lines mention them."""
+    full = F.concat_ws(" ", F.lower("p_type"), "p_name")
+    spelt = F.when(F.col("l_linenumber") % 3 == 0, F.upper(full)).when(F.col("l_linenumber") % 3 == 1, F.replace(full, F.lit(" "), F.lit("-"))).otherwise(full)
+    cut = F.when(F.col("l_orderkey") % 4 == 0, F.substring(spelt, F.lit(2), F.char_length(spelt))).otherwise(spelt)
+    rows = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(
+        F.col("l_orderkey").alias("chunk_index"), F.col("l_linenumber").alias("record_index"), F.col("l_orderkey").cast("string").alias("source_id"), cut.alias("src_id"), F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("dst_id"),
+        F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("description"), F.col("l_quantity").cast("double").alias("weight"),
+    )
+
+
+def g14_names(spark: SparkSession, d: str) -> DataFrame:
+    return resolution.resolved(_mentions(spark, d), "src_id")
+
+
+def g14_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of parts, whatever their spelling, with suppliers."""
+    found = _mentions(spark, d)
+    out = resolution.resolved_relations(found, resolution.resolved(found, "src_id"))
+    return out.select("src_id", "dst_id", "type", F.size("source_id").alias("n_sources"), F.md5(F.array_join("source_id", ",")).alias("sources"))
+
+
 def snk3_keep_last(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "events").select("user_id", "event_type", "event_id", "value")
     return graph.keep_last(df, ["user_id", "event_type"], "event_id")
