@@ -125,6 +125,7 @@ b AS (SELECT query_id, id, coalesce(len(list_intersect(asked, t)) / nullif(len(a
 b6 AS (SELECT query_id, id, round(score, 6) AS score FROM b)
 """
 SQL["v2_bm25"] = f"WITH {BM25} SELECT * FROM top WHERE rank <= 10"
+SQL["v2_bm25_index"] = SQL["v2_bm25_merged"] = SQL["v2_bm25"]
 SQL["v11_retrieve"] = f"WITH {BM25}, r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE score >= 0.6) SELECT * FROM r WHERE rank <= 10"
 SQL["v9_rerank"] = f"WITH {BM25} SELECT * FROM b6"
 HYBRID = f"""{BM25},

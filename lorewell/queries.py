@@ -11,6 +11,7 @@ from lorewell import schemas
 from lorewell.functions import prompts
 from lorewell.functions import text as T
 from lorewell.operators import catalog, communities, documents, fusion, graph, lexical, quality, resolution, split, vector
+from lorewell.operators.text_index import TextIndex
 from lorewell.operators.vector_index import VectorIndex
 from lorewell.plans import ingest as ingestion
 from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
@@ -144,6 +145,33 @@ def v2_bm25(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_k(lexical.bm25(_contents(spark, d), _asked(spark, d), "id"), 10)
 
 
+def _text_index(spark: SparkSession, d: str, block: int = 64) -> TextIndex:
+    """An index of five batches: the first four are merged, and the last one puts every seventh document, at first with another text, right."""
+    rows, index = _contents(spark, d), TextIndex.create(spark, shared_path(spark, "text-index"), block)
+    wrong = F.when(F.col("id") % 7 == 0, F.reverse("content")).otherwise(F.col("content"))
+    for part in range(4):
+        index.add(rows.withColumn("content", wrong).where(F.col("id") % 4 == part))
+    index.add(rows.where("id % 7 = 0"))
+    return index
+
+
+def v2_bm25_index(spark: SparkSession, d: str) -> DataFrame:
+    """From an index of four segments, before they are merged."""
+    rows, index = _contents(spark, d), TextIndex.create(spark, shared_path(spark, "text-index"), 64, fan=9)
+    for part in range(4):
+        index.add(rows.where(F.col("id") % 4 == part))
+    return index.search(_asked(spark, d), 10)
+
+
+def v2_bm25_merged(spark: SparkSession, d: str) -> DataFrame:
+    """From an index whose segments were merged after documents had been replaced."""
+    index = _text_index(spark, d)
+    for _ in range(3):  # three more segments of level 0, and all are merged
+        index.add(_contents(spark, d).where("id % 7 = 0"))
+    index.compact()
+    return index.search(_asked(spark, d), 10)
+
+
 def v5_postings(spark: SparkSession, d: str) -> DataFrame:
     df = lexical.postings(_contents(spark, d), "id")
     return df.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("length").alias("longest"))
