@@ -8,11 +8,15 @@ a separator; every member ends with a zero byte (the high byte of the uncompress
 Reading: every archive is one row of bytes, which the size of files bounds; it is decompressed piece by piece,
 records are framed by their Content-Length, and digests are verified.
 
+Sizes: a task counts the bytes that it has put into a file and begins the next one when the following record
+would pass the bound, so a file is larger than that only if it holds a single record.
+
 Deduplication: of records with equal payloads of ``least`` bytes or more, the one of the largest id
-is the response, others are revisits that refer to it.
+is the response, others are revisits that refer to it. Equal are payloads of equal length, SHA-1 and SHA-256.
 
 Defined results: a null payload is an empty one; records with a null id are responses; rows that repeat
-the largest id of a payload are responses each; an empty table gives no archive and no record.
+the largest id of a payload are responses each; ids may be of any type that can be read from its text, and are compared as that
+type; an empty table gives no archive and no record.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +37,9 @@ from lorewell.llm.scratch import Scratch
 
 CHUNK = 1 << 16
 HELD = 8_000_000
-SALTS = 8
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, verified boolean"
+#: equal payloads that one task looks at
+EQUAL = 50_000
+RECORD = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, verified boolean"
 
 
 def member(data: bytes, level: int = 3) -> bytes:
@@ -49,11 +56,11 @@ def member(data: bytes, level: int = 3) -> bytes:
     return out
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def _urn(page_id: object) -> str:
+    return "<urn:x-none>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A response record, or a revisit without its payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (payload if refers_to is None else b"")
@@ -75,39 +82,52 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, per_file: int = 4000, file_bytes: int = 1 << 26) -> None:
-    """Writes a record a row below ``path``; a file holds at most ``per_file`` records, and about ``file_bytes`` of payload.
+    """Writes a record a row below ``path``; a file holds at most ``per_file`` records and ``file_bytes`` bytes, or one record.
 
-    Rows are dealt to files by a hash, so as many records as have ``file_bytes`` on average make a file.
+    Files are numbered by task and stand in a folder each, ``file=task-number``.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
+    payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     scratch = Scratch(pages.sparkSession, "warc")
-    keys = scratch.keep(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")), "keys")
-    size = keys.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")).first()
-    per_file = max(1, min(per_file, file_bytes * size["rows"] // max(1, size["bytes"] or 0)))
+    keys = scratch.keep(rows.select("page_id", F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").alias("n")), "keys")
     # only payloads that occur twice need a look: a narrow table, combined before its shuffle
+    same = ["digest", "sha256", "n"]
     large = keys.where((F.col("n") >= least) & F.col("page_id").isNotNull())
-    twice = large.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to")
-    # a payload that a third of all pages have is dealt to several tasks
-    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    large = large.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    again = large.join(twice.select("*", spread), ["digest", "n", "salt"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
-    rows = rows.withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    twice = large.groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"), F.count(F.lit(1)).alias("rows")).where("low < refers_to")
+    twice = scratch.keep(twice.withColumn("salts", F.ceil(F.col("rows") / EQUAL).cast("int")), "twice")
+    # a payload that a third of all pages have is dealt to as many tasks as it asks for; such payloads are few
+    hot = twice.where("salts > 1").select(*same, "salts")
+    large = large.join(hot, same, "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    spread = twice.select(*same, "refers_to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    again = large.join(spread, [*same, "salt"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    rows = rows.withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left")
+    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, records, size = TaskContext.get().partitionId(), 0, 0, 0
+
+        def table(made: list[bytes], files: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(files, pa.string())], ["value", "file"])
+
         for batch in batches:
-            made, size = [], 0
+            made, files, held = [], [], 0
             for at in range(batch.num_rows):  # one page at a time: it may be very long
-                made.append(member(record(*(c[0].as_py() for c in batch.slice(at, 1).columns)))[:-1])
-                size += len(made[-1])
-                if size >= HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
-                    made, size = [], 0
+                data = member(record(*(c[0].as_py() for c in batch.slice(at, 1).columns)))
+                if records and (records == per_file or size + len(data) > file_bytes):
+                    number, records, size = number + 1, 0, 0
+                records, size = records + 1, size + len(data)
+                made.append(data[:-1])
+                files.append(f"{task:06}-{number:06}")
+                held += len(data)
+                if held >= HELD:
+                    yield table(made, files)
+                    made, files, held = [], [], 0
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+                yield table(made, files)
 
-    members = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
-    members.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
-    scratch.drop("keys")
+    members = rows.mapInArrow(run, "value binary, file string").select(F.col("value").cast("string").alias("value"), "file")  # the bytes as they are
+    members.write.partitionBy("file").option("lineSep", "\0").option("compression", "none").text(path)
+    scratch.drop("keys", "twice")
 
 
 def members_of(archive: bytes) -> Iterator[bytes]:
@@ -138,17 +158,17 @@ def parse_record(data: bytes) -> dict[str, Any]:
     return head | {"block": block}
 
 
-def _page(urn: str | None) -> int | None:
-    tail = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return int(tail) if tail else None
+def _page(urn: str | None) -> str | None:
+    start = "<urn:x-page:"
+    return unquote(urn[len(start) : -1]) if urn and urn.startswith(start) else None
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Every record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, verified."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, id_type: str = "long") -> DataFrame:
+    """Every record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, verified; ids as ``id_type``, null where they can't be read so."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("verified", pa.bool_())])
+        schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("verified", pa.bool_())])
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
@@ -171,4 +191,4 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(run, RECORD).withColumns({c: F.col(c).try_cast(id_type) for c in ("page_id", "refers_to")})
