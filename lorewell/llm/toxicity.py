@@ -30,16 +30,52 @@ FEWEST = 32
 BUCKETS = 1 << 16
 
 
-def subwords(token: str) -> list[int]:
-    """Buckets of a word and its n-grams of 3 to 5 characters; none without letters or digits."""
+#: longest word, with its marks, whose n-grams are held as strings; those of longer ones are held as four bytes each
+HELD_WORD = 256
+
+
+def subwords(token: str) -> list[int] | np.ndarray:
+    """Buckets of a word and its distinct n-grams of 3 to 5 characters; none without letters or digits."""
     word = "".join(filter(str.isalnum, token.lower()))
     if not word:
         return []
     marked = f"<{word}>"
+    if len(marked) > HELD_WORD:
+        whole = np.array([zlib.crc32(marked.encode("utf-8", "replace"))], np.uint32)
+        return np.unique(np.concatenate([whole, *(gram_checksums(marked, n) for n in (3, 4, 5))])) % np.uint32(BUCKETS)
     grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
     return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in sorted(grams)]
 
 
+def _checksum_steps() -> np.ndarray:
+    """What a byte adds to a CRC-32, by the rule of its polynomial."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, np.uint32(0xEDB88320) ^ (c >> np.uint32(1)), c >> np.uint32(1))
+    return c
+
+
+STEPS = _checksum_steps()
+
+
+def gram_checksums(word: str, n: int, at_once: int = 1 << 20) -> np.ndarray:
+    """CRC-32 of every distinct n-gram's UTF-8 bytes, without a string for any of them."""
+    points = np.frombuffer(word.encode("utf-32-le", "replace"), np.uint32)
+    found = []
+    for at in range(0, len(points) - n + 1, at_once):
+        c = np.full(min(at_once, len(points) - n + 1 - at), 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            p = points[at + k : at + k + len(c)]
+            size = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
+            first = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size] | (p >> (6 * (size - 1)).astype(np.uint32))
+            for j in range(4):  # a character has one to four bytes
+                rest = np.uint32(0x80) | ((p >> (6 * np.maximum(size - 1 - j, 0)).astype(np.uint32)) & np.uint32(0x3F))
+                byte = first if j == 0 else rest
+                c = np.where(size > j, STEPS[(c ^ byte) & np.uint32(0xFF)] ^ (c >> np.uint32(8)), c)
+        found.append(np.unique(c ^ np.uint32(0xFFFFFFFF)))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
+
+
 class WordScores(dict):
     """Scores of words seen before; emptied when full."""
 
@@ -51,6 +87,8 @@ class WordScores(dict):
         if len(self) >= self.limit:
             self.clear()
         found = subwords(token)
+        if isinstance(found, np.ndarray):  # a word that long is not held
+            return float(np.array(self.weights)[found].mean())
         score = self[token] = sum([self.weights[b] for b in found]) / len(found) if found else 0.0
         return score
 
@@ -190,7 +228,8 @@ def calibrated(margins: np.ndarray, labels: np.ndarray, prior: float, rounds: in
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> ToxicityModel:
     """Trains on at most ``per_class`` labelled rows of each class, those of the least hash of their id.
 
-    The rows meet in one task: at most 2 * ``per_class`` texts, however large the tables are. ``labels``
+    The rows meet in one task: at most 2 * ``per_class`` whole texts, however large the tables are, so it
+    needs the memory of that many texts and about 14 bytes for each different character n-gram of theirs. ``labels``
     holds the rows that may be learned from; the class shares are counted over all of it.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
