@@ -321,3 +321,5 @@ s AS (SELECT src_id, dst_id, l_orderkey FROM r GROUP BY ALL)
 SELECT r.src_id, r.dst_id, arg_min(l_returnflag, {{'a': l_orderkey, 'b': l_linenumber}}) AS type, count(DISTINCT l_orderkey)::INT AS n_sources,
   (SELECT md5(string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey)) FROM s WHERE s.src_id = r.src_id AND s.dst_id = r.dst_id) AS sources
 FROM r GROUP BY r.src_id, r.dst_id"""
+
+SQL["snk2_graph_docs"] = SQL["g6_upsert"] + " UNION ALL SELECT 'supp-' || s_suppkey, 'entity', round(s_acctbal, 6), s_name, '', 0 FROM supplier"

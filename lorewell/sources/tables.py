@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from lorewell.operators.graph import keep_last, upsert_docs
+from lorewell.sources.keyed import KeyedTable
 from lorewell.sources.scratch import shared_path
 
 
@@ -63,9 +64,9 @@ def merge_chunks(old: DataFrame, new: DataFrame, key: str | Sequence[str] = "id"
     return old.join(gone, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def put_graph_docs(spark: SparkSession, new: DataFrame, path: str, target: str) -> None:
-    """Merges documents into those at ``path``; the outcome is a table of its own at ``target``."""
-    upsert_docs(spark.read.parquet(path), new).write.parquet(target)
+def put_graph_docs(table: KeyedTable, new: DataFrame) -> None:
+    """Merges documents into a keyed table of them; only documents of the batch's ids are read into the merge."""
+    table.merge(new, upsert_docs)
 
 
 def single_precision(vectors: DataFrame, column: str) -> DataFrame:
