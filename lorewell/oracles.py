@@ -323,3 +323,20 @@ SELECT r.src_id, r.dst_id, arg_min(l_returnflag, {{'a': l_orderkey, 'b': l_linen
 FROM r GROUP BY r.src_id, r.dst_id"""
 
 SQL["snk2_graph_docs"] = SQL["g6_upsert"] + " UNION ALL SELECT 'supp-' || s_suppkey, 'entity', round(s_acctbal, 6), s_name, '', 0 FROM supplier"
+
+SQL["st2_task_timers"] = """WITH o AS (SELECT user_id * 1000 + dayofyear(ts) AS id, floor(epoch(ts))::bigint AS sec,
+  CASE WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'signup' AND user_id % 3 = 0 THEN 'success' WHEN event_type = 'click' AND user_id % 3 = 1 THEN 'retrying' END AS outcome FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sec, outcome) AS k FROM o WHERE outcome IS NOT NULL), e AS (SELECT id, min(k) FILTER (outcome = 'success') AS last FROM n GROUP BY id),
+u AS (SELECT n.* FROM n JOIN e USING (id) WHERE last IS NULL OR k <= last),
+g AS (SELECT id, arg_max(outcome, k) AS status, count_if(outcome = 'fail')::int AS retry_times, max(sec) FILTER (outcome = 'fail') AS sec FROM u GROUP BY id),
+t AS (SELECT *, status = 'fail' AND retry_times < 3 AS due FROM g)
+SELECT id, CASE WHEN due THEN 'retrying' ELSE status END AS status, retry_times, coalesce(sec + (30 * 2 ** least(retry_times - 1, 30))::bigint, 0) AS next_retry, due FROM t"""
+SQL["st3_scan"] = f"""WITH t AS (SELECT event_id AS id, {_TASKS} AS status, event_id % 5 AS retry_times, ts FROM events),
+d AS (SELECT id, ts, id % 3 < 2 AND id % 11 > 0 AS known FROM t WHERE (status = 'fail' AND ts <= TIMESTAMP '2024-01-15' AND retry_times < 3) OR (status = 'init' AND ts < TIMESTAMP '2024-01-14 23:55:00')),
+s0 AS (SELECT * FROM (SELECT * FROM d ORDER BY ts, id LIMIT 100) WHERE known),
+s1 AS (SELECT * FROM (SELECT * FROM d WHERE id NOT IN (SELECT id FROM s0) ORDER BY ts, id LIMIT 100) WHERE known),
+s2 AS (SELECT * FROM (SELECT * FROM d WHERE id NOT IN (SELECT id FROM s0 UNION ALL SELECT id FROM s1) ORDER BY ts, id LIMIT 100) WHERE known)
+SELECT id, CASE WHEN id % 3 = 0 THEN 'document_index' ELSE 'graph_generate' END AS topic, 1::BIGINT AS times, 'retrying' AS status FROM (SELECT id FROM s0 UNION ALL SELECT id FROM s1 UNION ALL SELECT id FROM s2)"""
+SQL["st6_batches"] = """WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), b AS (SELECT event_type, n, unnest(range(0, (n + 399) // 400)) AS batch FROM n)
+SELECT event_type, batch::INT AS batch, n >= 400 * (batch + 1) AS full, least(400, n - 400 * batch)::INT AS n, least(400, n - 400 * batch) AS different FROM b"""
+SQL["st5_pending_once"] = f"WITH {LIB} SELECT DISTINCT user_id::VARCHAR AS document_id, 1::BIGINT AS times FROM events WHERE user_id IN (SELECT id FROM lib WHERE run_status = 'pending')"

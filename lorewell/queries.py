@@ -18,7 +18,7 @@ from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
 from lorewell.sources import tables
 from lorewell.sources.keyed import KeyedTable
 from lorewell.sources.scratch import shared_path
-from lorewell.streaming import messages, outbox
+from lorewell.streaming import messages, outbox, retries, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -711,6 +711,56 @@ def st2_task_states(spark: SparkSession, d: str) -> DataFrame:
     return graph.keep_last(spark.read.parquet(out).drop("part"), ["id"], "batch").drop("batch")
 
 
+def st2_task_timers(spark: SparkSession, d: str) -> DataFrame:
+    """State of each user's task after all outcomes, by keyed state with timers; those with tries left have become due by themselves."""
+    events = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    kind = F.col("event_type")
+    outcome = F.when(kind == "error", "fail").when((kind == "signup") & (F.col("user_id") % 3 == 0), "success").when((kind == "click") & (F.col("user_id") % 3 == 1), "retrying")
+    key = F.col("user_id") * 1000 + F.dayofyear("ts")  # a task a day, so that some have few failures
+    outcomes = events.select(key.alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), outcome.alias("outcome")).where("outcome is not null")
+    out, marks = shared_path(spark, "timers"), shared_path(spark, "timers-log")
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/part={n}")
+    messages.run_until_idle(stateful.timed_tasks(outcomes), write, marks, mode="update")
+    found = graph.keep_last(spark.read.parquet(out).drop("part").select("id", F.struct("batch", "due").alias("at"), "status", "retry_times", "next_retry"), ["id"], "at")
+    return found.select("id", "status", "retry_times", "next_retry", F.col("at.due").alias("due"))
+
+
+def st3_scan(spark: SparkSession, d: str) -> DataFrame:
+    """What three scans of the tasks send, the second of which is handled twice."""
+    payload = F.when(F.col("id") % 11 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("id").cast("string").alias("document_id"))))
+    tasks = _tasks(spark, d).withColumns({"payload": payload, "task_type": F.when(F.col("id") % 3 == 0, "document_index").when(F.col("id") % 3 == 1, "graph_generate").otherwise("other")})
+    table = KeyedTable.create(spark, shared_path(spark, "tasks"), tasks.schema, buckets=8)
+    table.put(tasks)
+    out = shared_path(spark, "sent")
+    scan = retries.RetryScan(table, shared_path(spark, "scan"), lambda df: df.write.mode("append").parquet(out), now=lambda: F.timestamp_seconds(F.lit(1705276800)))
+    for batch in (0, 1, 1, 2):
+        scan.handle(None, batch)
+    sent = spark.read.parquet(out).groupBy("id", "topic").agg(F.count(F.lit(1)).alias("times"))
+    return sent.join(table.read().select("id", "status"), "id")
+
+
+def st6_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each kind in batches of 400 by count, the rest by time."""
+    events = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    out, marks = shared_path(spark, "batches"), shared_path(spark, "batches-log")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/part={n}")
+    messages.run_until_idle(stateful.count_or_time(events, "event_type", "event_id", 400, 1), write, marks, idle=4)
+    found = spark.read.parquet(out)
+    ids = found.select("key", "batch", "full", F.size("items").alias("n"), F.explode("items").alias("item"))
+    return ids.groupBy("key", "batch", "full", "n").agg(F.countDistinct("item").alias("different")).select(F.col("key").alias("event_type"), "batch", "full", "n", "different")
+
+
+def st5_pending_once(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of a stream that names documents many times: each that is pending is taken once."""
+    events = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    named = events.select(F.to_json(F.struct(F.col("user_id").cast("string").alias("document_id"), "ts")).alias("value"))
+    found = messages.parsed(named, "document_id string, ts timestamp", "document_id")
+    taken = messages.for_pending(messages.once(found, "document_id", "ts", "400 days"), _library(spark, d))
+    out, marks = shared_path(spark, "taken"), shared_path(spark, "taken-log")
+    messages.run_batches(taken, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/part={n}"), marks).awaitTermination()
+    return spark.read.parquet(out).groupBy("document_id").agg(F.count(F.lit(1)).alias("times"))
+
+
 def snk1_put_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Two sets of documents' chunks, a third of the documents in both, put into the same bases one after the other and read again."""
     path = shared_path(spark, "chunks")

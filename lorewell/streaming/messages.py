@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lorewell.operators.documents import PENDING
+
 TOPICS = ("document_index", "graph_generate")
 
 
@@ -30,6 +33,20 @@ def parsed(messages: DataFrame, schema: str, *needed: str) -> DataFrame:
     return df
 
 
+def once(messages: DataFrame, key: str, time_col: str, delay: str = "10 minutes") -> DataFrame:
+    """Messages without those that repeat a ``key`` within ``delay`` of its first one.
+
+    State of a key goes when the watermark, ``delay`` behind the latest time, has passed it. Messages later than that are dropped.
+    """
+    return messages.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([key])
+
+
+def for_pending(messages: DataFrame, rows: DataFrame, key: str = "document_id") -> DataFrame:
+    """Messages of documents that are pending; ``rows`` is a table, read anew for every micro-batch."""
+    pending = rows.where(F.col("run_status") == PENDING).select(F.col("id").cast("string").alias(key)).distinct()
+    return messages.join(pending, key, "left_semi")
+
+
 def as_messages(rows: DataFrame, topic: str) -> DataFrame:
     """topic, value (JSON); only known topics."""
     if topic not in TOPICS:
@@ -50,3 +67,23 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     """
     writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
+
+
+def run_until_idle(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", seconds: float = 0.5, idle: int = 2) -> None:
+    """Micro-batches until ``idle`` of them in a row had no rows to read.
+
+    For streams with timers, whose batches go on without rows, so that a run over what is there would not end; timers that
+    are due by then have fired.
+    """
+    query = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(1000 * seconds)} milliseconds").start()
+    last, quiet = None, 0
+    while query.isActive and quiet < idle:
+        now = query.lastProgress
+        if now is not None and now["batchId"] != last:
+            last, quiet = now["batchId"], 0 if now["numInputRows"] else quiet + 1
+        time.sleep(seconds / 4)
+    while query.isActive and query.status["isTriggerActive"]:  # a batch that is under way ends first
+        time.sleep(0.02)
+    if query.exception() is not None:
+        raise query.exception()
+    query.stop()
