@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Marks that end a sentence, and those that end a header candidate's chances.
 SENTENCE_ENDS = ["。", "？", "！", ".", "?", "!"]
@@ -34,12 +36,38 @@ def overlap(before: Column, after: Column) -> Column:
     """Characters of the longest end of ``before`` that begins ``after``.
 
     An end of more than 16 characters can fit only where ``before`` holds the first 17 of ``after``, so
-    nearly every pair of texts is settled by 16 short comparisons.
+    nearly every pair of texts is settled by 16 short comparisons. The others go to ``longest_overlap``, in time
+    linear in their length; of all other pairs it gets nulls.
     """
-    most = F.least(F.char_length(before), F.char_length(after))
-    most = F.when(F.contains(before, F.left(after, F.lit(17))), most).otherwise(F.least(most, F.lit(16)))
+    first = F.left(after, F.lit(17))
+    long = F.coalesce((F.char_length(first) == 17) & F.contains(before, first), F.lit(False))
+    most = F.least(F.char_length(before), F.char_length(after), F.lit(16))
     fits = F.filter(F.sequence(F.lit(0), most), lambda i: F.right(before, i) == F.left(after, i))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+    return F.coalesce(longest_overlap(F.when(long, before), F.when(long, after)), F.array_max(fits), F.lit(0))
+
+
+def overlap_of(before: str, after: str) -> int:
+    """The same for two strings: the state that the prefix automaton of ``after`` is in at the end of ``before``."""
+    most = min(len(before), len(after))
+    start, end = after[:most], before[len(before) - most :]
+    back, k = [0] * most, 0  # the longest border of each beginning
+    for i in range(1, most):
+        c = start[i]
+        while k and start[k] != c:
+            k = back[k - 1]
+        k += start[k] == c
+        back[i] = k
+    k = 0
+    for c in end:
+        while k and (k == most or start[k] != c):
+            k = back[k - 1]
+        k += start[k] == c
+    return k
+
+
+@F.pandas_udf(IntegerType())
+def longest_overlap(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else overlap_of(a, b) for a, b in zip(before, after, strict=True)], dtype="Int32")
 
 
 def han_runs(text: Column) -> Column:

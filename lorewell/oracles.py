@@ -340,3 +340,6 @@ SELECT id, CASE WHEN id % 3 = 0 THEN 'document_index' ELSE 'graph_generate' END
 SQL["st6_batches"] = """WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), b AS (SELECT event_type, n, unnest(range(0, (n + 399) // 400)) AS batch FROM n)
 SELECT event_type, batch::INT AS batch, n >= 400 * (batch + 1) AS full, least(400, n - 400 * batch)::INT AS n, least(400, n - 400 * batch) AS different FROM b"""
 SQL["st5_pending_once"] = f"WITH {LIB} SELECT DISTINCT user_id::VARCHAR AS document_id, 1::BIGINT AS times FROM events WHERE user_id IN (SELECT id FROM lib WHERE run_status = 'pending')"
+
+SQL["v15_embedding"] = f"""WITH {CHUNKS} SELECT doc_id, chunk_index, md5(content) AS content, length(content)::DOUBLE AS x0,
+  (length(content) - length(regexp_replace(content, '[aeiou]', '', 'g')))::DOUBLE AS x1, (length(content) - length(replace(content, ' ', '')))::DOUBLE AS x2, NULL::VARCHAR AS embed_error FROM chunks"""

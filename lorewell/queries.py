@@ -14,6 +14,7 @@ from lorewell.operators import catalog, communities, documents, fusion, graph, l
 from lorewell.operators.text_index import TextIndex
 from lorewell.operators.vector_index import VectorIndex
 from lorewell.plans import ingest as ingestion
+from lorewell.plans.embedding import embedded
 from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
 from lorewell.sources import tables
 from lorewell.sources.keyed import KeyedTable
@@ -280,6 +281,13 @@ def v14_doc_ids(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def v15_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of a stand-in model: length, vowels and blanks of a chunk."""
+    model = lambda texts: [(len(t), sum(t.count(v) for v in "aeiou"), t.count(" ")) for t in texts]
+    found = embedded(_chunks(spark, d), model)
+    return found.select("doc_id", "chunk_index", F.md5("content").alias("content"), *[F.get("content_vector", i).alias(f"x{i}") for i in range(3)], "embed_error")
+
+
 def v16_doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     df = _chunks(spark, d).where(lexical.matches(F.col("content"), "the of"))
     return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_index").alias("first_hit"))
