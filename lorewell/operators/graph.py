@@ -11,6 +11,8 @@ from lorewell.functions import text as T
 
 #: Fixed values of the record format.
 RECORD, FIELD, DONE = "##", "<|>", "<|DONE|>"
+#: halvings after which the largest double is 0 beside any weight that counts
+HALVINGS = 2200
 
 
 def records(chunks: DataFrame, id_col: str = "chunk_id", answer_col: str = "answer", order_col: str = "chunk_index") -> DataFrame:
@@ -59,8 +61,8 @@ def merged_relations(found: DataFrame) -> DataFrame:
     """One row per (src_id, dst_id): the first type, weights folded as (so far + next) / 2, descriptions appended.
 
     The fold goes by (chunk_index, record_index). The n-th weight from the end counts 2^-n in it (the first
-    one twice that), so it is a weighted sum, and only distinct descriptions and sources are gathered.
-    Empty descriptions add nothing.
+    one twice that), so it is a weighted sum. Tasks keep the last ``HALVINGS`` weights of a relation before the shuffle; those
+    before are halved to nothing that a double can hold. Only distinct descriptions and sources are gathered. Empty descriptions add nothing.
     """
     at = F.struct("chunk_index", "record_index")
     told = found.where("description <> ''")
@@ -69,12 +71,13 @@ def merged_relations(found: DataFrame) -> DataFrame:
     append = lambda acc, x: F.when(F.contains(acc, x["description"]), acc).otherwise(F.concat(acc, F.lit("\n"), x["description"]))
     texts = texts.select("src_id", "dst_id", F.aggregate(F.slice("d", 2, F.greatest(F.size("d") - 1, F.lit(0))), F.get("d", 0)["description"], append).alias("description"))
     one = found.select("src_id", "dst_id", "type", "source_id", at.alias("at"), "weight")
-    order = Window.partitionBy("src_id", "dst_id").orderBy(F.desc("at"))
-    n = F.row_number().over(order)
-    share = F.when(F.col("first"), F.pow(F.lit(0.5), F.col("n") - 1)).otherwise(F.pow(F.lit(0.5), F.col("n")))
-    ranked = one.withColumn("n", n).withColumn("first", F.lead("at").over(order).isNull())
-    folded = ranked.groupBy("src_id", "dst_id").agg(F.min_by("type", "at").alias("type"), F.sum(F.col("weight") * share).alias("weight"), _sources(F.col("at")).alias("source_id"))
-    return folded.join(texts, ["src_id", "dst_id"], "left").select("src_id", "dst_id", "type", F.coalesce("description", F.lit("")).alias("description"), "weight", "source_id")
+    whole = one.groupBy("src_id", "dst_id").agg(F.min_by("type", "at").alias("type"), _sources(F.col("at")).alias("source_id"), F.count(F.lit(1)).alias("n"))
+    last = one.withColumn("n", F.row_number().over(Window.partitionBy("src_id", "dst_id").orderBy(F.desc("at")))).where(F.col("n") <= HALVINGS)
+    share = F.pow(F.lit(0.5), F.col("n"))
+    folded = last.groupBy("src_id", "dst_id").agg(F.sum(F.col("weight") * share).alias("weight"), F.max_by(F.col("weight") * share, "n").alias("first"), F.max("n").alias("held"))
+    both = whole.join(folded, ["src_id", "dst_id"]).join(texts, ["src_id", "dst_id"], "left")
+    weight = F.col("weight") + F.when(F.col("held") == F.col("n"), F.col("first")).otherwise(0.0)
+    return both.select("src_id", "dst_id", "type", F.coalesce("description", F.lit("")).alias("description"), weight.alias("weight"), "source_id")
 
 
 def gleaned(chunks: DataFrame, extract: Callable[[Column, Column], Column], content_col: str = "content", rounds: int = 3) -> DataFrame:

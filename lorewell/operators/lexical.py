@@ -11,6 +11,8 @@ from lorewell.sources.scratch import shared_path
 K1, B = 1.2, 0.75
 #: query terms up to which they are sent to every executor; beyond, Spark joins by shuffle
 BROADCAST_TERMS = 100_000
+#: terms that chunks are counted by
+MARKS = 256
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", content_col: str = "content") -> DataFrame:
@@ -32,23 +34,28 @@ def bm25(
     """query_id, id, score (to six places, so that ties are ties) of every chunk that shares a term with a query.
 
     Statistics span all chunks, also where only those that ``among`` is true for are wanted. Chunks are
-    cut into tokens once: the terms of the queries are joined before anything is shuffled, with an empty term
-    that stands for the chunk itself, and what is left is written once and read for every count.
+    cut into tokens once: the terms of the queries are joined before anything is shuffled, with a mark
+    that stands for the chunk itself, and what is left is written once and read for every count. The marks are ``MARKS`` terms that no
+    token can be, so that where the join is a shuffle no task gets a row of every chunk.
+
+    Only chunks that share a term are hits: where fewer than are wanted do, the list isn't filled up with others at score 0.
     """
     terms = query_terms(queries, query_id, query_text)
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     near = F.broadcast if few else (lambda df: df)
     wanted = terms.select("term").distinct()
-    wanted = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+    mark = lambda i: F.concat(F.lit("\x00"), i.cast("string"))
+    wanted = wanted.unionByName(wanted.sparkSession.range(MARKS).select(mark(F.col("id")).alias("term")))
     wants = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
     tokens = chunks.select(F.col(id_col).alias("id"), wants.alias("wanted"), T.tokens(F.col(content_col)).alias("t"))
-    tokens = tokens.select("id", "wanted", F.size("t").alias("length"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
+    tokens = tokens.select("id", "wanted", F.size("t").alias("length"), F.explode(F.array_append("t", mark(F.pmod(F.xxhash64("id"), F.lit(MARKS))))).alias("term"))
     tf = tokens.join(near(wanted), "term").groupBy("term", "id", "wanted", "length").agg(F.count(F.lit(1)).alias("tf"))
     path = shared_path(chunks.sparkSession, "terms")
     tf.write.parquet(path)
     tf = chunks.sparkSession.read.schema(tf.schema).parquet(path)
-    size = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
-    tf = tf.where("term <> ''")
+    chunk = F.startswith("term", F.lit("\x00"))
+    size = tf.where(chunk).agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
+    tf = tf.where(~chunk)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = tf.where("wanted").join(near(df), "term").join(near(terms), "term").crossJoin(F.broadcast(size))  # size: one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

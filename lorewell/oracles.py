@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lorewell.operators.quality import CONJUNCTIONS, PRONOUNS
+from lorewell.operators.split import SEPARATORS
 
 WHITE = r"E' \t\n\r\x0b\f'"
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -53,8 +54,7 @@ h AS (SELECT doc_id, line, CASE kind WHEN 'numbered' THEN greatest(1, length(spl
 
 SQL["c3_headers"] = f"WITH {LINES} SELECT * FROM h"
 
-SQL["c4_sections"] = f"""
-WITH {LINES},
+SECTIONS = f"""{LINES},
 ends AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS stop, min(line) OVER (PARTITION BY doc_id) AS first FROM h),
 parts AS (
   SELECT doc_id, -1 AS line, '无标题' AS header_context, 0 AS header_level, 'implicit' AS header_type, text AS content FROM l0 WHERE doc_id NOT IN (SELECT doc_id FROM h)
@@ -63,9 +63,39 @@ parts AS (
   WHERE e.line = first AND first > 0 AND trim(array_to_string(lines[1:first], chr(10)), {WHITE}) <> ''
   UNION ALL
   SELECT e.doc_id, line, title, level, kind, trim(array_to_string(lines[line + 1:coalesce(stop, len(lines))], chr(10)), {WHITE}) FROM ends e JOIN l0 USING (doc_id)
-)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS section_index, header_context, header_level, header_type, md5(content) AS content FROM parts
+),
+sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS section_index, header_context, header_level, header_type, content FROM parts)
 """
+SQL["c4_sections"] = f"WITH {SECTIONS} SELECT * EXCLUDE content, md5(content) AS content FROM sections"
+
+
+def pieces(source: str, size: int, overlap: int, name: str = "piece") -> str:
+    """Recursive CTE ``pieces``, or of another ``name`` (source's columns but content, path, piece): texts of ``source`` of more than ``size`` characters, cut by ever finer separators."""
+    marks = ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in SEPARATORS)
+    none = "[]::STRUCT(t VARCHAR, long BOOLEAN)[]"
+    whole = "CASE WHEN {0} <> '' THEN [{{'t': {0}, 'long': false}}] ELSE " + none + " END"
+    parts = f"list_filter(string_split(t, mark), lambda x: trim(x, {WHITE}) <> '')"
+    fold = f"""list_reduce(list_transform({parts}, lambda x: {{'out': {none}, 'held': x}}), lambda s, x: CASE
+        WHEN length(x.held) > {size} THEN {{'out': list_concat(s.out, {whole.format("s.held")}, [{{'t': x.held, 'long': true}}]), 'held': ''}}
+        WHEN s.held = '' THEN {{'out': s.out, 'held': x.held}}
+        WHEN length(s.held) + length(mark) + length(x.held) <= {size} THEN {{'out': s.out, 'held': s.held || mark || x.held}}
+        ELSE {{'out': list_append(s.out, {{'t': s.held, 'long': false}}), 'held': CASE WHEN least({overlap}, length(s.held)) + length(x.held) <= {size} THEN right(s.held, {overlap}) ELSE '' END || x.held}}
+      END, {{'out': {none}, 'held': ''}})"""
+    step = max(1, size - overlap)
+    slices = f"list_transform(range(0, greatest(1, length(t) - {overlap}), {step}), lambda i: {{'t': substr(t, i + 1, {size}), 'long': false}})"
+    return f"""
+{name}0 AS (SELECT * EXCLUDE content, []::BIGINT[] AS path, content AS t, 0 AS lvl, length(content) > {size} AS long FROM {source}
+  UNION ALL
+  SELECT * EXCLUDE (path, t, lvl, long, out, i), list_append(path, i) AS path, out[i].t AS t, lvl + 1 AS lvl, out[i].long AS long
+  FROM (SELECT *, unnest(range(1, len(out) + 1)) AS i FROM (
+    SELECT * EXCLUDE (mark, f), CASE WHEN lvl < {len(SEPARATORS)} THEN list_concat(f.out, {whole.format("f.held")}) ELSE {slices} END AS out
+    FROM (SELECT *, {fold} AS f FROM (SELECT *, coalesce(([{marks}])[lvl + 1], ' ') AS mark FROM {name}0 WHERE long))))),
+{name}s AS (SELECT * EXCLUDE (t, lvl, long), t AS piece FROM {name}0 WHERE NOT long)
+"""
+
+
+SQL["c6_structure_split"] = f"""WITH RECURSIVE {SECTIONS}, {pieces("sections", 500, 50)}
+SELECT doc_id, section_index, header_context, header_level, header_type, piece AS content, row_number() OVER (PARTITION BY doc_id ORDER BY section_index, path) - 1 AS chunk_index FROM pieces"""
 
 SQL["c7_sentence_windows"] = f"""
 WITH s AS (SELECT doc_id, {ATOMS.format("text")} AS s FROM documents),
@@ -73,24 +103,30 @@ w AS (SELECT doc_id, s, unnest(range(0, greatest(len(s) - 2, 0) // 19 + 1)) AS w
 SELECT doc_id, window_index, window_index * 19 AS first, len(s[window_index * 19 + 1:window_index * 19 + 20]) AS n, md5(array_to_string(s[window_index * 19 + 1:window_index * 19 + 20], '|')) AS digest FROM w
 """
 
-SQL["c2_markdown"] = rf"""
-WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(?m)^([A-Za-z]{{4}}) ', '## \1 ', 'g'), chr(10)) AS lines FROM documents),
+def markdown(text: str) -> str:
+    """CTE ``md`` (doc_id, section_index, content, h1 to h4): a text of ``documents`` by its headers."""
+    return rf"""
+t AS (SELECT doc_id, string_split({text}, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(range(0, len(lines))) AS i, unnest(lines) AS line FROM t),
 f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM l),
 m AS (SELECT *, CASE WHEN fences % 2 = 0 AND regexp_matches(line, '^#{{1,4}}\s+\S') THEN length(regexp_extract(line, '^(#+)', 1)) END AS mark FROM f),
 n AS (SELECT *, sum(CASE WHEN mark IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS section_index, trim(regexp_replace(line, '^#+\s+', ''), {WHITE}) AS name FROM m),
 g AS (SELECT doc_id, section_index, trim(string_agg(line, chr(10) ORDER BY i), {WHITE}) AS content, max(CASE WHEN mark IS NOT NULL THEN mark END) AS mark, max(CASE WHEN mark IS NOT NULL THEN name END) AS name FROM n GROUP BY ALL),
-k AS (SELECT *, {", ".join(f"max(CASE WHEN mark = {x} THEN section_index END) OVER w AS p{x}" for x in (1, 2, 3, 4))} FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY section_index))
-SELECT k.doc_id, k.section_index::int AS section_index, md5(k.content) AS content, {", ".join(f"g{x}.name AS h{x}" for x in (1, 2, 3, 4))} FROM k
+k AS (SELECT *, {", ".join(f"max(CASE WHEN mark = {x} THEN section_index END) OVER w AS p{x}" for x in (1, 2, 3, 4))} FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY section_index)),
+md AS (SELECT k.doc_id, k.section_index::int AS section_index, k.content AS content, {", ".join(f"g{x}.name AS h{x}" for x in (1, 2, 3, 4))} FROM k
 {" ".join(f"LEFT JOIN g g{x} ON g{x}.doc_id = k.doc_id AND g{x}.section_index = k.p{x} AND k.p{x} > greatest(-1, {', '.join([f'coalesce(k.p{y}, -1)' for y in range(1, x)] or ['-1'])})" for x in (1, 2, 3, 4))}
-WHERE k.content <> '' OR k.section_index = 0
+WHERE k.content <> '' OR k.section_index = 0)
 """
 
+
+_MARKED = r"regexp_replace(coalesce(text, ''), '(?m)^([A-Za-z]{4}) ', '## \1 ', 'g')"
+SQL["c2_markdown"] = f"WITH {markdown(_MARKED)} SELECT * EXCLUDE content, md5(content) AS content FROM md"
+
 _CONJ, _PRON = "|".join(CONJUNCTIONS), "|".join(PRONOUNS)
 SCORES = rf"""
 p AS (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS prev, length(content) AS n, trim(content, {WHITE}) AS bare FROM chunks),
-o AS (SELECT *, length(regexp_replace(content, '\s', '', 'g')) / n * 10 AS density,
-  coalesce(list_max(list_filter(range(0, least(n, length(prev)) + 1), lambda i: right(prev, i) = left(content, i))) / least(n, length(prev)), 0) AS ratio FROM p),
+o AS (SELECT *, coalesce(length(regexp_replace(content, '\s', '', 'g')) / nullif(n, 0) * 10, 0) AS density,
+  coalesce(list_max(list_filter(range(0, least(n, length(prev)) + 1), lambda i: right(prev, i) = left(content, i))) / nullif(least(n, length(prev)), 0), 0) AS ratio FROM p),
 v AS (SELECT *, CASE WHEN n BETWEEN 300 AND 800 THEN 20.0 WHEN n BETWEEN 100 AND 299 THEN 12.0 WHEN n BETWEEN 801 AND 1000 THEN 16.0 WHEN n < 100 THEN 6.0 ELSE 10.0 END::double AS length_score,
   CASE WHEN bare = '' THEN 0 ELSE CASE WHEN right(bare, 1) IN ('。', '？', '！', '.', '?', '!') THEN 10 ELSE 5 END
     + CASE WHEN regexp_matches(bare, '^({_CONJ})') THEN 0 ELSE 5 END + CASE WHEN regexp_matches(bare, '^({_PRON})') THEN 0 ELSE 5 END END::double AS structure,
@@ -103,10 +139,21 @@ v AS (SELECT *, CASE WHEN n BETWEEN 300 AND 800 THEN 20.0 WHEN n BETWEEN 100 AND
 scores AS (SELECT doc_id, chunk_index, length_score AS length, structure, round(content_score, 6) AS content_score, semantic, 0.0::double AS qa,
   round(length_score + structure + content_score + semantic, 6) AS total, issues, suggestions FROM v)
 """
+SQL["c11_ingest"] = f"""WITH RECURSIVE {markdown("coalesce(text, '')")}, {SECTIONS},
+even AS (SELECT doc_id, source IS NOT NULL AND doc_id % 2 = 0 AS md FROM documents),
+md_in AS (SELECT md.doc_id, section_index, content FROM md JOIN even USING (doc_id) WHERE even.md), {pieces("md_in", 500, 0, "md_piece")},
+plain_in AS (SELECT s.doc_id, section_index, content FROM sections s JOIN even USING (doc_id) WHERE NOT even.md), {pieces("plain_in", 500, 0, "plain_piece")},
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_index, path) - 1 AS chunk_index, piece AS content FROM (SELECT * FROM md_pieces UNION ALL SELECT * FROM plain_pieces)), {SCORES},
+x AS (SELECT *, md5(content || '1') AS q1, md5(content || '2') AS q2 FROM v),
+y AS (SELECT doc_id, chunk_index, content, q1, q2, n >= 100 AS asked, length_score + structure + content_score + semantic + CASE WHEN n >= 100 THEN 20 / 3 + CASE WHEN left(q1, 4) = left(q2, 4) THEN 2.5 ELSE 5 END ELSE 0 END AS total,
+  CASE WHEN n >= 100 THEN regexp_replace(suggestions, ',?generate_qa$', '') ELSE suggestions END AS suggestions FROM x),
+r AS (SELECT 'chunk-' || md5(content || '-' || doc_id) AS id, doc_id, chunk_index, content, round(total, 6) AS total, suggestions FROM y
+  UNION ALL SELECT 'qa-' || md5(q || 'a-' || doc_id), doc_id, chunk_index, 'Question: ' || q || chr(10) || 'Answer: a', NULL, NULL FROM (SELECT *, unnest([q1, q2]) AS q FROM y WHERE asked))
+SELECT id, doc_id::VARCHAR AS doc_id, chunk_index, content, 1 AS available_int, total, suggestions FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY chunk_index) = 1"""
 SQL["q1_chunk_scores"] = f"WITH {CHUNKS}, {SCORES} SELECT * FROM scores"
 SQL["q6_qa_scores"] = f"""WITH {CHUNKS}, k AS (SELECT *, chunk_index % 4 AS n FROM chunks)
 SELECT doc_id, chunk_index, round(CASE n WHEN 0 THEN 0 ELSE least(n, 3) / 3 * 10 + (1 - greatest(0, n - 2) / n) * 5 END, 6)::double AS qa, n < 2 AS low FROM k"""
-SQL["q7_needs_questions"] = f"WITH {CHUNKS} SELECT source, count(*) AS n FROM chunks WHERE chunk_index % 4 < 2 AND length(content) >= 100 GROUP BY source"
+SQL["q7_needs_questions"] = f"WITH {CHUNKS} SELECT doc_id, chunk_index, (chunk_index % 4)::INT AS n FROM chunks WHERE chunk_index % 4 < 2 AND length(content) >= 100"
 SQL["q10_statistics"] = f"""WITH {CHUNKS}, {SCORES} SELECT count(*) AS chunks, count_if(total >= 80) AS high, count_if(total >= 60 AND total < 80) AS mid, count_if(total < 60) AS low, round(avg(total), 6) AS mean FROM scores"""
 
 BM25 = rf"""
@@ -229,9 +276,10 @@ SQL["st4_failed"] = f"""SELECT event_id AS id, CASE WHEN event_type = 'click' TH
 CASE WHEN event_type = 'click' THEN 1705276800 + (30 * 2 ** (event_id % 5))::bigint ELSE floor(epoch(ts))::bigint END AS next_retry FROM events"""
 SQL["w3_default"] = "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 3 AND c_custkey <> 10 THEN 0 ELSE 1 END AS is_default FROM customer"
 SQL["w2_compare_and_set"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"
-SQL["w4_cascade"] = """SELECT 'bases' AS name, count(*) AS n FROM customer WHERE c_custkey <> 1 UNION ALL SELECT 'documents', count(*) FROM orders WHERE o_custkey <> 1 UNION ALL SELECT 'chunks', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> 1"""
-SQL["st1_messages"] = "SELECT event_type AS tenant_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type"
-SQL["snk1_put_chunks"] = f"WITH {CHUNKS}, k AS (SELECT DISTINCT source, doc_id, content FROM chunks) SELECT source AS kb_id, count(*) AS n, sum(length(content))::bigint AS chars FROM k GROUP BY source"
+SQL["w4_cascade"] = """SELECT 'bases' AS name, c_custkey AS kb_id, c_name AS key FROM customer WHERE c_custkey <> 1 UNION ALL SELECT 'documents', o_custkey, o_orderkey::VARCHAR FROM orders WHERE o_custkey <> 1
+UNION ALL SELECT 'chunks', o_custkey, o_orderkey || '-' || l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> 1"""
+SQL["st1_messages"] = "SELECT event_id::VARCHAR AS document_id, event_type AS tenant_id FROM events WHERE event_type <> 'error'"
+SQL["snk1_put_chunks"] = f"""WITH {CHUNKS} SELECT source AS kb_id, 'chunk-' || md5(content || '-' || doc_id) AS id, length(content) AS chars, max(chunk_index)::DOUBLE AS create_timestamp_flt FROM chunks GROUP BY source, doc_id, content"""
 
 # the library as a table of documents, and their chunks
 LIB = """
@@ -250,10 +298,10 @@ SQL["a14_graph_size"] = f"WITH {EDGES} SELECT (SELECT count(*) FROM nodes) AS no
 SQL["g12_name_vectors"] = f"WITH {EDGES} SELECT name, CASE WHEN name NOT LIKE '%7' THEN 2 ELSE 0 END AS n, CASE WHEN name NOT LIKE '%7' THEN length(name) ELSE 0 END::double AS first FROM nodes"
 SQL["f16_listed"] = f"WITH {LIB} SELECT id, kb_id, doc_name, coalesce(storage_path, '') AS storage_path, '' AS parser_config, run_status FROM lib WHERE kb_id = 3 AND id < 2000 AND id % 2 = 1"
 SQL["v16_chunk_page"] = f"WITH {LIB} SELECT id, chunk_index, content FROM ch WHERE doc_id = 7 AND (content LIKE '%R%' OR content LIKE '%N%') ORDER BY chunk_index LIMIT 3"
-SQL["v17_deleted_chunks"] = f"WITH {LIB} SELECT kb_id, count(*) AS n FROM ch WHERE NOT (kb_id = 3 AND doc_id % 2 = 0) GROUP BY kb_id"
-SQL["w5_cleared"] = f"""WITH {LIB} SELECT 'documents' AS name, count(*) AS n FROM lib WHERE NOT (kb_id = 3 AND run_status <> 'indexing')
-UNION ALL SELECT 'chunks', count(*) FROM ch JOIN lib ON lib.id = ch.doc_id WHERE NOT (lib.kb_id = 3 AND run_status <> 'indexing')
-UNION ALL SELECT 'paths', count(*) FROM lib WHERE kb_id = 3 AND run_status <> 'indexing' AND source_type = 'local' AND storage_path IS NOT NULL"""
+SQL["v17_deleted_chunks"] = f"WITH {LIB} SELECT kb_id, id FROM ch WHERE NOT (kb_id = 3 AND doc_id % 2 = 0)"
+SQL["w5_cleared"] = f"""WITH {LIB} SELECT 'documents' AS name, id::VARCHAR AS key FROM lib WHERE NOT (kb_id = 3 AND run_status <> 'indexing')
+UNION ALL SELECT 'chunks', ch.id FROM ch JOIN lib ON lib.id = ch.doc_id WHERE NOT (lib.kb_id = 3 AND run_status <> 'indexing')
+UNION ALL SELECT 'paths', storage_path FROM lib WHERE kb_id = 3 AND run_status <> 'indexing' AND source_type = 'local' AND storage_path IS NOT NULL"""
 SQL["w6_uploads"] = """WITH f AS (SELECT l_orderkey AS u, l_linenumber AS n, (l_quantity * 600000)::bigint AS size FROM lineitem), t AS (SELECT u, count(*) AS files, sum(size) AS bytes FROM f GROUP BY u),
 j AS (SELECT n, size, CASE WHEN files > 10 THEN 'too many files' WHEN bytes > 104857600 THEN 'too large' WHEN n = 5 THEN 'no name' ELSE '' END AS reason, CASE WHEN n % 2 = 0 THEN 'pdf' ELSE 'b' || n || 'x' END AS kind FROM f JOIN t USING (u))
 SELECT CASE WHEN reason = '' THEN kind ELSE '' END AS doc_type, reason, count(*) AS n, sum(size)::bigint AS bytes FROM j GROUP BY ALL"""
@@ -343,3 +391,12 @@ SQL["st5_pending_once"] = f"WITH {LIB} SELECT DISTINCT user_id::VARCHAR AS docum
 
 SQL["v15_embedding"] = f"""WITH {CHUNKS} SELECT doc_id, chunk_index, md5(content) AS content, length(content)::DOUBLE AS x0,
   (length(content) - length(regexp_replace(content, '[aeiou]', '', 'g')))::DOUBLE AS x1, (length(content) - length(replace(content, ' ', '')))::DOUBLE AS x2, NULL::VARCHAR AS embed_error FROM chunks"""
+
+# the small letters of the documents as Han characters
+_HAN = "".join(chr(0x4E00 + 37 * i) for i in range(26))
+HAN = f"{CHUNKS}, han AS (SELECT doc_id, chunk_index, translate(content, 'abcdefghijklmnopqrstuvwxyz', '{_HAN}') AS content FROM chunks), runs AS (SELECT *, regexp_extract_all(content, '\\p{{Han}}{{2,}}') AS r FROM han)"
+SQL["sc7_han"] = rf"""WITH {HAN} SELECT doc_id, chunk_index, len(r)::INT AS n_runs, md5(array_to_string(r, '|')) AS runs,
+  md5(array_to_string(list_sort(list_concat({TOKENS.format("content")}, flatten(list_transform(r, lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i, 2)))))), '|')) AS tokens FROM runs"""
+SQL["q6_han"] = f"""WITH {HAN}, n AS (SELECT *, CASE WHEN chunk_index % 2 = 0 THEN r[1] ELSE reverse(r[1] || '{_HAN[:3]}') END AS named FROM runs WHERE len(r) > 0),
+a AS (SELECT *, len(list_distinct([left('0 ' || named, 4), left('1 ' || named, 4)])) AS kinds, CASE WHEN regexp_matches(named, '^\\p{{Han}}{{2,}}$') AND contains(content, named) THEN 2 ELSE 0 END AS matched FROM n)
+SELECT doc_id, chunk_index, round(2 / 3 * 10 + (1 - (2 - kinds) / 2) * 5 + matched / 2 * 5, 6)::DOUBLE AS qa FROM a"""

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.operators import graph, quality, resolution, split
+from lorewell.plans.embedding import embedded
 
 
 def _records(rows: DataFrame, key: Column, content: Column, kb_id: Column, now: Column, more: list[str]) -> DataFrame:
     own = [c for c in more if c in rows.columns]
-    return rows.select(
+    first = F.row_number().over(Window.partitionBy("id").orderBy("chunk_index"))
+    found = rows.select(
         key.alias("id"), F.col("doc_id").cast("string").alias("doc_id"), kb_id.alias("kb_id"), F.array(kb_id).alias("kb_ids"), content.alias("content"),
         now.cast("double").alias("create_timestamp_flt"), F.lit(1).alias("available_int"), "chunk_index", *own,
-    ).dropDuplicates(["id"])
+    )
+    return found.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def chunk_records(chunks: DataFrame, kb_id: Column, now: Column) -> DataFrame:
-    """Index records of content chunks, with their scores where they have some; equal chunks of a document have one id.
+    """Index records of content chunks, with their scores where they have some; equal chunks of a document have one id, and the first of them is kept.
 
     ``kb_id`` is the partition that ``put_chunks`` and ``cascade_delete`` work on, ``kb_ids`` what searches filter by.
     """
@@ -35,9 +38,11 @@ def question_records(chunks: DataFrame, kb_id: Column, now: Column, qa_col: str
     return _records(df, key, content, kb_id, now, [])
 
 
-def ingest(docs: DataFrame, path_col: str, kb_id: Column, now: Column, size: int = 500, overlap: int = 0, ask: Callable[[Column], Column] | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+def ingest(docs: DataFrame, path_col: str, kb_id: Column, now: Column, size: int = 500, overlap: int = 0, ask: Callable[[Column], Column] | None = None, embed: Callable[[Column], Column] | None = None, model: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> DataFrame:
     """Split, score, ask where questions are wanted, score again, and build index records; ``ask`` and ``embed`` are expressions or pandas UDFs.
 
+    ``model`` takes lists of texts instead, in batches with a deadline: see ``embedding.embedded``.
+
     Only the questions of a chunk change its score, so both rounds of scoring are one: what was asked is
     known before the scores are taken, and a chunk that nothing is asked of has the score of the first round.
     """
@@ -47,6 +52,8 @@ def ingest(docs: DataFrame, path_col: str, kb_id: Column, now: Column, size: int
         chunks = quality.with_questions(chunks, ask)
     chunks = quality.scored(chunks, qa_col="qa_pairs")
     records = chunk_records(chunks, kb_id, now).unionByName(question_records(chunks, kb_id, now), allowMissingColumns=True)
+    if model:
+        return embedded(records, model)
     return records.withColumn("content_vector", embed(F.col("content"))) if embed else records
 
 

@@ -122,9 +122,32 @@ def q6_qa_scores(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored(df, qa_col="asked", previous_col="previous").select("doc_id", "chunk_index", F.round("qa", 6).alias("qa"), F.array_contains("issues", "low_qa_coverage").alias("low"))
 
 
+#: the 26 letters as characters of Chinese, so that the documents hold runs of them
+HAN = "".join(chr(0x4E00 + 37 * i) for i in range(26))
+
+
+def _han(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose small letters are Han characters; runs are as long as words."""
+    return _chunks(spark, d).withColumn("content", F.translate("content", "abcdefghijklmnopqrstuvwxyz", HAN))
+
+
+def sc7_han(spark: SparkSession, d: str) -> DataFrame:
+    runs, tokens = T.han_runs(F.col("content")), T.tokens(F.col("content"))
+    return _han(spark, d).select("doc_id", "chunk_index", F.size(runs).alias("n_runs"), F.md5(F.array_join(runs, "|")).alias("runs"), F.md5(F.array_join(F.sort_array(tokens), "|")).alias("tokens"))
+
+
+def q6_han(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that name a run of Han characters; of every second chunk it is the chunk's own."""
+    run = F.get(T.han_runs(F.col("content")), 0)
+    named = F.when(F.col("chunk_index") % 2 == 0, run).otherwise(F.reverse(F.concat(run, F.lit(HAN[:3]))))
+    ask = F.array(*[F.struct(F.concat(F.lit(f"{i} "), named).alias("question"), F.lit("a").alias("answer")) for i in range(2)])
+    df = _han(spark, d).where(run.isNotNull()).withColumn("asked", ask)
+    return quality.scored(df, qa_col="asked", previous_col="previous").select("doc_id", "chunk_index", F.round("qa", 6).alias("qa"))
+
+
 def q7_needs_questions(spark: SparkSession, d: str) -> DataFrame:
     df = _chunks(spark, d).withColumn("qa", F.array_repeat(F.lit("q"), (F.col("chunk_index") % 4).cast("int")))
-    return quality.needs_questions(df, "qa").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return quality.needs_questions(df, "qa").select("doc_id", "chunk_index", F.size("qa").alias("n"))
 
 
 def q10_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -568,10 +591,10 @@ def w2_compare_and_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w4_cascade(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "orders").select(F.col("o_custkey").alias("kb_id"), "o_orderkey")
-    chunks = _t(spark, d, "lineitem").join(docs, F.col("l_orderkey") == F.col("o_orderkey")).select("kb_id", "l_linenumber")
-    left = catalog.cascade_delete(1, _bases(spark, d).select("kb_id"), docs.select("kb_id"), chunks.select("kb_id"))
-    named = [df.groupBy(F.lit(n).alias("name")).agg(F.count(F.lit(1)).alias("n")) for n, df in zip(("bases", "documents", "chunks"), left, strict=True)]
+    docs = _t(spark, d, "orders").select(F.col("o_custkey").alias("kb_id"), F.col("o_orderkey").cast("string").alias("key"))
+    chunks = _t(spark, d, "lineitem").join(docs, F.col("l_orderkey") == F.col("key")).select("kb_id", F.concat_ws("-", "key", "l_linenumber").alias("key"))
+    left = catalog.cascade_delete(1, _bases(spark, d).select("kb_id", F.col("name").alias("key")), docs, chunks)
+    named = [df.select(F.lit(n).alias("name"), "kb_id", "key") for n, df in zip(("bases", "documents", "chunks"), left, strict=True)]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
@@ -631,12 +654,12 @@ def v16_chunk_page(spark: SparkSession, d: str) -> DataFrame:
 
 def v17_deleted_chunks(spark: SparkSession, d: str) -> DataFrame:
     gone = _library(spark, d).where("id % 2 = 0").select(F.col("id").alias("doc_id"))
-    return documents.deleted_chunks(_library_chunks(spark, d), 3, gone).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"))
+    return documents.deleted_chunks(_library_chunks(spark, d), 3, gone).select("kb_id", "id")
 
 
 def w5_cleared(spark: SparkSession, d: str) -> DataFrame:
     rows, chunks, paths = documents.cleared(_library(spark, d), _library_chunks(spark, d), 3)
-    named = [df.groupBy(F.lit(n).alias("name")).agg(F.count(F.lit(1)).alias("n")) for n, df in (("documents", rows), ("chunks", chunks), ("paths", paths))]
+    named = [df.select(F.lit(n).alias("name"), F.col(c).cast("string").alias("key")) for n, df, c in (("documents", rows, "id"), ("chunks", chunks, "id"), ("paths", paths, "storage_path"))]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
@@ -704,7 +727,7 @@ def st1_messages(spark: SparkSession, d: str) -> DataFrame:
     out, marks = shared_path(spark, "messages"), shared_path(spark, "messages-log")
     found = messages.parsed(events.select(body.alias("value")), schemas.INDEX_MESSAGE, "document_id")
     messages.run_batches(found, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), marks).awaitTermination()
-    return spark.read.parquet(out).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(out).select("document_id", "tenant_id")
 
 
 def st2_task_states(spark: SparkSession, d: str) -> DataFrame:
@@ -776,7 +799,7 @@ def snk1_put_chunks(spark: SparkSession, d: str) -> DataFrame:
     df = _chunks(spark, d).select(T.chunk_id(F.col("content"), F.col("doc_id")).alias("id"), F.col("source").alias("kb_id"), "content", F.col("chunk_index").cast("double").alias("create_timestamp_flt"), part.alias("part"))
     tables.put_chunks(df.where("part < 2").drop("part"), path)
     tables.put_chunks(df.where("part > 0").drop("part"), path)
-    return spark.read.parquet(path).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("content")).alias("chars"))
+    return spark.read.parquet(path).select("kb_id", "id", F.char_length("content").alias("chars"), "create_timestamp_flt")
 
 
 def queries() -> dict[str, Query]:
