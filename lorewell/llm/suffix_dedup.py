@@ -11,7 +11,7 @@ document or any other. Matches never cross documents; strings are judged on the
 3. Different contexts of one gram meet in a task, whose suffixes (cut at ``length`` bytes) pass through an
    index family: each batch gets a suffix array, is merge-scanned against the arrays of all levels,
    and levels of equal size merge, so sizes grow geometrically. Tasks are dealt a bounded number of suffixes.
-4. A gram with more different contexts than ``per_gram`` is no group for one task: what it has may be
+4. A gram whose contexts hold more than ``per_gram`` strings doesn't fit into one task's index: what it has may be
    a third of all rows. Its contexts are cut into blocks of strings by the gram's offset; blocks are counted by their
    128-bit hash, combined before the shuffle, and only strings of blocks that occur once, a few at either edge of
    a common passage, are counted one by one. Both ways find the same strings.
@@ -189,23 +189,23 @@ def _places(likely: DataFrame, length: int) -> DataFrame:
 
 
 def _bytes(wanted: DataFrame, length: int) -> DataFrame:
-    """The contexts themselves, from (text, of: array of (seed, cid, n, o, k, a))."""
-    names = {"seed": pa.int64(), "cid": pa.binary(), "n": pa.int32(), "o": pa.int32(), "k": pa.int64(), "ctx": pa.binary()}
+    """The contexts themselves, from (text, of: array of (seed, cid, n, o, m, a))."""
+    names = {"seed": pa.int64(), "cid": pa.binary(), "n": pa.int32(), "o": pa.int32(), "m": pa.int64(), "ctx": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, of in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
-                for seed, cid, n, o, k, a in zip(*(of.values.field(i).to_pylist() for i in range(6)), strict=True):
-                    out.append((seed, cid, n, o, k, text[a : a + n - 1 + length]))
+                for seed, cid, n, o, m, a in zip(*(of.values.field(i).to_pylist() for i in range(6)), strict=True):
+                    out.append((seed, cid, n, o, m, text[a : a + n - 1 + length]))
                 if len(out) >= 20_000:
                     yield _packed(out, names)
                     out = []
             if out:
                 yield _packed(out, names)
 
-    return wanted.mapInArrow(run, "seed long, cid binary, n int, o int, k long, ctx binary")
+    return wanted.mapInArrow(run, "seed long, cid binary, n int, o int, m long, ctx binary")
 
 
 def _indexed(groups: DataFrame, length: int, batch_rows: int = 512) -> DataFrame:
@@ -302,12 +302,12 @@ def _cut(touched: DataFrame) -> DataFrame:
     return touched.mapInArrow(run, "doc long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, per_gram: int = 200, per_task: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, per_gram: int = 125_000, per_task: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """(documents, cuts).
 
     documents: doc_id, doc (the row's number), n_bytes and sha256 of every row; cuts: doc, n_removed,
-    n_spans, kept_sha256 and kept of documents that lose bytes. ``per_gram``: different contexts of a gram that
-    meet in the index of one task; ``per_task``: suffixes a task indexes.
+    n_spans, kept_sha256 and kept of documents that lose bytes. ``per_gram``: strings of a gram's
+    contexts that are indexed by one task; ``per_task``: strings a task indexes, but for its last gram's.
     """
     if not 0 < gram <= length < gram + 255:
         raise ValueError("a gram is shorter than a string, by less than 255 bytes")
@@ -326,13 +326,13 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     distinct = scratch.keep(distinct, "contexts")
     grams = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).where("k > 1")
     grams = scratch.keep(grams, "grams")
-    total = grams.where(F.col("k") <= per_gram).agg(F.sum("m")).first()[0] or 0
+    total = grams.where(F.col("m") <= per_gram).agg(F.sum("m")).first()[0] or 0
     # bytes are fetched once per context, and only where a gram has different contexts
-    wanted = distinct.join(grams.select("seed", "k"), "seed")
-    wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("seed", "cid", "n", "o", "k", "at.a")).alias("of"))
+    wanted = distinct.join(grams.select("seed", "m"), "seed")
+    wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("seed", "cid", "n", "o", "m", "at.a")).alias("of"))
     differ = scratch.keep(_bytes(likely.select("doc", "text").join(wanted, "doc").select("text", "of"), length), "differ")
-    shared = differ.where(F.col("k") <= per_gram).repartition(max(1, -(-total // per_task)), "seed").select("cid", "ctx", "n")
-    crowded = _crowded(differ.where(F.col("k") > per_gram).select("cid", "ctx", "n", "o"), length, scratch)
+    shared = differ.where(F.col("m") <= per_gram).repartition(max(1, -(-total // per_task)), "seed").select("cid", "ctx", "n")
+    crowded = _crowded(differ.where(F.col("m") > per_gram).select("cid", "ctx", "n", "o"), length, scratch)
     whole = distinct.where("c > 1").select("cid", F.lit(0).alias("s"), (F.col("n") - 1).alias("e"))
     found = scratch.keep(_indexed(shared, length).unionByName(crowded).unionByName(whole), "found")
     scratch.drop("differ", "blocks", "counts", "strings", "contexts", "grams")
