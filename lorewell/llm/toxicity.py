@@ -112,7 +112,7 @@ class ToxicityModel:
         if tokens:
             cuts = [*window_starts(len(tokens)).tolist(), len(tokens)]
             bags = [set(tokens[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            logit += max(sum([words[t] for t in bag]) / max(FEWEST, len(bag)) for bag in bags)
+            logit += max(sum(map(words.__getitem__, bag)) / max(FEWEST, len(bag)) for bag in bags)
         return 1 / (1 + math.exp(-min(500.0, max(-500.0, logit))))
 
 
