@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lorewell.operators.metrics import HISTOGRAMS
 from lorewell.operators.quality import CONJUNCTIONS, PRONOUNS
 from lorewell.operators.split import SEPARATORS
 
@@ -400,3 +401,32 @@ SQL["sc7_han"] = rf"""WITH {HAN} SELECT doc_id, chunk_index, len(r)::INT AS n_ru
 SQL["q6_han"] = f"""WITH {HAN}, n AS (SELECT *, CASE WHEN chunk_index % 2 = 0 THEN r[1] ELSE reverse(r[1] || '{_HAN[:3]}') END AS named FROM runs WHERE len(r) > 0),
 a AS (SELECT *, len(list_distinct([left('0 ' || named, 4), left('1 ' || named, 4)])) AS kinds, CASE WHEN regexp_matches(named, '^\\p{{Han}}{{2,}}$') AND contains(content, named) THEN 2 ELSE 0 END AS matched FROM n)
 SELECT doc_id, chunk_index, round(2 / 3 * 10 + (1 - (2 - kinds) / 2) * 5 + matched / 2 * 5, 6)::DOUBLE AS qa FROM a"""
+
+SQL["g11_links"] = f"WITH {EDGES} SELECT src_id, dst_id, weight FROM e WHERE src_id IN (SELECT name FROM nodes) AND dst_id IN (SELECT name FROM nodes) ORDER BY src_id, dst_id LIMIT 500"
+SQL["g1_gleaned"] = """WITH t AS (SELECT doc_id, coalesce(text, '') AS content FROM documents)
+SELECT doc_id AS source_id, 0 AS record_index, md5(content || '1') AS name, 'T' AS type, 'd' AS description FROM t UNION ALL SELECT doc_id, 1, md5(content || '2'), 'T', 'd' FROM t WHERE length(content) > 200"""
+SQL["g5_search_docs"] = SQL["g4_entities"].replace("SELECT src_id AS name,", "SELECT 'entity_' || md5('kb' || name) AS id, 'kb' AS kb_id, 'entity' AS graph_type, name AS entity_name, description, source_id AS source_ids, name || ': ' || description AS content_with_weight FROM (SELECT src_id AS name,") + ")"
+SQL["snk4_single"] = "SELECT o_orderkey, (o_totalprice / 3)::FLOAT::DOUBLE AS x, 0.1::FLOAT::DOUBLE AS y FROM orders"
+SQL["snk7_appended"] = "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN upper(n_name) ELSE n_name END AS n_name, CASE WHEN n_nationkey < 10 THEN 100 ELSE 200 END AS created_time, CASE WHEN n_nationkey < 10 THEN 100 ELSE 200 END AS updated_time FROM nation"
+SQL["t8_point"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7"
+SQL["sc21_object_keys"] = r"SELECT page_id, 'tenant_' || page_id % 7 || '/kb_' || page_id % 3 || '/' || md5(url) || regexp_extract(regexp_replace(url, '\?.*$', ''), '\.[^./]+$') AS key FROM pages"
+
+
+def _seen() -> str:
+    mode, model, failed, kb = "CASE WHEN event_id % 2 = 0 THEN 'hybrid' ELSE 'vector' END", "'m' || user_id % 2", "'e' || event_id % 2", "user_id % 3"
+    show = lambda **labels: " || ',' || ".join(f"""'{n}="' || {x} || '"'""" for n, x in labels.items())
+    rows = [
+        ("rag_retrieval_duration_seconds", "click view", "value / 16", show(mode=mode, kb_id=kb)), ("rag_retrieval_total", "click view", "1", show(mode=mode, kb_id=kb)),
+        ("rag_retrieval_errors_total", "error", "1", show(mode=mode, kb_id=kb, error_type=failed)), ("rag_rerank_duration_seconds", "click", "value / 16", show(model=model)),
+        ("rag_embedding_duration_seconds", "purchase", "value / 16", show(model=model)), ("rag_chunks_returned", "view", "floor(value)", show(mode=mode)),
+        ("rag_indexing_duration_seconds", "signup purchase", "value", show(kb_id=kb, status="event_type")), ("rag_indexing_total", "signup", "1", show(kb_id=kb)),
+        ("rag_indexing_errors_total", "error", "1", show(kb_id=kb, error_type=failed)), ("rag_chunks_indexed", "signup", "floor(value * 4)", show(kb_id=kb)),
+    ]
+    kinds = lambda x: ", ".join(f"'{k}'" for k in x.split())
+    return " UNION ALL ".join(f"SELECT '{m}' AS metric, {labels} AS labels, ({value})::DOUBLE AS value FROM events WHERE event_type IN ({kinds(of)})" for m, of, value, labels in rows)
+
+
+_BOUNDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, unnest({[float(x) for x in b]}::DOUBLE[]) AS le" for m, (_, b) in HISTOGRAMS.items())
+SQL["a12_families"] = f"""WITH seen AS ({_seen()}), whole AS (SELECT metric, labels, count(*) AS n, round(sum(value), 6) AS total FROM seen GROUP BY ALL), bounds AS ({_BOUNDS})
+SELECT metric, labels, NULL::DOUBLE AS le, n, total FROM whole
+UNION ALL SELECT w.metric, w.labels, le, (SELECT count(*) FROM seen s WHERE s.metric = w.metric AND s.labels = w.labels AND value <= le), total FROM whole w JOIN bounds USING (metric)"""

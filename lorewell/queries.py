@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorewell import schemas
 from lorewell.functions import prompts
 from lorewell.functions import text as T
-from lorewell.operators import catalog, communities, documents, fusion, graph, lexical, quality, resolution, split, vector
+from lorewell.operators import catalog, communities, documents, fusion, graph, lexical, metrics, quality, resolution, split, vector
 from lorewell.operators.text_index import TextIndex
 from lorewell.operators.vector_index import VectorIndex
 from lorewell.plans import ingest as ingestion
@@ -385,6 +385,26 @@ def g9_graph_view(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("name", "type", "val")
 
 
+def g11_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links of a view of the graph."""
+    _, links = graph.graph_view(_nodes(spark, d), _edges(spark, d), 500)
+    return links.select("src_id", "dst_id", "weight")
+
+
+def g1_gleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three answers a document: an entity first, another one if the text is long, and then the mark that ends it."""
+    entity = lambda n: F.concat(F.lit('("entity"<|>"'), F.md5(F.concat("content", F.lit(n))), F.lit('"<|>"T"<|>"d")'))
+    done = F.lit("<|DONE|>")
+    extract = lambda c, so_far: F.when(so_far == "", F.when(F.char_length(c) > 200, entity("1")).otherwise(F.concat(entity("1"), done))).when(~F.contains(so_far, F.lit("##")), entity("2")).otherwise(done)
+    found = graph.gleaned(_contents(spark, d).select(F.col("id").alias("chunk_id"), F.col("id").alias("chunk_index"), "content"), extract)
+    return graph.entities(graph.records(found)).select("source_id", "record_index", "name", "type", "description")
+
+
+def g5_search_docs(spark: SparkSession, d: str) -> DataFrame:
+    found = graph.merged_entities(graph.entities(graph.records(_answers(spark, d))))
+    return graph.search_docs(F.lit("kb"), found).withColumn("source_ids", F.array_join("source_ids", ","))
+
+
 def a7_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(_edges(spark, d))
 
@@ -538,6 +558,25 @@ def a12_histogram(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("total", F.round("total", 2))
 
 
+def a12_families(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric from events that stand for calls: of each kind of event another one."""
+    events, kb = _t(spark, d, "events"), F.col("user_id") % 3
+    of = lambda *kinds: events.where(F.col("event_type").isin(*kinds))
+    mode, model, failed = F.when(F.col("event_id") % 2 == 0, "hybrid").otherwise("vector"), F.concat(F.lit("m"), (F.col("user_id") % 2).cast("string")), F.concat(F.lit("e"), (F.col("event_id") % 2).cast("string"))
+    seconds = F.col("value") / 16
+    seen = [
+        metrics.observed(of("click", "view"), "rag_retrieval_duration_seconds", seconds, mode=mode, kb_id=kb), metrics.observed(of("click", "view"), "rag_retrieval_total", mode=mode, kb_id=kb),
+        metrics.observed(of("error"), "rag_retrieval_errors_total", mode=mode, kb_id=kb, error_type=failed), metrics.observed(of("click"), "rag_rerank_duration_seconds", seconds, model=model),
+        metrics.observed(of("purchase"), "rag_embedding_duration_seconds", seconds, model=model), metrics.observed(of("view"), "rag_chunks_returned", F.floor("value"), mode=mode),
+        metrics.observed(of("signup", "purchase"), "rag_indexing_duration_seconds", F.col("value"), kb_id=kb, status=F.col("event_type")), metrics.observed(of("signup"), "rag_indexing_total", kb_id=kb),
+        metrics.observed(of("error"), "rag_indexing_errors_total", kb_id=kb, error_type=failed), metrics.observed(of("signup"), "rag_chunks_indexed", F.floor(F.col("value") * 4), kb_id=kb),
+    ]
+    every = seen[0]
+    for more in seen[1:]:
+        every = every.unionByName(more)
+    return metrics.exposed(every).withColumn("total", F.round("total", 6))
+
+
 def a13_seq_ids(spark: SparkSession, d: str) -> DataFrame:
     df = catalog.numbered(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
     return df.select("conv_id", "turn", "role", "seq_id", T.title(F.coalesce("text", F.lit(""))).alias("title"))
@@ -556,6 +595,29 @@ def t4_latest(spark: SparkSession, d: str) -> DataFrame:
     return catalog.latest(_t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", 3)
 
 
+def snk4_single(spark: SparkSession, d: str) -> DataFrame:
+    df = tables.single_precision(_t(spark, d, "orders").select("o_orderkey", F.array(F.col("o_totalprice") / 3, F.lit(0.1)).alias("v")), "v")
+    return df.select("o_orderkey", F.get("v", 0).cast("double").alias("x"), F.get("v", 1).cast("double").alias("y"))
+
+
+def snk7_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written with their times, more of them appended, and one of them read by its key."""
+    path, rows = shared_path(spark, "nations"), _t(spark, d, "nation").select("n_nationkey", "n_name")
+    tables.append(tables.audited(rows.where("n_nationkey < 10"), F.lit(100)), path)
+    tables.append(tables.audited(rows.where("n_nationkey >= 10"), F.lit(200)), path)
+    every = spark.read.parquet(path)
+    return tables.without(every, F.col("n_nationkey") == 3).unionByName(tables.point(every, n_nationkey=3).withColumn("n_name", F.upper("n_name")))
+
+
+def t8_point(spark: SparkSession, d: str) -> DataFrame:
+    return tables.point(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), o_orderkey=7)
+
+
+def sc21_object_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = T.object_key((F.col("page_id") % 7).cast("string"), (F.col("page_id") % 3).cast("string"), F.md5("url"), F.regexp_replace("url", r"\?.*$", ""))
+    return _t(spark, d, "pages").select("page_id", key.alias("key"))
+
+
 def snk8_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "orders").select("o_custkey")
     new = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
