@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.operators.lexical import top_k
+from lorewell.sources.scratch import shared_path
 
 #: numbers (queries x dimensions) that are sent to the executors at once
 BLOCK = 4_000_000
@@ -62,7 +63,7 @@ class Nearest:
 
 def _best(rows: DataFrame, asked: pd.DataFrame, k: int, d: int, schema: str) -> DataFrame:
     """Each task's ``k`` best of every query of one block; vectors are multiplied in batches."""
-    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    shared = rows.sparkSession.sparkContext.broadcast(asked)  # a block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, kind = Nearest(shared.value, k), None
@@ -94,14 +95,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vect
     rows = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("u"), *([F.col(same[0]).alias("have")] if same else [])).where("u is not null")
     kinds = dict(asked.dtypes)
     schema = f"query_id {kinds['query_id']}, {f'want {kinds["want"]}, ' if same else ''}id {dict(rows.dtypes)['id']}, score double"
-    found = vectors.sparkSession.createDataFrame([], schema)
-    for shape in asked.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per length of vectors
-        n = max(1, -(-shape["n"] * shape["d"] // BLOCK))
+    spark = vectors.sparkSession
+    found = spark.createDataFrame([], schema)
+    shapes = {r["d"]: max(1, -(-r["n"] * r["d"] // BLOCK)) for r in asked.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length of vectors
+    path = shared_path(spark, "nearest") if sum(shapes.values()) > 1 else None
+    for d, n in shapes.items():
         block = F.pmod(F.xxhash64("query_id"), F.lit(n))
         for i in range(n):
-            some = asked.where((F.col("d") == shape["d"]) & (block == i)).drop("d").toPandas()
-            if len(some):
-                found = found.unionByName(_best(rows.where(F.size("u") == shape["d"]), some, k, shape["d"], schema))
+            some = asked.where((F.col("d") == d) & (block == i)).drop("d").toPandas()
+            if not len(some):
+                continue
+            best = _best(rows.where(F.size("u") == d), some, k, d, schema)
+            if path:  # a block is done before the next one is read, so the driver holds one
+                best.write.mode("append").parquet(path)
+                found = spark.read.schema(schema).parquet(path)
+            else:
+                found = best
     if not same:
         return top_k(found, k)
     found = top_k(found, k, ["query_id", "want"])

@@ -67,3 +67,13 @@ def test_null_texts_and_no_rows(spark):
     df = spark.createDataFrame([(1, None), (2, "ab")], "id int, content string")
     got = {r["id"]: r["content_vector"] for r in embedded(df, lambda ts: [[len(t)] for t in ts]).collect()}
     assert got == {1: [0.0], 2: [2.0]} and embedded(df.limit(0), lambda ts: []).collect() == []
+
+
+def test_neighbours_of_queries_in_blocks(spark, monkeypatch):
+    from lorewell.operators import vector
+
+    rows = spark.createDataFrame([(i, [float((i * 7) % 11 - 5), float((i * 3) % 5 - 2), 1.0][: 2 + i % 2]) for i in range(60)], "id int, embedding array<double>")
+    asked = rows.where("id < 20").selectExpr("id AS query_id", "embedding AS query_vector")
+    whole = sorted(map(tuple, vector.knn(rows, asked, 4).collect()))
+    monkeypatch.setattr(vector, "BLOCK", 6)
+    assert sorted(map(tuple, vector.knn(rows, asked, 4).collect())) == whole and len(whole) == 80
