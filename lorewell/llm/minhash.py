@@ -18,6 +18,9 @@ meet in a bucket, and no bucket is expanded into pairs:
 Step 3 compares all classes of open buckets, not only those that share one. A pair that is never
 compared lies inside one component already, so components are those of all links between candidates.
 
+Bound: letters of one form, with an eighth to a fifth of shingles of their own, may be compared pairwise inside step 3's
+join, where no pair becomes a row; 32,000 such letters took 78 s where 8,000 took 19 s.
+
 With bands of 8 coordinates, 50 bands miss a pair of similarity 0.8 with probability 1e-4.
 
 Defined results: texts that are null or have no words have an empty set and are linked with
