@@ -17,6 +17,8 @@ Cells with very many rows are split over tasks, and so are cells with very many
 among k neighbours, so a vector with very many copies goes no further than that. Scores are sums of products in double precision, the
 same for equal vectors wherever they are computed.
 
+A query whose cells hold fewer than k candidates, though there are more, is compared with every row, in blocks of such queries.
+
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor
 do rows without an id; only vectors of one length are compared; rows of one id are neighbours of their own
 as far as their scores differ, are answered together as queries, and none is a neighbour of its own id; fewer than k
@@ -50,6 +52,7 @@ class Space(NamedTuple):
     """How vectors of one length are hashed."""
 
     d: int
+    rows: int
     longest: float
     tables: int
     combined: int
@@ -247,6 +250,24 @@ def _with_probes(asked: DataFrame, spaces: dict[int, Space]) -> DataFrame:
     return asked.mapInArrow(run, f"id long, v {dict(asked.dtypes)['v']}, cells array<long>")
 
 
+def _complete(found: DataFrame, index: DataFrame, asked: DataFrame, spaces: dict[int, Space], k: int, scratch: Scratch) -> DataFrame:
+    """``found`` with the neighbours of queries that found fewer than there are, from all rows."""
+    there = F.create_map(*[F.lit(x) for d, s in spaces.items() for x in (d, s.rows)]) if spaces else F.create_map().cast("map<int,int>")
+    n = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.least(F.lit(k), F.try_element_at(there, F.col("d")) - 1)
+    short = scratch.keep(asked.join(n, "id", "left").where(F.coalesce("n", F.lit(0)) < wanted).select("id", "v", "d"), "short")
+    numbers = short.agg(F.sum("d")).first()[0]
+    if not numbers:
+        return found
+    blocks, path = -(-numbers // QUERY_NUMBERS), scratch.path("rest")
+    for b in range(blocks):
+        part = [(r["id"], r["v"]) for r in short.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()]
+        if part:
+            exact(index, part, k).select("query_id", "id", "score", "rank").write.mode("append").parquet(path)
+    rest = index.sparkSession.read.schema(found.schema).parquet(path)
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(*found.columns).unionByName(rest)
+
+
 def exact(index: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
     """query_id, id, score, rank, cells: the true neighbours of a bounded list of queries, by one scan of all rows."""
     blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -307,7 +328,7 @@ def spaces_of(rows: DataFrame, tables: int) -> dict[int, Space]:
     """A space for each length of vectors; the more rows, the more rotations make a cell."""
     out = {}
     for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.max(_length("v")).alias("longest")).collect():
-        space = Space(r["d"], min(r["longest"], np.finfo(float).max), tables, 1, 1)
+        space = Space(r["d"], r["n"], min(r["longest"], np.finfo(float).max), tables, 1, 1)
         cells, combined = 2 * space.axes, 1
         while r["n"] > CELL * cells**combined and tables * cells ** (combined + 1) < 1 << KEY_BITS:
             combined += 1
@@ -404,5 +425,6 @@ def nearest(
     rows, asked = _valid(vectors, id_col, vector_col), _valid(queries, id_col, vector_col)
     index, spaces, _ = built(rows, asked, scratch, k, tables, sample, recall)
     probes = scratch.keep(_with_probes(asked, spaces), "probes")
-    found = _ranked(_met(_split(index, probes, scratch), k), k)
+    found = scratch.keep(_ranked(_met(_split(index, probes, scratch), k), k), "found")
+    found = _complete(found, index, asked, spaces, k, scratch)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -37,7 +37,7 @@ def recall(got, want):
 
 def test_rotations_keep_lengths_and_probes_start_at_the_own_cell():
     rng = np.random.default_rng(1)
-    space = ann.Space(20, 1.0, 3, 2, 5)
+    space = ann.Space(20, 50, 1.0, 3, 2, 5)
     v = rng.normal(size=(50, 20))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     x = space.lifted(v, True)
@@ -98,3 +98,15 @@ def test_nearest_takes_odd_rows(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).collect() == [] and ann.nearest(df, df.limit(0)).collect() == []
     doubles = table(spark, [1, 2, 3], [[1, 0.1], [1, 0.2], [0.1, 1]], "double")
     assert [i for _, i in found(ann.nearest(doubles, doubles, k=1))[1]] == [2]
+
+
+def test_queries_whose_cells_hold_too_few_are_completed(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 12))
+    ids = list(range(300))
+    df, want = table(spark, ids, vectors), brute(ids, vectors, ids[::20], 250)
+    monkeypatch.setattr(ann, "measured", lambda *a: (1, 1.0))  # far too few probes
+    monkeypatch.setattr(ann, "QUERY_NUMBERS", 50)
+    assert found(ann.nearest(df, df.where("vec_id % 20 = 0"), k=250)) == want
+    few = df.where("vec_id < 9")
+    assert found(ann.nearest(few, few, k=20)) == brute(ids[:9], vectors[:9], ids[:9], 20)
