@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.operators import catalog
 from lorewell.operators.lexical import matches
+from lorewell.sources.keyed import KeyedTable
 
 #: Run states of a document, and the limits of one upload.
 PENDING, INDEXING, CANCELED = "pending", "indexing", 3
@@ -53,6 +54,12 @@ def to_parse(rows: DataFrame, kb_id: object, ids: Sequence[object], user: object
     return now, message
 
 
+def mark_pending(table: KeyedTable, kb_id: object, ids: Sequence[object]) -> None:
+    """Documents with one of ``ids`` in the base are pending again, in a keyed table: only the buckets of these ids are written."""
+    chosen = within_base(table.find(*ids), kb_id, ids).select("id")
+    table.merge(chosen, lambda old, _: catalog.updated(old, F.lit(True), run_status=PENDING, status=1, progress=0.0))
+
+
 def to_index(messages: DataFrame, rows: DataFrame) -> DataFrame:
     """Documents that messages name and that are still pending; repeated messages name them once."""
     named = messages.select(F.col("document_id").alias("id")).distinct()

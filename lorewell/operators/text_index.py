@@ -21,6 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewell.functions import text as T
 from lorewell.operators.lexical import B, BROADCAST_TERMS, K1, postings, query_terms, top_k
 from lorewell.sources.scratch import shared_path
 
@@ -215,6 +216,18 @@ class TextIndex:
         scores, _, later = self._chosen(*found, k)
         return top_k(scores.unionByName(self._scores(found[0], later)), k)
 
+    def scored(self, queries: DataFrame, hits: DataFrame, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+        """query_id, id, score of given ``hits`` (query_id, id, content), by the index's statistics; those that share no term have none."""
+        found = self._bounds(queries, query_id, query_text)
+        if found is None:
+            return hits.select("query_id", "id", F.lit(0.0).alias("score")).limit(0)
+        gains = found[1].select("query_id", "term", "gain", "mean").distinct()
+        words = hits.select("query_id", "id", T.tokens(F.col("content")).alias("t"))
+        words = words.select("query_id", "id", F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term is not null")
+        tf = words.groupBy("query_id", "id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        part = F.col("gain") * _weight(F.col("tf"), F.col("length"), F.col("mean"))
+        return tf.join(gains, ["query_id", "term"]).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
     def reads(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
         """postings, read: entries that the queries' terms have, and those that a search for ``k`` reads. A row."""
         blocks, heads = self._bounds(queries, query_id, query_text)

@@ -430,3 +430,9 @@ _BOUNDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, unnest({[float(x) for x i
 SQL["a12_families"] = f"""WITH seen AS ({_seen()}), whole AS (SELECT metric, labels, count(*) AS n, round(sum(value), 6) AS total FROM seen GROUP BY ALL), bounds AS ({_BOUNDS})
 SELECT metric, labels, NULL::DOUBLE AS le, n, total FROM whole
 UNION ALL SELECT w.metric, w.labels, le, (SELECT count(*) FROM seen s WHERE s.metric = w.metric AND s.labels = w.labels AND value <= le), total FROM whole w JOIN bounds USING (metric)"""
+
+SQL["v11_stored"], SQL["v7_stored"] = SQL["v11_retrieve"], SQL["v7_hybrid"]
+SQL["src1_files"] = "SELECT n_nationkey, n_name AS name, true AS own_id FROM nation"
+SQL["snk5_messages"] = "SELECT 'document_index' AS topic, o_orderkey::VARCHAR AS document_id, o_custkey::VARCHAR AS base FROM orders WHERE o_orderkey % 5 > 0"
+SQL["src7_folder"] = "SELECT event_id::VARCHAR AS document_id, event_type AS tenant_id FROM events WHERE event_id % 10 > 0"
+SQL["snk6_marked"] = f"WITH {LIB} SELECT id, CASE WHEN kb_id = 3 AND id % 2 = 1 AND id < 2000 THEN 'pending' ELSE run_status END AS run_status, CASE WHEN kb_id = 3 AND id % 2 = 1 AND id < 2000 THEN 0.0 ELSE 1.0 END::DOUBLE AS progress FROM lib"

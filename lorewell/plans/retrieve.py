@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.operators import fusion
 from lorewell.operators.lexical import bm25, threshold_top_k, top_k
+from lorewell.operators.text_index import TextIndex
 from lorewell.operators.vector import knn
 
 OVERFETCH = 3
@@ -30,7 +31,7 @@ def retrieve(
     rerank: Callable[[Column, Column], Column] = shared_terms,
     doc_ids: Sequence[object] | None = None,
     near: Callable[[DataFrame, int], DataFrame] | None = None,
-    text: Callable[[DataFrame, int], DataFrame] | None = None,
+    text: TextIndex | None = None,
 ) -> DataFrame:
     """query_id, id, score, rank. ``chunks``: id, content, embedding; ``queries``: query_id, query, query_vector.
 
@@ -38,8 +39,9 @@ def retrieve(
     reads the text, ``fulltext`` no vector. Three times ``k`` candidates are reranked; those of a score of
     ``least`` or more stay, the ``k`` best of them. ``doc_ids`` narrows the hits; statistics span all chunks.
 
-    ``near`` and ``text`` answer (queries, number of hits) from stored indexes in place of scans, such as
-    ``VectorIndex.search`` and ``TextIndex.search``. They hold all chunks, so they can't be narrowed.
+    ``near``, such as ``VectorIndex.search``, answers (queries, number of hits) from a stored index in place of a scan; so does
+    ``text``, which also scores the texts of neighbours that are not among its best hits: with them, the best candidates
+    are those of a scan. Stored indexes hold all chunks, so they can't be narrowed.
     """
     if k <= 0:
         raise ValueError("k has to be above 0")
@@ -47,9 +49,13 @@ def retrieve(
         raise ValueError("a stored index can't be narrowed to documents")
     among = F.col("doc_id").isin(list(doc_ids)) if doc_ids else None
     pool = chunks if among is None else chunks.where(among)
-    found = text(queries, k * OVERFETCH) if text else bm25(chunks, queries, "id", "content", among=among)
+    found = text.search(queries, k * OVERFETCH).drop("rank") if text else bm25(chunks, queries, "id", "content", among=among)
     if mode != "fulltext":
-        found = fusion.summed(found, near(queries, k * OVERFETCH) if near else knn(pool, queries, k * OVERFETCH, "id", "embedding"))
+        close = near(queries, k * OVERFETCH) if near else knn(pool, queries, k * OVERFETCH, "id", "embedding")
+        if text:
+            others = close.select("query_id", "id").join(found, ["query_id", "id"], "left_anti").join(chunks.select("id", "content"), "id")
+            found = found.unionByName(text.scored(queries, others))
+        found = fusion.summed(found, close)
     candidates = top_k(found, k * OVERFETCH)
     return threshold_top_k(fusion.reranked(candidates, pool, queries, rerank), least, k)
 

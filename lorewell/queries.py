@@ -16,7 +16,7 @@ from lorewell.operators.vector_index import VectorIndex
 from lorewell.plans import ingest as ingestion
 from lorewell.plans.embedding import embedded
 from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
-from lorewell.sources import tables
+from lorewell.sources import files, tables
 from lorewell.sources.keyed import KeyedTable
 from lorewell.sources.scratch import shared_path
 from lorewell.streaming import messages, outbox, retries, stateful
@@ -311,6 +311,26 @@ def v15_embedding(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "chunk_index", F.md5("content").alias("content"), *[F.get("content_vector", i).alias(f"x{i}") for i in range(3)], "embed_error")
 
 
+def v11_stored(spark: SparkSession, d: str) -> DataFrame:
+    """``v11_retrieve`` from a stored text index."""
+    index = TextIndex.create(spark, shared_path(spark, "text-index"), 64)
+    index.add(_contents(spark, d))
+    found = retrieve(_contents(spark, d), _asked(spark, d), mode="fulltext", k=10, least=0.6, text=index)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def v7_stored(spark: SparkSession, d: str) -> DataFrame:
+    """``v7_hybrid`` from stored indexes; all lists are probed and all codes re-ranked, so that the neighbours are exact."""
+    rows = _index(spark, d)
+    texts = TextIndex.create(spark, shared_path(spark, "text-index"), 64)
+    texts.add(rows)
+    vectors = VectorIndex.build(rows.where("embedding is not null"), shared_path(spark, "vector-index"))
+    every = vectors.about()
+    near = lambda q, n: vectors.search(q, n, candidates=every["n"], probes=every["lists"])
+    found = retrieve(rows, _hybrid_asked(spark, d), mode="hybrid", k=10, least=0.4, near=near, text=texts)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def v16_doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     df = _chunks(spark, d).where(lexical.matches(F.col("content"), "the of"))
     return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_index").alias("first_hit"))
@@ -618,6 +638,30 @@ def sc21_object_keys(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", key.alias("key"))
 
 
+def src1_files(spark: SparkSession, d: str) -> DataFrame:
+    """Names written as a file each, and read as documents."""
+    path = shared_path(spark, "files")
+    _t(spark, d, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    found = files.load_texts(spark, f"{path}/*")
+    return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), T.trim(F.col("text")).alias("name"), (F.col("doc_id") == F.md5("path")).alias("own_id"))
+
+
+def snk5_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as messages of a topic; rows of nulls are none."""
+    own = F.col("o_orderkey") % 5 > 0
+    rows = _t(spark, d, "orders").select(*[F.when(own, F.col(c).cast("string")).alias(n) for c, n in (("o_orderkey", "document_id"), ("o_custkey", "knowledge_base_id"))])
+    found = messages.as_messages(rows, "document_index")
+    return found.select("topic", F.get_json_object("value", "$.document_id").alias("document_id"), F.get_json_object("value", "$.knowledge_base_id").alias("base"))
+
+
+def snk6_marked(spark: SparkSession, d: str) -> DataFrame:
+    """``w7_to_parse`` on a keyed table, of which only the buckets of the named documents are written."""
+    table = KeyedTable.create(spark, shared_path(spark, "library"), _library(spark, d).schema, buckets=16)
+    table.put(_library(spark, d))
+    documents.mark_pending(table, 3, list(range(1, 2000, 2)))
+    return table.read().select("id", "run_status", "progress")
+
+
 def snk8_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "orders").select("o_custkey")
     new = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
@@ -804,6 +848,16 @@ def st2_task_states(spark: SparkSession, d: str) -> DataFrame:
     return graph.keep_last(spark.read.parquet(out).drop("part"), ["id"], "batch").drop("batch")
 
 
+def src7_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of files in a folder, streamed from it; lines that can't be read are dropped."""
+    path, out, marks = (shared_path(spark, n) for n in ("folder", "lines", "lines-log"))
+    body = F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("document_id"), F.col("event_type").alias("tenant_id"))))
+    _t(spark, d, "events").select(body.alias("value")).repartition(4).write.text(path)
+    found = messages.parsed(messages.read_folder(spark, path, 1), schemas.INDEX_MESSAGE, "document_id")
+    messages.run_batches(found, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), marks).awaitTermination()
+    return spark.read.parquet(out).select("document_id", "tenant_id")
+
+
 def st2_task_timers(spark: SparkSession, d: str) -> DataFrame:
     """State of each user's task after all outcomes, by keyed state with timers; those with tries left have become due by themselves."""
     events = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events*.parquet")

@@ -90,6 +90,6 @@ def test_retrieval_reads_the_index(spark, chunks, queries, tmp_path):
     index.add(chunks)
     whole = chunks.selectExpr("id", "coalesce(content, '') AS content")
     want = rows(retrieve(whole, queries, "fulltext", k=5, least=0.2))
-    assert rows(retrieve(whole, queries, "fulltext", k=5, least=0.2, text=index.search)) == want and want
+    assert rows(retrieve(whole, queries, "fulltext", k=5, least=0.2, text=index)) == want and want
     with pytest.raises(ValueError):
-        retrieve(whole, queries, "fulltext", doc_ids=[1], text=index.search)
+        retrieve(whole, queries, "fulltext", doc_ids=[1], text=index)
