@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 
-#: Header names of parts that have none, and the separators tried in order.
+#: Header names of parts that have none, the separators tried in order, and the patterns of headers.
 NO_HEADER, PREAMBLE = "无标题", "前言/摘要"
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", " "]
 NUMBERED = r"^([0-9]+\.)+\s+(.+)$"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lorewell.functions.text import NO_HEADER_ENDS, SENTENCE_ENDS
 from lorewell.operators.metrics import HISTOGRAMS
-from lorewell.operators.quality import CONJUNCTIONS, PRONOUNS
-from lorewell.operators.split import SEPARATORS
+from lorewell.operators.quality import CONJUNCTIONS, CUT_OFF, PRONOUNS
+from lorewell.operators.split import CHINESE, NO_HEADER, NUMBERED, PREAMBLE, SEPARATORS
 
+_listed = lambda marks: ", ".join(f"'{m}'" for m in marks)
 WHITE = r"E' \t\n\r\x0b\f'"
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 ATOMS = rf"list_filter(list_transform(regexp_split_to_array(coalesce({{0}}, ''), '[。！？.!?\n]+'), lambda x: trim(x, {WHITE})), lambda x: x <> '')"
@@ -47,10 +49,10 @@ LINES = rf"""
 l0 AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l1 AS (SELECT doc_id, unnest(range(0, len(lines))) AS line, unnest(list_transform(lines, lambda x: trim(x, {WHITE}))) AS s FROM l0),
 l2 AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY line), '') AS next FROM l1),
-l3 AS (SELECT *, CASE WHEN regexp_matches(s, '^([0-9]+\.)+\s+(.+)$') THEN 'numbered' WHEN regexp_matches(s, '^第[一二三四五六七八九十百千0-9]+[章节部分条款]\s*(.*)$') THEN 'chinese'
-  WHEN s <> '' AND length(s) < 50 AND right(s, 1) NOT IN ('。', '？', '！', '.', '?', '!', ';', '；', ':', '：') AND next = '' THEN 'heuristic' END AS kind FROM l2),
+l3 AS (SELECT *, CASE WHEN regexp_matches(s, '{NUMBERED}') THEN 'numbered' WHEN regexp_matches(s, '{CHINESE}') THEN 'chinese'
+  WHEN s <> '' AND length(s) < 50 AND right(s, 1) NOT IN ({_listed(NO_HEADER_ENDS)}) AND next = '' THEN 'heuristic' END AS kind FROM l2),
 h AS (SELECT doc_id, line, CASE kind WHEN 'numbered' THEN greatest(1, length(split_part(s, ' ', 1)) - length(replace(split_part(s, ' ', 1), '.', ''))) WHEN 'chinese' THEN 1 ELSE 2 END AS level,
-  CASE kind WHEN 'numbered' THEN regexp_extract(s, '^([0-9]+\.)+\s+(.+)$', 2) ELSE s END AS title, kind FROM l3 WHERE kind IS NOT NULL)
+  CASE kind WHEN 'numbered' THEN regexp_extract(s, '{NUMBERED}', 2) ELSE s END AS title, kind FROM l3 WHERE kind IS NOT NULL)
 """
 
 SQL["c3_headers"] = f"WITH {LINES} SELECT * FROM h"
@@ -58,9 +60,9 @@ SQL["c3_headers"] = f"WITH {LINES} SELECT * FROM h"
 SECTIONS = f"""{LINES},
 ends AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS stop, min(line) OVER (PARTITION BY doc_id) AS first FROM h),
 parts AS (
-  SELECT doc_id, -1 AS line, '无标题' AS header_context, 0 AS header_level, 'implicit' AS header_type, text AS content FROM l0 WHERE doc_id NOT IN (SELECT doc_id FROM h)
+  SELECT doc_id, -1 AS line, '{NO_HEADER}' AS header_context, 0 AS header_level, 'implicit' AS header_type, text AS content FROM l0 WHERE doc_id NOT IN (SELECT doc_id FROM h)
   UNION ALL
-  SELECT e.doc_id, -1, '前言/摘要', 0, 'implicit', array_to_string(lines[1:first], chr(10)) FROM ends e JOIN l0 USING (doc_id)
+  SELECT e.doc_id, -1, '{PREAMBLE}', 0, 'implicit', array_to_string(lines[1:first], chr(10)) FROM ends e JOIN l0 USING (doc_id)
   WHERE e.line = first AND first > 0 AND trim(array_to_string(lines[1:first], chr(10)), {WHITE}) <> ''
   UNION ALL
   SELECT e.doc_id, line, title, level, kind, trim(array_to_string(lines[line + 1:coalesce(stop, len(lines))], chr(10)), {WHITE}) FROM ends e JOIN l0 USING (doc_id)
@@ -129,13 +131,13 @@ p AS (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS
 o AS (SELECT *, coalesce(length(regexp_replace(content, '\s', '', 'g')) / nullif(n, 0) * 10, 0) AS density,
   coalesce(list_max(list_filter(range(0, least(n, length(prev)) + 1), lambda i: right(prev, i) = left(content, i))) / nullif(least(n, length(prev)), 0), 0) AS ratio FROM p),
 v AS (SELECT *, CASE WHEN n BETWEEN 300 AND 800 THEN 20.0 WHEN n BETWEEN 100 AND 299 THEN 12.0 WHEN n BETWEEN 801 AND 1000 THEN 16.0 WHEN n < 100 THEN 6.0 ELSE 10.0 END::double AS length_score,
-  CASE WHEN bare = '' THEN 0 ELSE CASE WHEN right(bare, 1) IN ('。', '？', '！', '.', '?', '!') THEN 10 ELSE 5 END
+  CASE WHEN bare = '' THEN 0 ELSE CASE WHEN right(bare, 1) IN ({_listed(SENTENCE_ENDS)}) THEN 10 ELSE 5 END
     + CASE WHEN regexp_matches(bare, '^({_CONJ})') THEN 0 ELSE 5 END + CASE WHEN regexp_matches(bare, '^({_PRON})') THEN 0 ELSE 5 END END::double AS structure,
   density + (1 - ratio) * 10 AS content_score,
   greatest(0, 20 - 2 * least(5, len(regexp_extract_all(content, '{_PRON}'))) - 3 * least(3, len(regexp_extract_all(content, '{_CONJ}'))))::double AS semantic,
-  array_to_string(list_filter([CASE WHEN n < 100 THEN 'merge_with_prev' END, CASE WHEN n > 1000 THEN 'split_further' END, CASE WHEN right(bare, 1) IN (',', '，', '、', ';', '；', ':', '：') THEN 'extend_boundary' END, 'generate_qa'], lambda x: x IS NOT NULL), ',') AS suggestions,
+  array_to_string(list_filter([CASE WHEN n < 100 THEN 'merge_with_prev' END, CASE WHEN n > 1000 THEN 'split_further' END, CASE WHEN right(bare, 1) IN ({_listed(CUT_OFF)}) THEN 'extend_boundary' END, 'generate_qa'], lambda x: x IS NOT NULL), ',') AS suggestions,
   array_to_string(list_filter([CASE WHEN n < 100 THEN 'chunk_too_short' END, CASE WHEN n > 1000 THEN 'chunk_too_long' END,
-    CASE WHEN right(bare, 1) IN (',', '，', '、', ';', '；', ':', '：') THEN 'truncated_end' END, CASE WHEN regexp_matches(bare, '^({_PRON})') THEN 'dangling_reference' END,
+    CASE WHEN right(bare, 1) IN ({_listed(CUT_OFF)}) THEN 'truncated_end' END, CASE WHEN regexp_matches(bare, '^({_PRON})') THEN 'dangling_reference' END,
     CASE WHEN density < 5 THEN 'low_info_density' END, CASE WHEN ratio > 0.5 THEN 'high_overlap' END, 'low_qa_coverage'], lambda x: x IS NOT NULL), ',') AS issues FROM o),
 scores AS (SELECT doc_id, chunk_index, length_score AS length, structure, round(content_score, 6) AS content_score, semantic, 0.0::double AS qa,
   round(length_score + structure + content_score + semantic, 6) AS total, issues, suggestions FROM v)
