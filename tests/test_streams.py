@@ -178,3 +178,25 @@ def test_scans_run_as_a_stream(spark, scan, tmp_path):
         time.sleep(0.05)
     query.stop()
     assert len(sent) >= 120 and len(sent) == len({r["id"] for r in sent})
+
+
+def test_a_task_and_a_batch_cost_few_calls_to_the_state(spark, feed, tmp_path):
+    """Calls to the state store used to grow with rows: a call an item, and a dozen a task, each a round trip."""
+    began, f = time.time(), feed(EVENTS)
+    f.put([(i, i, "fail") for i in range(6000)])
+    last, due = run(stateful.timed_tasks(f.stream()), tmp_path)
+    assert len(last) == 6000 and set(last.values()) == {("retrying", 1, stateful.next_retry(i, 1)) for i in range(6000)} and set(due.values()) == {1}
+    assert time.time() - began < 60
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    batch = stateful.BatchProcessor(400, 1)
+    batch.handle = batch.items = batch.count = State()
+    batch.count = type("Count", (State,), {"get": lambda self: None})()
+    now = type("Now", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    out = list(batch.handleInputRows(("k",), iter([type("R", (), {"item": str(i)}) for i in range(4100)]), now))
+    assert [len(r["items"]) for r in out] == [400] * 10 and [r["batch"] for r in out] == list(range(10))
+    assert calls == ["appendList", "registerTimer", "update"]
