@@ -16,7 +16,7 @@ from lorewell.sources.scratch import shared_path
 #: numbers (queries x dimensions) that are sent to the executors at once
 BLOCK = 4_000_000
 #: scores that a task holds at once
-SCORES = 4_000_000
+SCORES = 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,8 +30,21 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
+def first_of(groups: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` first of each group by score from the highest, then by id; in order of groups."""
+    order = np.lexsort((pd.factorize(ids, sort=True)[0] if ids.dtype == object else ids, -scores, groups))
+    own = groups[order]
+    begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    place = np.arange(len(own)) - np.repeat(begins, np.diff(np.r_[begins, len(own)]))
+    return order[place < k]
+
+
 class Nearest:
-    """The ``k`` best of each query so far; smaller ids win ties. Memory is bounded by queries x k and one batch."""
+    """The ``k`` best of each query so far; smaller ids win ties.
+
+    Of a step of at most ``SCORES`` scores only those go on that reach the k-th of the step and the k-th so far, in arrays
+    of numbers, so memory is bounded by queries x k and one step.
+    """
 
     def __init__(self, asked: pd.DataFrame, k: int) -> None:
         self.k = k
@@ -39,26 +52,33 @@ class Nearest:
         self.ids = asked["query_id"].to_numpy()
         self.unit = np.stack(asked["v"].to_numpy()).astype(np.float64)
         self.least = np.full(len(asked), -np.inf)
-        self.held = pd.DataFrame({"q": np.empty(0, np.int64), "id": np.empty(0, object), "score": np.empty(0)})
+        self.parts, self.rows = [], 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, have: np.ndarray | None) -> None:
         step = max(1, SCORES // len(self.ids))
         for at in range(0, len(ids), step):
             s = np.round((1 + vectors[at : at + step] @ self.unit.T) / 2, 6)
-            fit = s >= self.least
+            s[np.isnan(s)] = -np.inf
             if self.wants is not None:
-                fit &= have[at : at + step, None] == self.wants[None, :]
-            row, q = np.nonzero(fit)
-            more = pd.DataFrame({"q": q, "id": ids[at : at + step][row].astype(object), "score": s[row, q]})
-            self.held = pd.concat([self.held, more], ignore_index=True)
-            if len(self.held) > 4 * self.k * len(self.ids):
+                s[have[at : at + step, None] != self.wants[None, :]] = -np.inf
+            least = np.maximum(self.least, np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k]) if len(s) > self.k else self.least
+            row, q = np.nonzero((s >= least) & (s > -np.inf))
+            self.parts.append((q.astype(np.int32), ids[at : at + step][row], s[row, q]))
+            self.rows += len(q)
+            if self.rows > 4 * self.k * len(self.ids):
                 self.trim()
 
     def trim(self) -> None:
-        self.held = self.held.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(self.k).reset_index(drop=True)
-        n, low = self.held.groupby("q")["score"].agg(["size", "min"]).T.to_numpy() if len(self.held) else (np.empty(0), np.empty(0))
+        if not self.parts:
+            return
+        q, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        best = first_of(q, scores, ids, self.k)
+        q, ids, scores = q[best], ids[best], scores[best]
+        n = np.bincount(q, minlength=len(self.ids))
+        last = np.cumsum(n) - 1
         full = n >= self.k
-        self.least[np.unique(self.held["q"].to_numpy(np.int64))[full]] = low[full]
+        self.least[full] = scores[last[full]]
+        self.parts, self.rows = [(q, ids, scores)], len(q)
 
 
 def _best(rows: DataFrame, asked: pd.DataFrame, k: int, d: int, schema: str) -> DataFrame:
@@ -73,11 +93,11 @@ def _best(rows: DataFrame, asked: pd.DataFrame, k: int, d: int, schema: str) ->
                 u = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 best.add(batch.column(0).to_numpy(zero_copy_only=False), u, batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None)
         best.trim()
-        if len(best.held):
-            q = best.held["q"].to_numpy(np.int64)
-            own = {"query_id": best.ids[q], **({"want": best.wants[q]} if best.wants is not None else {})}
-            found = pa.RecordBatch.from_pandas(best.held.assign(**own)[[*own, "id", "score"]], preserve_index=False)
-            yield found.set_column(len(own), "id", found.column(len(own)).cast(kind))
+        if best.rows:
+            q, ids, scores = best.parts[0]
+            own = pd.DataFrame({"query_id": best.ids[q], **({"want": best.wants[q]} if best.wants is not None else {}), "score": scores})
+            found = pa.RecordBatch.from_pandas(own, preserve_index=False)
+            yield found.add_column(found.num_columns - 1, "id", pa.array(ids, kind, from_pandas=True))
 
     return rows.mapInArrow(run, schema)
 

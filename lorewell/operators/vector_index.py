@@ -17,13 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.operators.lexical import top_k
-from lorewell.operators.vector import dot, knn, unit
+from lorewell.operators.vector import dot, first_of, knn, unit
 from lorewell.sources.scratch import shared_path
 
 #: components of a code's byte, and words of a codebook
@@ -33,7 +32,9 @@ MOST_LISTS, SAMPLE_NUMBERS, ROUNDS = 4096, 16_000_000, 10
 #: queries that are compared with all rows to set the number of lists to probe
 MEASURED = 100
 #: rows of a list that one task reads, and scores a task holds at once
-LIST_ROWS, SCORES = 500_000, 4_000_000
+LIST_ROWS, SCORES = 500_000, 1_000_000
+#: numbers of the tables of distances to words that a task holds at once
+TABLE = 4_000_000
 #: candidates up to which they are sent to every executor instead of shuffling vectors
 BROADCAST_CANDIDATES = 1_000_000
 
@@ -257,10 +258,13 @@ class VectorIndex:
                         asked.append((part.column(3).slice(a, b - a).to_pylist(), _matrix(part.column(4).slice(a, b - a), d)))
                     elif asked:
                         if held is None:
-                            names, u = [q for x, _ in asked for q in x], np.concatenate([x for _, x in asked])
-                            held = best.places(names), u @ centres[lists[a]], np.einsum("qps,pws->qpw", _parts(u), words)
+                            held = best.places([q for x, _ in asked for q in x]), np.concatenate([x for _, x in asked])
                         code = np.frombuffer(b"".join(part.column(6).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-                        best.add(*held, code, int(lists[a]), part.column(5).slice(a, b - a).to_numpy(zero_copy_only=False), part.column(7).slice(a, b - a).to_numpy())
+                        ids, batch = part.column(5).slice(a, b - a).to_numpy(zero_copy_only=False), part.column(7).slice(a, b - a).to_numpy()
+                        step = max(1, TABLE // words[..., 0].size)
+                        for at in range(0, len(held[0]), step):
+                            u = held[1][at : at + step]
+                            best.add(held[0][at : at + step], u @ centres[lists[a]], np.einsum("qps,pws->qpw", _parts(u), words), code, int(lists[a]), ids, batch)
             if types:
                 yield best.taken(types)
 
@@ -269,15 +273,13 @@ class VectorIndex:
 
 
 class Best:
-    """The ``n`` best codes of each query that a task has seen; memory is bounded by queries x n and a batch."""
+    """The ``n`` best codes of each query that a task has seen, as arrays; memory is bounded by queries x n and a step of ``SCORES``."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.place, self.least = n, {}, np.empty(0)
-        self.held = [pd.DataFrame({"q": np.empty(0, np.int64), "list": np.empty(0, np.int32), "id": np.empty(0, object), "batch": np.empty(0, np.int32), "score": np.empty(0)})]
-        self.rows = 0
+        self.n, self.place, self.least, self.held, self.rows = n, {}, np.empty(0), [], 0
 
     def places(self, names: list) -> np.ndarray:
-        out = np.array([self.place.setdefault(x, len(self.place)) for x in names], np.int64)
+        out = np.array([self.place.setdefault(x, len(self.place)) for x in names], np.int32)
         self.least = np.r_[self.least, np.full(len(self.place) - len(self.least), -np.inf)]
         return out
 
@@ -289,22 +291,31 @@ class Best:
             for p in range(some.shape[1]):
                 scores += table[:, p, some[:, p]]
             scores = np.round(scores, 9)  # equal codes are equal whatever the order of sums
-            q, row = np.nonzero(scores >= self.least[places][:, None])
-            self.held.append(pd.DataFrame({"q": places[q], "list": np.int32(number), "id": ids[at : at + step][row].astype(object), "batch": batch[at : at + step][row], "score": scores[q, row]}))
+            least = self.least[places]
+            if len(some) > self.n:
+                least = np.maximum(least, np.partition(scores, len(some) - self.n, axis=1)[:, len(some) - self.n])
+            q, row = np.nonzero(scores >= least[:, None])
+            self.held.append((places[q], np.full(len(q), number, np.int32), ids[at : at + step][row], batch[at : at + step][row], scores[q, row]))
             self.rows += len(q)
-            if self.rows > 4 * self.n * max(100, len(self.place)):
+            if self.rows > max(SCORES, 2 * self.n * len(self.place)):
                 self.trim()
 
     def trim(self) -> None:
-        every = pd.concat(self.held, ignore_index=True).sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-        every = every.groupby("q", sort=False).head(self.n)
-        last = every.groupby("q", sort=False)["score"].agg(["size", "min"])
-        full = last["size"] >= self.n
-        self.least[last.index[full].to_numpy(np.int64)] = last["min"][full]
-        self.held, self.rows = [every], len(every)
+        if not self.held:
+            return
+        every = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        best = first_of(every[0], every[4], every[2], self.n)
+        every = [x[best] for x in every]
+        n = np.bincount(every[0], minlength=len(self.place))
+        last, full = np.cumsum(n) - 1, n >= self.n
+        self.least[full] = every[4][last[full]]
+        self.held, self.rows = [tuple(every)], len(best)
 
     def taken(self, types: list[pa.DataType]) -> pa.RecordBatch:
         self.trim()
-        names, held = list(self.place), self.held[0]
-        own = [[names[q] for q in held["q"].to_numpy(np.int64)], *[held[c].to_list() for c in ("list", "id", "batch", "score")]]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, types, strict=True)], names=["query_id", "list", "id", "batch", "score"])
+        names = ["query_id", "list", "id", "batch", "score"]
+        if not self.held:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
+        q, *others = self.held[0]
+        own = [pa.array(list(self.place), types[0]).take(pa.array(q)), *[pa.array(x, t, from_pandas=True) for x, t in zip(others, types[1:], strict=True)]]
+        return pa.RecordBatch.from_arrays(own, names=names)

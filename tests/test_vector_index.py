@@ -3,8 +3,10 @@
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from lorewell.operators import vector
 from lorewell.operators.vector import knn
 from lorewell.operators.vector_index import VectorIndex, encoded, kmeans, nearest_row
 
@@ -90,3 +92,21 @@ def test_index_takes_odd_vectors(spark, tmp_path):
     assert hits(index.search(asked, 3, probes=2)) == {(1, 1, 1.0), (1, 8, 1.0), (1, 2, 0.5)}
     with pytest.raises(ValueError):
         VectorIndex.build(odd.where("id = 3"), str(tmp_path / "none"))
+
+
+def test_a_step_of_scores_keeps_the_best_of_each_query_only():
+    """All scores of a step used to be held as rows of objects until the first trim."""
+    rng = np.random.default_rng(5)
+    asked, k = pd.DataFrame({"query_id": range(300), "v": list(rng.normal(size=(300, 8)))}), 5
+    vectors, best, most = rng.normal(size=(9000, 8)), vector.Nearest(asked, 5), 0
+    vectors[100:140] = vectors[7]  # ties go to the lower id
+    vectors[50] = np.nan
+    for at in range(0, 9000, 1000):
+        best.add(np.arange(at, at + 1000), vectors[at : at + 1000], None)
+        most = max(most, best.rows)
+    best.trim()
+    scores = np.round((1 + vectors @ np.stack(asked["v"].to_numpy()).T) / 2, 6)
+    want = [(q, i, scores[i, q]) for q in range(300) for i in sorted(np.flatnonzero(~np.isnan(scores[:, q])), key=lambda i: (-scores[i, q], i))[:k]]  # noqa: B023
+    q, ids, found = best.parts[0]
+    assert list(zip(q, ids, found, strict=True)) == want
+    assert most <= 5 * k * 300 + 300 * 50
