@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.sources.scratch import kept
 
 #: Fixed values of the record format.
 RECORD, FIELD, DONE = "##", "<|>", "<|DONE|>"
@@ -63,7 +64,9 @@ def merged_relations(found: DataFrame) -> DataFrame:
     The fold goes by (chunk_index, record_index). The n-th weight from the end counts 2^-n in it (the first
     one twice that), so it is a weighted sum. Tasks keep the last ``HALVINGS`` weights of a relation before the shuffle; those
     before are halved to nothing that a double can hold. Only distinct descriptions and sources are gathered. Empty descriptions add nothing.
+    ``found`` is written first: its answers are parsed once, not once for descriptions, sources and weights each.
     """
+    found = kept(found, "relations")
     at = F.struct("chunk_index", "record_index")
     told = found.where("description <> ''")
     first_text = told.groupBy("src_id", "dst_id", "description").agg(F.min(at).alias("at"))

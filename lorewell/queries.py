@@ -18,7 +18,7 @@ from lorewell.plans.embedding import embedded
 from lorewell.plans.retrieve import retrieve, retrieve_bases, shared_terms
 from lorewell.sources import files, tables
 from lorewell.sources.keyed import KeyedTable
-from lorewell.sources.scratch import shared_path
+from lorewell.sources.scratch import kept, shared_path
 from lorewell.streaming import messages, outbox, retries, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,6 +372,7 @@ def g6_upsert(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.substring("src_id", -1, 1).cast("int") % 2 == 0, "entity").otherwise("relation")
     docs = found.groupBy("type", "src_id").agg(F.avg("weight").alias("weight"), F.max("description").alias("description"), F.sort_array(F.collect_set("dst_id")).alias("source_ids"))
     docs = docs.select(F.col("src_id").alias("id"), kind.alias("graph_type"), "weight", "description", "source_ids", F.when(F.col("type") == "R", 1).when(F.col("type") == "N", 2).otherwise(3).alias("updated_at"))
+    docs = kept(docs, "graph-batches")  # two batches, parsed once
     out = graph.upsert_docs(docs.where("updated_at = 1"), docs.where("updated_at > 1"))
     return out.select("id", "graph_type", F.round("weight", 6).alias("weight"), "description", F.array_join("source_ids", ",").alias("source_ids"), "updated_at")
 
@@ -382,6 +383,7 @@ def snk2_graph_docs(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.substring("src_id", -1, 1).cast("int") % 2 == 0, "entity").otherwise("relation")
     docs = found.groupBy("type", "src_id").agg(F.avg("weight").alias("weight"), F.max("description").alias("description"), F.sort_array(F.collect_set("dst_id")).alias("source_ids"))
     docs = docs.select(F.col("src_id").alias("id"), kind.alias("graph_type"), "weight", "description", "source_ids", F.when(F.col("type") == "R", 1).when(F.col("type") == "N", 2).otherwise(3).alias("updated_at"))
+    docs = kept(docs, "graph-batches")  # two batches, parsed once
     table = KeyedTable.create(spark, shared_path(spark, "graph-docs"), docs.schema, buckets=8)
     table.put(_t(spark, d, "supplier").select(F.concat(F.lit("supp-"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("entity").alias("graph_type"), F.col("s_acctbal").cast("double").alias("weight"), F.col("s_name").alias("description"), F.array().cast("array<string>").alias("source_ids"), F.lit(0).alias("updated_at")))
     for batch in (docs.where("updated_at = 1"), docs.where("updated_at > 1")):

@@ -289,3 +289,22 @@ def test_prompts(spark):
     assert got == "{b} and 2: {x}" and one(spark, prompts.numbered(F.col("s")), s=["u", "v"]) == "1. u\n2. v"
     with pytest.raises(KeyError):
         prompts.filled("{missing}")
+
+
+def test_answers_are_parsed_once_for_merged_relations(spark):
+    """Descriptions, sources and weights each used to parse every answer again."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    schema = "chunk_index int, record_index int, source_id string, src_id string, dst_id string, type string, description string, weight double"
+    rows = [(i, 0, f"c{i}", "A", "B", "t", f"d{i % 3}", float(i)) for i in range(12)]
+    (got,) = graph.merged_relations(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).collect()
+    assert parsed.value == 12
+    weight = 0.0
+    for i in range(1, 12):
+        weight = (weight + i) / 2
+    assert (got["description"], got["source_id"], round(got["weight"], 9)) == ("d0\nd1\nd2", [f"c{i}" for i in range(12)], round(weight, 9))
