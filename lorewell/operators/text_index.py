@@ -17,18 +17,25 @@ the statistics when their segment is merged.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.operators.lexical import B, BROADCAST_TERMS, K1, postings, query_terms, top_k
+from lorewell.operators.vector import first_of
 from lorewell.sources.scratch import shared_path
 
 #: chunks of a range, segments of a level that are merged, and ranges of a query that are scored first
 BLOCK, FAN, FIRST = 256, 4, 4
 #: terms that are named in the filter of the scan
 NAMED_TERMS = 10_000
+#: numbers of a matrix of queries and terms, or queries and chunks, that a task holds at once
+NUMBERS = 4_000_000
 MANIFEST = "segment string, level int, batch int, chunks long, tokens long"
 
 
@@ -184,12 +191,37 @@ class TextIndex:
         heads.select("query_id", "segment", "range", "term", "n", "gain", "mean", "most_gain").write.parquet(path)
         return blocks, self.spark.read.parquet(path)
 
-    def _scores(self, blocks: DataFrame, heads: DataFrame) -> DataFrame:
-        """query_id, id, score of the chunks in the blocks that ``heads`` names."""
-        asked = heads.select("query_id", "segment", "range", "term", "gain", "mean")
-        hits = blocks.join(asked, ["segment", "range", "term"]).select("query_id", "batch", "gain", "mean", F.explode("entries").alias("e"))
-        hits = hits.select("query_id", "batch", "e.id", (F.col("gain") * _weight(F.col("e.tf"), F.col("e.length"), F.col("mean"))).alias("part"))
-        return self._alive(hits).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    def _scores(self, blocks: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+        """query_id, id, score of the chunks in the blocks that ``heads`` names: at least the ``k`` best of each query.
+
+        All postings of a chunk in a segment are in one range, so a range is scored whole in one task: a posting is shuffled
+        once, however many queries have its term, and of a range and a query no more than ``k`` rows leave the task.
+        """
+        keys, kinds = ["segment", "range", "term"], dict(blocks.select("term", F.explode("entries").alias("e")).select("e.*").dtypes)
+        asked = heads.select("query_id", *keys, "gain", "mean")
+        entries = blocks.join(asked.select(*keys).distinct(), keys, "left_semi").select(*keys, "batch", F.explode("entries").alias("e")).select(*keys, "batch", "e.*")
+        no = lambda kind: F.lit(None).cast(kind)
+        query_kind = dict(heads.dtypes)["query_id"]
+        rows = self._alive(entries).select(*keys, F.lit(1).alias("kind"), no(query_kind).alias("query_id"), F.col("tf").cast("double").alias("x"), F.col("length").cast("double").alias("y"), "id")
+        wanted = asked.select(*keys, F.lit(0).alias("kind"), "query_id", F.col("gain").alias("x"), F.col("mean").alias("y"), no(kinds["id"]).alias("id"))
+        dealt = wanted.unionByName(rows).repartition("segment", "range").sortWithinPartitions("segment", "range")
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, held = None, []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                names, numbers = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+                cuts = np.flatnonzero((names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])) + 1
+                for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    own = (batch.column(0)[at].as_py(), numbers[at])
+                    if own != group:
+                        yield from scored_range(held, k)
+                        group, held = own, []
+                    held.append(batch.slice(at, end - at))
+            yield from scored_range(held, k)
+
+        return dealt.mapInArrow(score, f"query_id {query_kind}, id {kinds['id']}, score double")
 
     def _chosen(self, blocks: DataFrame, heads: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(scores of the first ranges, heads of the first, heads of the others that may still count)."""
@@ -201,7 +233,7 @@ class TextIndex:
         keys = ["query_id", "segment", "range"]
         first = heads.join(ranges.where(F.col("place") <= FIRST).select(*keys), keys)
         path = shared_path(self.spark, "first")
-        self._scores(blocks, first).write.parquet(path)
+        self._scores(blocks, first, k).write.parquet(path)
         scores = self.spark.read.parquet(path)
         least = top_k(scores, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
         later = ranges.where(F.col("place") > FIRST).join(least, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-5)  # scores are rounded
@@ -214,7 +246,7 @@ class TextIndex:
             kind = dict(queries.dtypes)[query_id]
             return self.spark.createDataFrame([], f"query_id {kind}, id string, score double, rank int")
         scores, _, later = self._chosen(*found, k)
-        return top_k(scores.unionByName(self._scores(found[0], later)), k)
+        return top_k(scores.unionByName(self._scores(found[0], later, k)), k)
 
     def scored(self, queries: DataFrame, hits: DataFrame, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
         """query_id, id, score of given ``hits`` (query_id, id, content), by the index's statistics; those that share no term have none."""
@@ -238,3 +270,34 @@ class TextIndex:
 
 def _weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def scored_range(parts: list[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best chunks of each query in one range, from rows of the queries' terms (kind 0) and postings (kind 1)."""
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts)
+    kind = rows.column("kind").to_numpy()
+    wanted, found = rows.take(pa.array(np.flatnonzero(kind == 0))), rows.take(pa.array(np.flatnonzero(kind == 1)))
+    if not wanted.num_rows or not found.num_rows:
+        return
+    column = lambda t, name: t.column(name).combine_chunks()
+    terms = column(found, "term").dictionary_encode()
+    ids, queries = column(found, "id").dictionary_encode(), column(wanted, "query_id").dictionary_encode("encode")
+    own = pc.index_in(column(wanted, "term"), value_set=terms.dictionary)
+    held = pc.is_valid(own).to_numpy(zero_copy_only=False)
+    own, q = pc.fill_null(own, 0).to_numpy()[held], queries.indices.to_numpy()[held]
+    gain, mean = column(wanted, "x").to_numpy()[held], column(wanted, "y").to_numpy()[0]
+    weights = np.zeros((len(terms.dictionary), len(ids.dictionary)))
+    weights[terms.indices.to_numpy(), ids.indices.to_numpy()] = _weight(column(found, "x").to_numpy(), column(found, "y").to_numpy(), mean)
+    step = max(1, NUMBERS // max(weights.shape))
+    order = ids.dictionary.to_numpy(zero_copy_only=False)
+    for at in range(0, len(queries.dictionary), step):
+        some = (q >= at) & (q < at + step)
+        gains = np.zeros((min(step, len(queries.dictionary) - at), len(weights)))
+        gains[q[some] - at, own[some]] = gain[some]
+        scores = gains @ weights
+        hit, chunk = np.nonzero(scores > 0)
+        score = np.round(scores[hit, chunk], 6)
+        best = first_of(hit, score, order[chunk], k)
+        yield pa.RecordBatch.from_arrays([queries.dictionary.take(pa.array(hit[best] + at)), ids.dictionary.take(pa.array(chunk[best])), pa.array(score[best])], names=["query_id", "id", "score"])

@@ -93,3 +93,17 @@ def test_retrieval_reads_the_index(spark, chunks, queries, tmp_path):
     assert rows(retrieve(whole, queries, "fulltext", k=5, least=0.2, text=index)) == want and want
     with pytest.raises(ValueError):
         retrieve(whole, queries, "fulltext", doc_ids=[1], text=index)
+
+
+def test_no_more_than_k_rows_of_a_range_and_a_query_leave_a_task(spark, chunks, tmp_path):
+    """A row for every query and posting used to be shuffled, by id for what was removed and again for the sums."""
+    index = TextIndex.create(spark, str(tmp_path / "i"), block=64, fan=9)
+    index.add(chunks.selectExpr("id", "reverse(content) AS content"))
+    index.add(chunks)
+    asked = spark.createDataFrame([(i, "w0 w1 w2") for i in range(30)], "query_id int, query string")
+    blocks, heads = index._bounds(asked, "query_id", "query")
+    found = index._scores(blocks, heads, 2)
+    ranges = heads.select("segment", "range").distinct().count()
+    assert 0 < found.count() <= 2 * 30 * ranges < 30 * 600
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.index("MapInArrow") < text.index("Join")  # joins are below: of postings, not of hits
