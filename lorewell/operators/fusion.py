@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.sources.scratch import kept
+
+#: hits up to which they are sent to every executor
+BROADCAST_HITS = 100_000
+
 
 def summed(*hits: DataFrame) -> DataFrame:
     """Scores added; a hit that a list lacks has score 0 in it. One aggregation, no join."""
@@ -34,6 +39,11 @@ def by_position(hits: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def reranked(hits: DataFrame, contents: DataFrame, queries: DataFrame, score, id_col: str = "id") -> DataFrame:
-    """Hits with ``score(query, content)``, an expression or pandas UDF, in place of theirs."""
-    both = hits.select("query_id", "id").join(contents.select(F.col(id_col).alias("id"), "content"), "id").join(queries.select("query_id", "query"), "query_id")
+    """Hits with ``score(query, content)``, an expression or pandas UDF, in place of theirs.
+
+    Hits are written and counted first: as many as are few enough are sent to the contents, so no text is shuffled.
+    """
+    hits = kept(hits.select("query_id", "id"), "hits")
+    near = F.broadcast if hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS else (lambda df: df)
+    both = near(hits).join(contents.select(F.col(id_col).alias("id"), "content"), "id").join(queries.select("query_id", "query"), "query_id")
     return both.select("query_id", "id", score(F.col("query"), F.col("content")).alias("score"))

@@ -39,34 +39,26 @@ def first_of(groups: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) ->
     return order[place < k]
 
 
-class Nearest:
+class Best:
     """The ``k`` best of each query so far; smaller ids win ties.
 
-    Of a step of at most ``SCORES`` scores only those go on that reach the k-th of the step and the k-th so far, in arrays
+    Of a step of scores only those go on that reach the k-th of the step and the k-th so far, in arrays
     of numbers, so memory is bounded by queries x k and one step.
     """
 
-    def __init__(self, asked: pd.DataFrame, k: int) -> None:
-        self.k = k
-        self.wants = asked["want"].to_numpy() if "want" in asked else None
-        self.ids = asked["query_id"].to_numpy()
-        self.unit = np.stack(asked["v"].to_numpy()).astype(np.float64)
-        self.least = np.full(len(asked), -np.inf)
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.queries = k, queries
+        self.least = np.full(queries, -np.inf)
         self.parts, self.rows = [], 0
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, have: np.ndarray | None) -> None:
-        step = max(1, SCORES // len(self.ids))
-        for at in range(0, len(ids), step):
-            s = np.round((1 + vectors[at : at + step] @ self.unit.T) / 2, 6)
-            s[np.isnan(s)] = -np.inf
-            if self.wants is not None:
-                s[have[at : at + step, None] != self.wants[None, :]] = -np.inf
-            least = np.maximum(self.least, np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k]) if len(s) > self.k else self.least
-            row, q = np.nonzero((s >= least) & (s > -np.inf))
-            self.parts.append((q.astype(np.int32), ids[at : at + step][row], s[row, q]))
-            self.rows += len(q)
-            if self.rows > 4 * self.k * len(self.ids):
-                self.trim()
+    def keep(self, ids: np.ndarray, s: np.ndarray) -> None:
+        """Scores of a step, by id and query; -inf is none."""
+        least = np.maximum(self.least, np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k]) if len(s) > self.k else self.least
+        row, q = np.nonzero((s >= least) & (s > -np.inf))
+        self.parts.append((q.astype(np.int32), ids[row], s[row, q]))
+        self.rows += len(q)
+        if self.rows > 4 * self.k * self.queries:
+            self.trim()
 
     def trim(self) -> None:
         if not self.parts:
@@ -74,13 +66,32 @@ class Nearest:
         q, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         best = first_of(q, scores, ids, self.k)
         q, ids, scores = q[best], ids[best], scores[best]
-        n = np.bincount(q, minlength=len(self.ids))
+        n = np.bincount(q, minlength=self.queries)
         last = np.cumsum(n) - 1
         full = n >= self.k
         self.least[full] = scores[last[full]]
         self.parts, self.rows = [(q, ids, scores)], len(q)
 
 
+class Nearest(Best):
+    """The nearest vectors; a step is at most ``SCORES`` scores."""
+
+    def __init__(self, asked: pd.DataFrame, k: int) -> None:
+        super().__init__(len(asked), k)
+        self.wants = asked["want"].to_numpy() if "want" in asked else None
+        self.ids = asked["query_id"].to_numpy()
+        self.unit = np.stack(asked["v"].to_numpy()).astype(np.float64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, have: np.ndarray | None) -> None:
+        step = max(1, SCORES // len(self.ids))
+        for at in range(0, len(ids), step):
+            s = np.round((1 + vectors[at : at + step] @ self.unit.T) / 2, 6)
+            s[np.isnan(s)] = -np.inf
+            if self.wants is not None:
+                s[have[at : at + step, None] != self.wants[None, :]] = -np.inf
+            self.keep(ids[at : at + step], s)
+
+
 def _best(rows: DataFrame, asked: pd.DataFrame, k: int, d: int, schema: str) -> DataFrame:
     """Each task's ``k`` best of every query of one block; vectors are multiplied in batches."""
     shared = rows.sparkSession.sparkContext.broadcast(asked)  # a block
