@@ -5,11 +5,13 @@ Structure is found inside a row with higher-order functions, so splitting needs
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lorewell.functions import text as T
 
@@ -17,6 +19,8 @@ from lorewell.functions import text as T
 NO_HEADER, PREAMBLE = "无标题", "前言/摘要"
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", " "]
 NUMBERED = r"^([0-9]+\.)+\s+(.+)$"
+#: characters of rows that a task holds before they go on, and values of an Arrow batch that it holds as Python objects
+OUT, BATCH = 1_000_000, 64
 CHINESE = r"^第[一二三四五六七八九十百千0-9]+[章节部分条款]\s*(.*)$"
 
 
@@ -113,12 +117,43 @@ def pieces_of(text: str, separators: Sequence[str], size: int, overlap: int) ->
     return out + ([held] if held else [])
 
 
+def by_document(df: DataFrame, cut: Callable[[dict], Iterable[dict]], kinds: str) -> DataFrame:
+    """The rows that ``cut`` makes of each row of ``df``, in order, one row of ``df`` after another.
+
+    Only one row of ``df`` is Python objects at a time, and rows go on once they hold ``OUT`` characters, so a task's memory
+    is bounded by an Arrow batch and a document.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+    width = [f.name for f in schema if pa.types.is_string(f.type)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for row in cut(batch.slice(i, 1).to_pylist()[0]):
+                    held.append(row)
+                    size += 32 + sum(len(row[c] or "") for c in width)
+                    if size >= OUT:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return df.mapInArrow(run, kinds)
+
+
+def by_value(values: pa.Array, cut: Callable[[object], list | None], kind: pa.DataType) -> pa.Array:
+    """``cut`` of each value; Python objects of ``BATCH`` values are held at a time, not those of an Arrow batch."""
+    done = [pa.array([cut(v) for v in values.slice(at, BATCH).to_pylist()], kind) for at in range(0, len(values), BATCH)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def recursive_split(text: Column, size: int, overlap: int = 0, separators: Sequence[str] = tuple(SEPARATORS)) -> Column:
     """array<string> of pieces, by Arrow batches."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pieces_of(t or "", separators, size, overlap))
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        return by_value(texts, lambda t: pieces_of(t or "", separators, size, overlap), pa.list_(pa.string()))
 
     return split(text)
 
@@ -139,9 +174,10 @@ def structure_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most ``size`` characters nothing is handed to Python.
     """
 
-    @F.pandas_udf("array<array<string>>")
-    def cut(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda cs: None if cs is None else [[c] if len(c) <= size else pieces_of(c, SEPARATORS, size, overlap) for c in cs])
+    @F.arrow_udf("array<array<string>>")
+    def cut(contents: pa.Array) -> pa.Array:
+        pieces = lambda cs: None if cs is None else [[c] if len(c) <= size else pieces_of(c, SEPARATORS, size, overlap) for c in cs]
+        return by_value(contents, pieces, pa.list_(pa.list_(pa.string())))
 
     def chunk(s: Column, content: Column) -> Column:
         return F.struct(*[s[c].alias(c) for c in ("section_index", "header_context", "header_level", "header_type")], content.alias("content"))
@@ -249,10 +285,12 @@ def topic_chunks(sentences: Sequence[str], cuts: Sequence[tuple[bool, str]], mos
 def topic_split(docs: DataFrame, most: int = 500, overlap: int = 0) -> DataFrame:
     """doc_id, chunk_index, chunk_id, content from (doc_id, sentences, boundaries: array of (is_boundary, header))."""
 
-    @F.pandas_udf("array<string>")
-    def join(sentences: pd.Series, boundaries: pd.Series) -> pd.Series:
-        cuts = lambda b: [(bool(x["is_boundary"]), x["header"] or "") for x in (b if b is not None else [])]
-        return pd.Series([topic_chunks(list(s if s is not None else []), cuts(b), most, overlap) for s, b in zip(sentences, boundaries, strict=True)])
+    def join(row: dict) -> Iterator[dict]:
+        cuts = [(bool(x), header or "") for x, header in zip(row["cuts"], row["names"], strict=True)]
+        for i, content in enumerate(topic_chunks(row["sentences"] or [], cuts, most, overlap)):
+            yield {"doc_id": row["doc_id"], "chunk_index": i, "content": content}
 
-    out = docs.select("doc_id", F.posexplode(join("sentences", "boundaries")).alias("chunk_index", "content"))
+    cuts = F.coalesce("boundaries", F.array().cast(BOUNDARY))
+    rows = docs.select("doc_id", "sentences", F.transform(cuts, lambda x: x["is_boundary"]).alias("cuts"), F.transform(cuts, lambda x: x["header"]).alias("names"))
+    out = by_document(rows, join, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_index int, content string")
     return out.select("doc_id", "chunk_index", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), (F.col("chunk_index") + 1).cast("string")).alias("chunk_id"), "content")
