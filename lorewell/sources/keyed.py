@@ -86,13 +86,19 @@ class KeyedTable:
     def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """``combine(old rows of the batch's keys, rows of the batch)`` in place of the old rows.
 
-        The batch is cut by key, so ``combine`` sees all rows of a key together. Rows without a key take no part.
+        The batch is cut by key, so ``combine`` sees all rows of a key together. Rows without a key take no part. The batch
+        is written by bucket, so a part reads its own rows alone; buckets that hold nothing yet are written in one pass, whatever their number of rows.
         """
         kept = shared_path(self.spark, "keyed-batch")
-        batch.where(F.col(self.key).isNotNull()).withColumn("_bucket", self._bucket(self.key)).write.parquet(kept)
-        rows = self.spark.read.parquet(kept)
+        batch = batch.where(F.col(self.key).isNotNull()).withColumn("_bucket", self._bucket(self.key))
+        batch.write.partitionBy("_bucket").parquet(kept)
+        rows = self.spark.read.schema(batch.schema).parquet(kept)
         counts = {r["_bucket"]: r["n"] for r in rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a bucket
-        for numbers, cuts in _parts(counts):
+        held = self._version()[1]
+        fresh = sorted(b for b in counts if b not in held)
+        if fresh:
+            self._write(combine(self.spark.createDataFrame([], self.schema), rows.where(F.col("_bucket").isin(fresh)).drop("_bucket")), fresh)
+        for numbers, cuts in _parts({b: n for b, n in counts.items() if b in held}):
             for cut in range(cuts):
                 part = rows.where(F.col("_bucket").isin(numbers))
                 if cuts > 1:  # a bucket of its own, whose rows are too many to be sent at once
@@ -100,14 +106,18 @@ class KeyedTable:
                 self._apply(part.drop("_bucket"), numbers, combine)
 
     def _apply(self, part: DataFrame, numbers: list[int], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        version, folders = self._version()
-        old = self._rows({b: f for b, f in folders.items() if b in numbers})
+        old = self._rows({b: f for b, f in self._version()[1].items() if b in numbers})
         same, hit = self._apart(old, part)
         held = shared_path(self.spark, "keyed-hit")
         hit.write.parquet(held)
-        changed = combine(self.spark.read.schema(self.schema).parquet(held), part).select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
+        self._write(combine(self.spark.read.schema(self.schema).parquet(held), part), numbers, same)
+
+    def _write(self, changed: DataFrame, numbers: list[int], same: DataFrame | None = None) -> None:
+        """A version in which the buckets ``numbers`` hold ``changed``, and ``same`` as it is."""
+        version, folders = self._version()
+        changed = changed.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         folder = uuid.uuid4().hex
-        after = same.unionByName(changed).withColumn("bucket", self._bucket(self.key))
+        after = (changed if same is None else same.unionByName(changed)).withColumn("bucket", self._bucket(self.key))
         after.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         at, files = self._there(f"data/{folder}")
         now = {int(s.getPath().getName().split("=")[1]) for s in files.listStatus(at) if s.isDirectory()}
