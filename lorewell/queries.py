@@ -344,7 +344,8 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     part, supp = F.concat(F.lit("part-"), F.col("l_partkey").cast("string")), F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string"))
     entity = F.concat(F.lit('("entity"<|>"'), part, F.lit('"<|>"'), "l_returnflag", F.lit('"<|>"'), F.concat(F.lit("x"), F.repeat(F.col("l_linestatus"), F.col("l_linenumber").cast("int"))), F.lit('")'))
     relation = F.concat(F.lit('##("relationship"<|>"'), part, F.lit('"<|>"'), supp, F.lit('"<|>"'), "l_returnflag", F.lit('"<|>"'), "l_linestatus", F.lit('"<|>'), F.col("l_quantity").cast("int").cast("string"), F.lit(")"))
-    rows = _t(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.concat(entity, relation).alias("r")).alias("x"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")  # lines of one number stay in the table's order
+    rows = _t(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", place, F.concat(entity, relation).alias("r")).alias("x"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]), "##")
     return rows.groupBy(F.col("l_orderkey").alias("chunk_index")).agg(joined.alias("answer")).withColumn("chunk_id", F.col("chunk_index").cast("string"))
 
