@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 from math import ceil
 
 import numpy as np
@@ -34,8 +35,12 @@ from lorewell.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\W_]+")
 SIDES = (-2, -1, 1, 2)
-#: positions that are scored, or dealt to batches of training, at once
+#: positions that are scored at once
 CHUNK = 1 << 14
+#: characters of pieces that a task holds, about
+CHARACTERS = 1 << 26
+#: rows of which all units of a group are held at once, few enough for a core's cache
+BLOCK = 1 << 9
 #: tokens of which a task holds the units at once (a longer text is held whole)
 HELD = 1 << 18
 FAR = -30.0
@@ -61,15 +66,21 @@ class Units:
 
 
 class Lookup(dict):
-    """Numbers of words seen; by number the unit, log p(word | unit), and whether the word's count is still to be joined. Emptied between groups when full.
+    """Numbers of words seen; by number the word, its unit, log p(word | unit), and whether the word's count is still to be joined. Emptied between groups when full.
 
     For a word whose count is joined, the log of the count is still to be added.
     """
 
     def __init__(self, units: Units, limit: int = 300_000) -> None:
         super().__init__()
-        self.units, self.limit, self.new = units, limit, []
-        self.unit, self.inside, self.rare = np.zeros(1024, np.int32), np.zeros(1024), np.zeros(1024, bool)
+        self.units, self.limit = units, limit
+        self.alone = -np.log(np.maximum(units.tokens, 1))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.words, self.unit, self.inside, self.rare = np.zeros(0, object), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, bool)
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
@@ -77,27 +88,21 @@ class Lookup(dict):
         return i
 
     def settle(self) -> None:
-        n, first, units = len(self), len(self) - len(self.new), self.units
-        if n > len(self.unit):
-            more = 2 * n - first
-            self.unit, self.inside, self.rare = (np.concatenate([x[:first], np.zeros(more, x.dtype)]) for x in (self.unit, self.inside, self.rare))
-        for i, word in enumerate(self.new, first):
-            u = units.unit(word)
-            known = 0.0 if word in units.top else units.inside.get(word)
-            self.unit[i], self.rare[i] = u, known is None
-            self.inside[i] = -float(np.log(max(units.tokens[u], 1))) if known is None else known
+        new, top = self.new, self.units.top
+        unit = np.fromiter(map(self.units.unit, new), np.int32, len(new))
+        known = np.fromiter(map(self.units.inside.get, new, repeat(np.nan)), float, len(new))
+        known[unit < len(top)] = 0.0
+        rare = np.isnan(known)
+        known[rare] = self.alone[unit[rare]]
+        words = np.empty(len(new), object)
+        words[:] = new
+        grown = (self.words, words), (self.unit, unit), (self.inside, known), (self.rare, rare)
+        self.words, self.unit, self.inside, self.rare = map(np.concatenate, grown)
         self.new = []
 
     def trim(self) -> None:
         if len(self) > self.limit:
-            self.clear()
-
-
-def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row of ``z`` at one place; ``z`` is used up."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+            self._empty()
 
 
 class Network:
@@ -111,20 +116,22 @@ class Network:
         self.per = ceil(2 * size**0.5)
         self.groups = -(-size // self.per)
         rng = np.random.default_rng(seed)
-        shapes = [(len(SIDES), size + 1, width), (width,), (self.groups, width), (self.groups,), (self.groups, self.per, width), (self.groups, self.per)]
-        scale = [0.1, 0, 0.1, 0, 0.1, 0]
-        self.vector = np.concatenate([rng.normal(0, c, int(np.prod(s))) if c else np.zeros(int(np.prod(s))) for s, c in zip(shapes, scale, strict=True)]).astype(np.float32)
+        # embeddings of a unit lie side by side; the last number of a weight is its bias
+        shapes = [(size + 1, len(SIDES) * width), (width,), (self.groups, width + 1), (self.groups, self.per, width + 1)]
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         self.cuts = [(int(e - np.prod(s)), int(e), s) for e, s in zip(ends, shapes, strict=True)]
+        self.vector = rng.normal(0, 0.1, ends[-1]).astype(np.float32)
+        self.parts(self.vector)[1][:] = 0
         self.start(np.ones(size))
 
-    def parts(self, vector: np.ndarray) -> list[np.ndarray]:
+    def blocks(self, vector: np.ndarray) -> list[np.ndarray]:
+        """Embeddings, their bias, and weights of groups and of units."""
         return [vector[a:b].reshape(s) for a, b, s in self.cuts]
 
-    def blocks(self, vector: np.ndarray) -> list[np.ndarray]:
-        """Embeddings by side, then bias, and weights and biases of groups and of units."""
-        e, *rest = self.parts(vector)
-        return [*e, *rest]
+    def parts(self, vector: np.ndarray) -> list[np.ndarray]:
+        """Embeddings by side, their bias, and weights and biases of groups and of units."""
+        e, b, w, v = self.blocks(vector)
+        return [e.reshape(len(e), len(SIDES), self.width).transpose(1, 0, 2), b, w[:, :-1], w[:, -1], v[:, :, :-1], v[:, :, -1]]
 
     def start(self, tokens: np.ndarray) -> None:
         """Biases with which the network gives the share of each unit."""
@@ -135,77 +142,115 @@ class Network:
             parts[5][:] = np.maximum(np.log(mass / mass.sum(axis=1, keepdims=True)), FAR)  # no unit there
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        e, b = self.parts(self.vector)[:2]
-        h = e[0][context[:, 0]]
+        """The hidden layer for each row, and a one that meets the biases."""
+        e, b = self.blocks(self.vector)[:2]
+        e, first = e.reshape(-1, self.width), context * len(SIDES)
+        h = np.ones((len(context), self.width + 1), self.vector.dtype)
+        total = b + e.take(first[:, 0], axis=0)
         for k in range(1, len(SIDES)):
-            h = h + e[k][context[:, k]]
-        return np.maximum(h + b, 0, dtype=self.vector.dtype)
-
-    def _by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each group among the targets, where they are, and which members."""
-        group = target // self.per
-        order = np.argsort(group, kind="stable")
-        found, first = np.unique(group[order], return_index=True)
-        for g, rows in zip(found.tolist(), np.split(order, first[1:]), strict=True):
-            yield g, rows, target[rows] - g * self.per
+            total += e.take(first[:, k] + k, axis=0)
+        np.maximum(total, 0, out=h[:, :-1])
+        return h
+
+    def _by_group(self, target: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Each group among ascending targets, and where its rows begin and end, ``BLOCK`` at most."""
+        edges = np.searchsorted(target, np.arange(self.groups + 1) * self.per).tolist()
+        for g, (first, last) in enumerate(zip(edges, edges[1:], strict=False)):
+            for a in range(first, last, BLOCK):
+                yield g, a, min(a + BLOCK, last)
+
+    def _softmax(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple]:
+        """For rows in the order of their targets, by block: the group (None: the choice among groups), where the block begins and ends, exp(z - shift), its sum for each row, and the shift.
+
+        Rows are shifted only where a sum would leave what floats hold. The next block overwrites the array.
+        """
+        _, _, w, v = self.blocks(self.vector)
+        held = np.empty(BLOCK * max(self.groups, self.per), h.dtype)
+        ones = np.ones(max(self.groups, self.per), h.dtype)
+        for g, a, b in [*((None, a, min(a + BLOCK, len(h))) for a in range(0, len(h), BLOCK)), *self._by_group(target)]:
+            weights = w if g is None else v[g]
+            z = held[: (b - a) * len(weights)].reshape(b - a, len(weights))
+            np.exp(np.matmul(h[a:b], weights.T, out=z), out=z)
+            total, shift = z @ ones[: len(weights)], 0.0
+            if not (total.min() > 1e-20 and total.max() < 1e20):
+                np.matmul(h[a:b], weights.T, out=z)
+                shift = z.max(axis=1)
+                z -= shift[:, None]
+                total = np.exp(z, out=z).sum(axis=1)
+            yield g, a, b, z, total, shift
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, w, c, v, d = self.parts(self.vector)
-        h = self.hidden(context)
-        if not len(h):
-            return np.zeros(0, h.dtype)
-        out = _log_share(h @ w.T + c, target // self.per)
-        for g, rows, member in self._by_group(target):
-            out[rows] += _log_share(h[rows] @ v[g].T + d[g], member)
+        _, _, w, v = self.blocks(self.vector)
+        order = np.argsort(target)
+        target = target[order]
+        h = self.hidden(context[order])
+        own = np.einsum("ij,ij->i", h, w.take(target // self.per, axis=0) + v.reshape(-1, self.width + 1).take(target, axis=0))
+        with np.errstate(over="ignore"):
+            for _, a, b, _, total, shift in self._softmax(h, target):
+                own[a:b] -= np.log(total) + shift
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
-    def steps(self, context: np.ndarray, target: np.ndarray) -> list[tuple]:
-        """Gradient of the mean negative log-probability: for each of the blocks the rows that it moves, and by how much."""
-        _, _, w, c, v, d = self.parts(self.vector)
-        h, n = self.hidden(context), len(context)
-
-        def pull(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z, out=z)
-            p /= n * p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), at] -= 1 / n
-            return p
-
-        p = pull(h @ w.T + c, target // self.per)
-        back, gv, gd, found = p @ w, [], [], []
-        for g, rows, member in self._by_group(target):
-            q, own = pull(h[rows] @ v[g].T + d[g], member), h[rows]
-            back[rows] += q @ v[g]
-            found.append(g)
-            gv.append(q.T @ own)
-            gd.append(q.sum(axis=0))
-        back *= h > 0
-        out = [_by_row(context[:, k], back) for k in range(len(SIDES))]
-        every, some = slice(None), np.array(found)
-        return [*out, (every, back.sum(axis=0)), (every, p.T @ h), (every, p.sum(axis=0)), (some, np.stack(gv)), (some, np.stack(gd))]
+    def pulls(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | slice, np.ndarray]:
+        """Gradient of the mean negative log-probability for rows in the order of their targets: of the sums below the hidden layer, of the weights of groups, and, for the groups that occur, of those of units."""
+        _, _, w, v = self.blocks(self.vector)
+        n, wide = len(target), self.width + 1
+        # what the targets themselves do
+        own, first = np.unique(target, return_index=True)
+        sums = np.add.reduceat(h, first) / -n
+        group = own // self.per
+        some, begin = np.unique(group, return_index=True)
+        gw, gv = np.zeros_like(w), np.zeros((len(some), *v.shape[1:]), v.dtype)
+        gw[some] = np.add.reduceat(sums, begin)
+        gv.reshape(-1, wide)[np.searchsorted(some, group) * self.per + own % self.per] = sums
+        back = (w.take(target // self.per, axis=0) + v.reshape(-1, wide).take(target, axis=0)) / -n
+        # and what all units do
+        place = {g: i for i, g in enumerate(some.tolist())}
+        with np.errstate(over="ignore"):
+            for g, a, b, e, total, _ in self._softmax(h, target):
+                weights, moved = (w, gw) if g is None else (v[g], gv[place[g]])
+                share = (1 / (n * total))[:, None]
+                moved += e.T @ (h[a:b] * share)
+                back[a:b] += (e @ weights) * share
+        return back[:, :-1] * (h[:, :-1] > 0), gw, slice(None) if len(some) == self.groups else some, gv
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
-        g = np.zeros_like(self.vector)
-        for block, (rows, moved) in zip(self.blocks(g), self.steps(context, target), strict=True):
-            block[rows] = moved
-        return g
+        out, order = np.zeros_like(self.vector), np.argsort(target)
+        e, b, w, v = self.blocks(out)
+        back, w[:], some, moved = self.pulls(self.hidden(context[order]), target[order])
+        v[some], b[:] = moved, back.sum(axis=0)
+        for k in range(len(SIDES)):
+            np.add.at(self.parts(out)[0][k], context[order, k], back)
+        return out
 
-    def descend(self, past: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float, batch: int) -> None:
-        """A step a batch, in a fixed order; ``past``: squares of all gradients so far."""
-        order = np.random.default_rng(len(target)).permutation(len(target))
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            for block, old, (rows, g) in zip(self.blocks(self.vector), self.blocks(past), self.steps(context[some], target[some]), strict=True):
-                old[rows] += g * g
-                block[rows] -= rate * g / np.sqrt(old[rows])
+    def descend(self, past: np.ndarray, row: np.ndarray, at: np.ndarray, rate: float) -> None:
+        """A step for the places ``at`` of a row of units; ``past``: squares of all gradients so far."""
+        at = at[np.argsort(row[at])]
+        target = row[at]
+        back, gw, some, gv = self.pulls(self.hidden(row[at[:, None] + np.array(SIDES)]), target)
+        by_place, moved = np.zeros((len(row), self.width), back.dtype), np.zeros((len(row), len(SIDES), self.width), back.dtype)
+        by_place[at] = back
+        for k, s in enumerate(SIDES):  # a unit moves by what its neighbour at that side asks for
+            moved[max(s, 0) : len(row) + min(s, 0), k] = by_place[max(-s, 0) : len(row) - max(s, 0)]
+        ids, ge = _by_row(row, moved.reshape(len(row), -1))
+        every = slice(None)
+        steps = [(ids, ge), (every, back.sum(axis=0)), (every, gw), (some, gv)]
+        for block, old, (rows, g) in zip(self.blocks(self.vector), self.blocks(past), steps, strict=True):
+            squares = old[rows]  # of all rows a view
+            squares += g * g
+            old[rows] = squares
+            g *= rate
+            g /= np.sqrt(squares)
+            block[rows] -= g
 
 
 def _by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different ids, and the sums of their values."""
-    order = np.argsort(ids, kind="stable")
-    some, first = np.unique(ids[order], return_index=True)
-    return some, np.add.reduceat(values[order], first)
+    order = np.argsort(ids)
+    some, first = np.unique(ids.take(order), return_index=True)
+    return some, np.add.reduceat(values.take(order, axis=0), first)
 
 
 class Windows:
@@ -222,19 +267,26 @@ class Windows:
             at = self.at[i : i + CHUNK]
             yield np.stack([self.row[at + s] for s in SIDES], axis=1), self.row[at]
 
+    def stretches(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of the row with ``size`` tokens and what is around them, and where these tokens lie."""
+        for i in range(0, len(self.at), size):
+            at = self.at[i : i + size]
+            yield self.row[at[0] - 2 : at[-1] + 3], at - (at[0] - 2)
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n: every word of every text (column text), cut as the model cuts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, taken = Counter(), 0  # pieces between spaces: a word never goes across one
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(at, 256).to_pylist():
-                    seen.update(WORD.findall(text.lower()) if text else ())
-                if len(seen) > 200_000:
+                    seen.update(text.lower().split() if text else ())
+                    taken += len(text or "")
+                if len(seen) > 300_000 or taken > CHARACTERS:
                     yield from _counted(seen)
-                    seen.clear()
+                    seen, taken = Counter(), 0
         yield from _counted(seen)
 
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
@@ -242,7 +294,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _counted(seen: Counter) -> Iterator[pa.RecordBatch]:
-    words, n = list(seen), list(seen.values())
+    """Words of the pieces, with their counts."""
+    cut: dict[str, int] = {}
+    for piece, k in seen.items():
+        for word in WORD.findall(piece):
+            cut[word] = cut.get(word, 0) + k
+    words, n = list(cut), list(cut.values())
     for at in range(0, len(words), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.string()), pa.array(n[at : at + 50_000], pa.int64())], ["word", "n"])
 
@@ -281,11 +338,16 @@ def encoded(docs: DataFrame, units: Units) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 texts = [WORD.findall(t.lower()) if t else [] for t in some.column(1).to_pylist()]
-                numbers = [np.fromiter(map(lookup.__getitem__, t), np.int64, len(t)) for t in texts]
+                ends = np.cumsum([0, *map(len, texts)])
+                numbers = np.fromiter(map(lookup.__getitem__, chain.from_iterable(texts)), np.int64, ends[-1])
                 lookup.settle()
-                inside = [float(lookup.inside[x].sum()) for x in numbers]
-                others = [[t[i] for i in np.flatnonzero(lookup.rare[x])] for t, x in zip(texts, numbers, strict=True)]
-                columns = [some.column(0), pa.array([lookup.unit[x] for x in numbers], pa.list_(pa.int32())), pa.array(inside, pa.float64()), pa.array(others, pa.list_(pa.string()))]
+                rare = lookup.rare[numbers]
+                logs = lookup.inside[numbers]
+                inside = [float(logs[a:b].sum()) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                rare_ends = np.concatenate([[0], np.cumsum(rare)])[ends]
+                units_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lookup.unit[numbers]))
+                others = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(lookup.words[numbers[rare]], pa.string()))
+                columns = [some.column(0), units_of, pa.array(inside, pa.float64()), others]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "units", "inside", "rare"])
                 lookup.trim()
 
@@ -321,8 +383,8 @@ def train(texts: DataFrame, units: Units, rounds: int = 2, rate: float = 0.1, ba
             past, seen = np.full_like(own.vector, 1e-6), 0
             for some in batches:
                 for _, _, u, lengths in _groups(some.column(0)):
-                    for x, y in Windows(u, lengths, own.size).chunks():
-                        own.descend(past, x, y, rate, batch)
+                    for row, at in Windows(u, lengths, own.size).stretches(batch):
+                        own.descend(past, row, at, rate)
                     seen += len(u)
             if seen:
                 rows = _rows(own.vector, own.width)
