@@ -76,19 +76,60 @@ def gram_checksums(word: str, n: int, at_once: int = 1 << 20) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
 
 
+def mean_weights(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """For each word (letters and digits in lower case, one at least) the mean weight of what ``subwords`` finds, for all words at once."""
+    marked = [f"<{w}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    p = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
+    word, left = np.repeat(np.arange(len(marked)), lengths), np.repeat(np.cumsum(lengths), lengths) - np.arange(len(p))
+    size = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
+    first = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size] | (p >> (6 * (size - 1)).astype(np.uint32))
+    rest = [(at := np.flatnonzero(size > j), np.uint32(0x80) | ((p[at] >> (6 * (size[at] - 1 - j)).astype(np.uint32)) & np.uint32(0x3F))) for j in (1, 2, 3)]
+    whole = np.fromiter((zlib.crc32(m.encode("utf-8", "replace")) for m in marked), np.uint32, len(marked))
+    at, c, found = np.arange(len(p)), np.full(len(p), 0xFFFFFFFF, np.uint32), [(np.arange(len(marked)) << 32) | whole]
+    for n in range(1, 6):  # the checksum of n characters goes on from that of n - 1
+        keep = left[at] >= n
+        at, c = at[keep], c[keep]
+        c = STEPS[(c ^ first[at + n - 1]) & np.uint32(0xFF)] ^ (c >> np.uint32(8))
+        for places, byte in rest:
+            here = np.searchsorted(at, places - (n - 1))
+            here[here == len(at)] = 0
+            some = at[here] == places - (n - 1) if len(at) else np.zeros(len(places), bool)
+            here = here[some]
+            c[here] = STEPS[(c[here] ^ byte[some]) & np.uint32(0xFF)] ^ (c[here] >> np.uint32(8))
+        if n > 2:
+            found.append((word[at] << 32) | (c ^ np.uint32(0xFFFFFFFF)))
+    different = np.sort(np.concatenate(found))
+    different = different[np.diff(different, prepend=-1) != 0]
+    word = different >> 32
+    return np.bincount(word, weights[different % BUCKETS], len(words)) / np.bincount(word, minlength=len(words))
+
+
 class WordScores(dict):
     """Scores of words seen before; emptied when full."""
 
     def __init__(self, weights: list[float], limit: int = 400_000) -> None:
         super().__init__()
         self.weights, self.limit = weights, limit
+        self.array = np.array(weights, np.float64)
+
+    def learn(self, texts: list[list[str]], at_once: int = 4096) -> None:
+        """Scores the new tokens of texts together; long ones are left to be scored where they occur."""
+        if len(self) >= self.limit:
+            self.clear()
+        new = [token for token in set().union(*texts) if token not in self and len(token) <= HELD_WORD // 4]
+        place: dict[str, int] = {"": 0}
+        at = [place.setdefault(w if w.isalnum() else "".join(filter(str.isalnum, w)), len(place)) for w in map(str.lower, new)]
+        words = list(place)
+        scores = np.concatenate([[0.0], *(mean_weights(words[a : a + at_once], self.array) for a in range(1, len(words), at_once))])
+        self.update(zip(new, scores[at].tolist() if at else (), strict=True))
 
     def __missing__(self, token: str) -> float:
         if len(self) >= self.limit:
             self.clear()
         found = subwords(token)
         if isinstance(found, np.ndarray):  # a word that long is not held
-            return float(np.array(self.weights)[found].mean())
+            return float(self.array[found].mean())
         score = self[token] = sum([self.weights[b] for b in found]) / len(found) if found else 0.0
         return score
 
@@ -106,8 +147,17 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
+    def scores(self, texts: list[str | None], words: WordScores, at_once: int = 256) -> Iterator[float]:
+        """The score of every text, in order; new words of some texts are scored together."""
+        for a in range(0, len(texts), at_once):
+            split = [text.split() if text else [] for text in texts[a : a + at_once]]
+            words.learn(split)
+            yield from (self._score(tokens, words) for tokens in split)
+
     def score(self, text: str | None, words: WordScores) -> float:
-        tokens = text.split() if text else []
+        return self._score(text.split() if text else [], words)
+
+    def _score(self, tokens: list[str], words: WordScores) -> float:
         logit = self.bias
         if tokens:
             cuts = [*window_starts(len(tokens)).tolist(), len(tokens)]
@@ -265,7 +315,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         weights, bias = shared.value
         here, words = ToxicityModel(weights, bias), WordScores(weights.tolist())
         for batch in batches:
-            scores = np.array([here.score(t, words) for t in batch.column(1).to_pylist()], np.float64)
+            scores = np.fromiter(here.scores(batch.column(1).to_pylist(), words), np.float64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, score double, predicted int")
@@ -280,7 +330,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
         weights, bias = shared.value
         here, words = ToxicityModel(weights, bias), WordScores(weights.tolist())
         for batch in batches:
-            clean = [here.score(t, words) < threshold for t in batch.column(at).to_pylist()]
+            clean = [x < threshold for x in here.scores(batch.column(at).to_pylist(), words)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
