@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
@@ -73,17 +74,29 @@ def run_until_idle(stream: DataFrame, handle: Callable[[DataFrame, int], None],
     """Micro-batches until ``idle`` of them in a row had no rows to read.
 
     For streams with timers, whose batches go on without rows, so that a run over what is there would not end; timers that
-    are due by then have fired.
+    are due by then have fired. Batches that take longer than ``seconds`` follow each other without a pause, so the end
+    doesn't wait for one: the batch that comes next is refused before it is handled, and is handled by the next run.
     """
-    query = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(1000 * seconds)} milliseconds").start()
+    ended, refused, under_way = threading.Event(), threading.Event(), threading.Lock()
+
+    def until_ended(df: DataFrame, batch: int) -> None:
+        with under_way:
+            if ended.is_set():
+                refused.set()
+                raise RuntimeError("the run has ended")
+            handle(df, batch)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(until_ended).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(1000 * seconds)} milliseconds").start()
     last, quiet = None, 0
     while query.isActive and quiet < idle:
         now = query.lastProgress
         if now is not None and now["batchId"] != last:
             last, quiet = now["batchId"], 0 if now["numInputRows"] else quiet + 1
         time.sleep(seconds / 4)
-    while query.isActive and query.status["isTriggerActive"]:  # a batch that is under way ends first
+    with under_way:  # a batch that is being handled ends first
+        ended.set()
+    while query.isActive and query.status["isTriggerActive"]:  # until it is written down, or the next one is refused
         time.sleep(0.02)
-    if query.exception() is not None:
+    if query.exception() is not None and not refused.is_set():
         raise query.exception()
     query.stop()

@@ -200,3 +200,30 @@ def test_a_task_and_a_batch_cost_few_calls_to_the_state(spark, feed, tmp_path):
     out = list(batch.handleInputRows(("k",), iter([type("R", (), {"item": str(i)}) for i in range(4100)]), now))
     assert [len(r["items"]) for r in out] == [400] * 10 and [r["batch"] for r in out] == list(range(10))
     assert calls == ["appendList", "registerTimer", "update"]
+
+
+def test_a_run_ends_though_its_batches_follow_without_a_pause(spark, feed, tmp_path):
+    """Its end used to wait for a moment between two batches, and slow ones leave none."""
+    f, rows, began = feed(EVENTS), [], []
+
+    def handle(df, n):
+        began.append(n)
+        assert len(began) < 12
+        time.sleep(0.8)
+        rows.extend((n, r) for r in df.collect())
+
+    f.put([(1, 5, "fail"), (2, 5, "success")])
+    messages.run_until_idle(stateful.timed_tasks(f.stream()), handle, f"{tmp_path}/marks", mode="update")
+    assert {(r["id"], r["status"], r["due"]) for _, r in rows} == {(1, "fail", False), (1, "retrying", True), (2, "success", False)}
+    began.clear()
+    rows.clear()
+    f.put([(1, 90, "success")])  # the run before refused a batch, or none: nothing is lost
+    messages.run_until_idle(stateful.timed_tasks(f.stream()), handle, f"{tmp_path}/marks", mode="update")
+    assert [(r["id"], r["status"]) for _, r in rows] == [(1, "success")]
+
+
+def test_a_failed_batch_fails_the_run(spark, feed, tmp_path):
+    f = feed(EVENTS)
+    f.put([(1, 5, "fail")])
+    with pytest.raises(Exception, match="no room"):
+        messages.run_until_idle(stateful.timed_tasks(f.stream()), lambda df, n: (_ for _ in ()).throw(RuntimeError("no room")), f"{tmp_path}/marks", mode="update")
