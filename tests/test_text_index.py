@@ -107,3 +107,28 @@ def test_no_more_than_k_rows_of_a_range_and_a_query_leave_a_task(spark, chunks,
     assert 0 < found.count() <= 2 * 30 * ranges < 30 * 600
     text = found._jdf.queryExecution().executedPlan().toString()
     assert text.index("MapInArrow") < text.index("Join")  # joins are below: of postings, not of hits
+
+
+def test_texts_are_shuffled_once_and_blocks_as_they_are(spark, chunks, queries, tmp_path):
+    """A batch used to shuffle its texts, its postings and its blocks twice, and a search a row a posting with its segment's name."""
+    index, seen = TextIndex.create(spark, str(tmp_path / "i"), block=16), []
+    write = index._write
+    index._write = lambda blocks, *a: (seen.append(blocks._jdf.queryExecution().executedPlan().toString()), write(blocks, *a))[1]
+    twice = chunks.unionByName(chunks.selectExpr("id", "concat(content, ' w1') AS content").where("id < 'c0100'"))
+    index.add(twice)
+    assert len(seen) == 1 and seen[0].count("Exchange hashpartitioning") == 1 and "Aggregate" not in seen[0]
+    longer = twice.groupBy("id").agg({"content": "max"}).withColumnRenamed("max(content)", "content")
+    assert rows(index.search(queries, 20)) == scan(longer, queries, 20)
+    blocks, heads = index._bounds(queries.where("query_id < 4"), "query_id", "query")
+    plan = index._scores(blocks, heads, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
+
+
+def test_gains_of_very_many_terms_are_dealt(spark, chunks, queries, tmp_path, monkeypatch):
+    index = TextIndex.create(spark, str(tmp_path / "i"), block=16, fan=9)
+    index.add(chunks.selectExpr("id", "reverse(content) AS content"))
+    index.add(chunks)
+    want = rows(index.search(queries, 5))
+    for name in ("BROADCAST_TERMS", "BROADCAST_RANGES", "NAMED_TERMS"):
+        monkeypatch.setattr(f"lorewell.operators.text_index.{name}", 2)
+    assert rows(index.search(queries, 5)) == want and want
